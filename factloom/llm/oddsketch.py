@@ -4,9 +4,10 @@ Every document gets K MinHash samples of its five-word shingles. Bands of R samp
 folded into a parity bitmap (an odd sketch) reject most candidates by the population count of an XOR; what is left is
 confirmed on the full shingle sets. Links need 100 * intersection >= 75 * union.
 
-No pairs are made within a bucket. First every member is tried against the bucket's smallest member; where that leaves a
-bucket in more than one component, pairs between its components are tried, and only those. So a group of n copies costs n
-trials, and no link that shares a band is lost.
+No pairs are made within a group. In rounds, every member is tried against a leader of its bucket, first the member that
+shares the most buckets, and leaves with the leader's component. Where buckets still hold several components, and these
+have no more pairs between them than there are bucket rows (or after ROUNDS rounds), those pairs are tried, and only those.
+So a group of n copies costs about n trials, and no link that shares a band is lost.
 
 Defined results: null texts and texts without a word have an empty set, n_shingles 0, and are alone in their component.
 With fewer than five words the whole sequence is the one shingle. Documents with the same set are one node: of any number
@@ -27,14 +28,18 @@ from .components import components
 WORDS = 5
 #: Least similarity in hundredths.
 LEVEL = 75
-#: Samples a band and bands: a pair at 0.75 shares no band with probability (1 - 0.75^5)^48 = 2e-6.
-ROWS, BANDS = 5, 48
+#: Samples a band and bands: a pair at 0.75 shares no band with probability (1 - 0.75^5)^42 = 1e-5.
+ROWS, BANDS = 5, 42
 SAMPLES = ROWS * BANDS
 #: Bits of the odd sketch, in longs of 64.
 SKETCH_LONGS = 8
 #: A candidate goes on if its sketch estimates at least this similarity; 0.75 lies over five standard deviations higher.
 ESTIMATE = 0.55
 CHUNK = 2048
+#: Bits of the bitmap that spares texts a shuffle: 1 MB, at any input size.
+BITMAP_BITS = 1 << 23
+#: Mates of one document that a task tries at most, and rounds of leaders before the rest is tried pair by pair.
+MATES, ROUNDS = 512, 6
 
 _RNG = np.random.default_rng(20240711)
 _XOR = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -134,59 +139,98 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*rest, "shingles array<long>"]))
 
 
+def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) of docs that may be among ids: a bitmap of hashed ids, of fixed size, spares most other texts the
+    shuffle that the exact join after it makes. A full bitmap lets more pass, never fewer."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+    word, bit = F.shiftright(slot, 6), (slot.bitwiseAND(F.lit(63))).cast("int")
+    bitmap = ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    asked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
+    return asked.withColumn("word", word).join(F.broadcast(bitmap), "word").filter(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1).select("id", "text")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links on full sets. Each document's text is read once, and only for ids in a pair."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    first = pairs.select(F.col("a").alias("id"), F.lit(None).cast("long").alias("mate")).distinct()
-    asked = first.unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("mate")))
-    wanted = asked.groupBy("id").agg(F.collect_set("mate").alias("mates"), F.max(F.col("mate").isNull()).alias("first"))
-    sets = stage_table(_sets(texts.join(wanted, "id")), "sets")
-    left = sets.filter("first").select(F.col("id").alias("a"), F.col("shingles").alias("left_set"))
-    right = sets.filter(F.size("mates") > 0).select(F.explode("mates").alias("a"), F.col("id").alias("b"), F.col("shingles").alias("right_set"))
+    """The pairs (a, b) that are links on full sets. Only texts of ids in a pair are moved; an a with very many mates is
+    dealt over several tasks."""
+    pairs = stage_table(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = stage_table(_sets(_holding(docs, ids).join(ids, "id")), "sets")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MATES).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    left = parts.join(sets, parts["a"] == sets["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("left_set"))
+    right = dealt.join(sets, dealt["b"] == sets["id"]).select("a", "b", "part", F.col("shingles").alias("right_set"))
     common = F.size(F.array_intersect("left_set", "right_set"))
     union = F.size("left_set") + F.size("right_set") - common
-    links = stage_table(right.join(left, "a").filter(100 * common >= LEVEL * union).select("a", "b").distinct(), "links")
+    links = stage_table(right.join(left, ["a", "part"]).filter(100 * common >= LEVEL * union).select("a", "b").distinct(), "links")
     discard(sets)
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each input row."""
-    every = stage_table(profiles(docs), "profiles")
-    node = every.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
-    heads = every.filter("sig is not null").join(node.select(F.col("id").alias("doc_id"), F.col("sig").alias("own")), "doc_id").filter("sig = own").select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id", "bands"])
-    rows = heads.select("id", "sketch", F.explode("bands").alias("key"))
-    keys = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "least")
-    buckets = stage_table(rows.join(keys, "key").select("key", "id", "least", "sketch"), "buckets")
+def _trials(buckets: DataFrame, sketches: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(a, b): each bucket's leader with the members of its bucket in other components, if their sketches are close.
+    buckets: key, id, c (component); leaders: key, lead, lead_c."""
+    tried = buckets.join(leaders, "key").filter("c <> lead_c").select("lead", "id").distinct()
+    mine = tried.join(sketches, "id").withColumnRenamed("sketch", "own")
+    his = sketches.select(F.col("id").alias("lead"), F.col("sketch").alias("lead_sketch"))
+    return mine.join(his, "lead").filter(_close("own", "lead_sketch")).select(F.col("lead").alias("a"), F.col("id").alias("b"))
 
-    leaders = buckets.filter("id = least").select(F.col("id").alias("least"), F.col("sketch").alias("least_sketch")).dropDuplicates(["least"])
-    tried = buckets.filter("id <> least").select("least", "id", "sketch").distinct()
-    pairs = tried.join(leaders, "least").filter(_close("sketch", "least_sketch")).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    links = confirm(docs, pairs)
 
-    # buckets that hold several components yet: pairs between the components, never within one
+def _placed(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Bucket members with their component so far, of buckets that hold more than one component."""
+    if links is None:
+        return buckets.select("key", "id", "central", F.col("id").alias("c"))
     part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = buckets.join(part, buckets["id"] == part["node"], "left").select("key", "id", "sketch", F.coalesce("component", "id").alias("c"))
+    placed = buckets.join(part, buckets["id"] == part["node"], "left").select("key", "id", "central", F.coalesce("component", "id").alias("c"))
     placed = stage_table(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    members = placed.join(open_keys, "key")
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    return stage_table(placed.join(several, "key"), "open")
+
+
+def search(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Links (a, b) of heads (id, bands, sketch), enough of them to connect all that belong together."""
+    rows = heads.select("id", F.explode("bands").alias("key"))
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = stage_table(rows.join(keys, "key"), "buckets")
+    # the original of a family of edited copies shares buckets with most of them, so it makes the best leader
+    central = buckets.groupBy("id").agg(F.sum("n").alias("central"))
+    buckets = stage_table(buckets.drop("n").join(central, "id"), "buckets")
+    sketches = stage_table(heads.select("id", "sketch").join(central, "id", "left_semi"), "sketches")
+    n_rows = buckets.count()
+
+    links, tries, members = None, 0, _placed(buckets, None)
+    while True:
+        first = F.lit(0).cast("long") if tries == 0 else F.xxhash64("c", F.lit(tries))
+        best = F.min(F.struct(first.alias("turn"), (-F.col("central")).alias("rank"), "id", "c"))
+        leaders = members.groupBy("key").agg(best.alias("x")).select("key", F.col("x.id").alias("lead"), F.col("x.c").alias("lead_c"))
+        found = confirm(docs, _trials(members, sketches, leaders))
+        links = found if links is None else stage_table(links.unionByName(found).distinct(), "links")
+        members, tries = _placed(buckets, links), tries + 1
+        per_key = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+        left = per_key.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first()["pairs"]
+        if left <= n_rows or tries >= ROUNDS:
+            break
+    if not left:
+        return links
+    # what no leader has settled: pairs between the components of a bucket, never within one
+    members = members.join(sketches, "id")
     one = members.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
     two = members.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))
     across = one.join(two, (one["key"] == two["key"]) & (F.col("ca") < F.col("cb")) & _close("sa", "sb")).select("a", "b").distinct()
-    more = confirm(docs, stage_table(across.join(pairs_tried(pairs), ["a", "b"], "left_anti"), "across"))
-    part = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return links.unionByName(confirm(docs, across))
+
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each input row."""
+    every = stage_table(profiles(docs), "profiles")
+    node = every.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
+    heads = every.filter("sig is not null").join(node.select(F.col("id").alias("doc_id"), F.col("sig").alias("own")), "doc_id").filter("sig = own").select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id", "bands"])
+    part = components(search(docs, heads).select(F.col("a").alias("u"), F.col("b").alias("v")))
     of_sig = node.join(part, node["id"] == part["node"], "left").select("sig", F.coalesce("component", "id").alias("component"))
     out = every.select("doc_id", "n_shingles", "sig").join(of_sig, "sig", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def pairs_tried(pairs: DataFrame) -> DataFrame:
-    """Both directions of pairs whose full sets were compared before."""
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document is the smallest id of its component; of rows that repeat an id, one."""
     found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
