@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import oddsketch, quality_ordinal
+from . import byte_bpe, decontam, oddsketch, oracles, quality_ordinal, secret_scan
 from .common import read
 
 
@@ -21,9 +21,21 @@ def op7_oddsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oddsketch.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_pigeonhole_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_ordinal, op7_oddsketch_dedup)}
+    return {f.__name__: f for f in (op1_quality_ordinal, op3_pigeonhole_decontam, op7_oddsketch_dedup, op8_byte_bpe, op10_trigram_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
