@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_worker
+
 MEMO = 400_000
 #: Keys a bucket of the perfect hash, on average.
 LOAD = 4
@@ -165,7 +167,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
     def run(batches):
         keys, moves, owner = tables.value
-        encoder = Encoder(keys, PerfectHash(keys, (moves, owner)))
+        encoder = in_worker("byte_bpe", path, lambda: Encoder(keys, PerfectHash(keys, (moves, owner))))
         for b in batches:
             ids = [encoder.encode(t) for t in b.column("text").to_pylist()]
             out = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids])]

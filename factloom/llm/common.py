@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,13 @@ def discard(df: DataFrame) -> None:
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_worker(name: str, key: Hashable, make: Callable):
+    """make(), kept for later tasks of the same Python worker, so that each task need not warm it up anew. One object of a
+    name is held; what it holds is bounded by its own limits."""
+    held = sys.__dict__.setdefault("_text_operators", {})
+    found = held.get(name)
+    if found is None or found[0] != key:
+        found = held[name] = (key, make())
+    return found[1]

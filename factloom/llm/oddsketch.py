@@ -5,9 +5,9 @@ folded into a parity bitmap (an odd sketch) reject most candidates by the popula
 confirmed on the full shingle sets. Links need 100 * intersection >= 75 * union.
 
 No pairs are made within a group. In rounds, every member is tried against a leader of its bucket, first the member that
-shares the most buckets, and leaves with the leader's component. Where buckets still hold several components, and these
-have no more pairs between them than there are bucket rows (or after ROUNDS rounds), those pairs are tried, and only those.
-So a group of n copies costs about n trials, and no link that shares a band is lost.
+shares the most buckets, and joins the leader's component if they are alike. Members of buckets that still hold several
+components are then joined on their rarest shingles, which finds every link between them. So a group of n copies costs about
+n trials, and no link that shares a band is lost.
 
 Defined results: null texts and texts without a word have an empty set, n_shingles 0, and are alone in their component.
 With fewer than five words the whole sequence is the one shingle. Documents with the same set are one node: of any number
@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, stage_table
@@ -40,6 +40,9 @@ CHUNK = 2048
 BITMAP_BITS = 1 << 23
 #: Mates of one document that a task tries at most, and rounds of leaders before the rest is tried pair by pair.
 MATES, ROUNDS = 512, 6
+#: Another round of leaders needs more pairs between components than so many a bucket row, and fewer than this share of
+#: those before the last round.
+PAIRS_A_ROW, STALL = 64, 0.7
 
 _RNG = np.random.default_rng(20240711)
 _XOR = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -149,12 +152,12 @@ def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return asked.withColumn("word", word).join(F.broadcast(bitmap), "word").filter(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1).select("id", "text")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) that are links on full sets. Only texts of ids in a pair are moved; an a with very many mates is
     dealt over several tasks."""
     pairs = stage_table(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stage_table(_sets(_holding(docs, ids).join(ids, "id")), "sets")
+    sets = sets or stage_table(_sets(_holding(docs, ids).join(ids, "id")), "sets")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MATES).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     left = parts.join(sets, parts["a"] == sets["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("left_set"))
@@ -197,7 +200,7 @@ def search(docs: DataFrame, heads: DataFrame) -> DataFrame:
     sketches = stage_table(heads.select("id", "sketch").join(central, "id", "left_semi"), "sketches")
     n_rows = buckets.count()
 
-    links, tries, members = None, 0, _placed(buckets, None)
+    links, tries, members, before = None, 0, _placed(buckets, None), None
     while True:
         first = F.lit(0).cast("long") if tries == 0 else F.xxhash64("c", F.lit(tries))
         best = F.min(F.struct(first.alias("turn"), (-F.col("central")).alias("rank"), "id", "c"))
@@ -207,16 +210,31 @@ def search(docs: DataFrame, heads: DataFrame) -> DataFrame:
         members, tries = _placed(buckets, links), tries + 1
         per_key = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
         left = per_key.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first()["pairs"]
-        if left <= n_rows or tries >= ROUNDS:
+        if left <= PAIRS_A_ROW * n_rows or tries >= ROUNDS or (before is not None and left > STALL * before):
             break
-    if not left:
-        return links
-    # what no leader has settled: pairs between the components of a bucket, never within one
-    members = members.join(sketches, "id")
-    one = members.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
-    two = members.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))
-    across = one.join(two, (one["key"] == two["key"]) & (F.col("ca") < F.col("cb")) & _close("sa", "sb")).select("a", "b").distinct()
-    return links.unionByName(confirm(docs, across))
+        before = left
+    return links.unionByName(_rest(docs, members, sketches)) if left else links
+
+
+def _rest(docs: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links that no leader has shown, between components of a bucket.
+
+    Sets a link apart share one of their rarest shingles: with all shingles in one fixed order, two sets at 0.75 share one
+    within the first |set| - ceil(0.75 |set|) + 1 of each. So documents that have no more than a common passage in common
+    are never paired, however many they are."""
+    own = stage_table(members.select("id", "c").distinct(), "open")
+    sets = stage_table(_sets(_holding(docs, own.select("id")).join(own, "id")), "sets")
+    rows = sets.select("id", F.explode("shingles").alias("token"))
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    spread = rows.join(shared, "token").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    sized = sets.select("id", "c", F.size("shingles").alias("n")).join(sketches, "id")
+    first = F.col("n") - F.ceil(F.col("n") * LEVEL / 100) + 1
+    prefix = stage_table(spread.join(sized, "id").filter(F.col("rank") + F.col("n") - F.col("shared") <= first).select("token", "id", "c", "n", "sketch"), "prefix")
+    one = prefix.select("token", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = prefix.select("token", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    alike = (100 * F.least("na", "nb") >= LEVEL * F.greatest("na", "nb")) & _close("sa", "sb")
+    across = one.join(two, (one["token"] == two["token"]) & (F.col("ca") < F.col("cb")) & alike).select("a", "b").distinct()
+    return confirm(docs, across, sets.select("id", "shingles"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

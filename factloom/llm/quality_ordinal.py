@@ -14,19 +14,23 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_worker
+
 #: Hash space of features, and how many labelled rows of each grade the fit may use (those with the smallest id hash).
 DIM = 1 << 20
 SAMPLE_PER_GRADE = 1500
-#: Sampled texts that a feature must occur in, passes over the sample, rows a step, step size, ridge penalty.
-MIN_TEXTS, EPOCHS, BATCH, RATE, RIDGE = 4, 12, 32, 0.15, 1e-4
+#: Sampled texts that a feature must occur in, standard errors by which their grades must differ, steps, rows a step, step size, ridge penalty.
+MIN_TEXTS, MIN_SHIFT, STEPS, BATCH, RATE, RIDGE = 6, 3.5, 5000, 32, 0.3, 1e-4
 MEMO = 300_000
+#: Texts below the cut that may stay for each text above it that a floor would lose, as shares of either.
+WORTH = 4
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _RUNS = ((re.compile(r"[^\W\d_a-zà-öø-ÿ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "9"))
@@ -45,6 +49,14 @@ def _of_token(token: str) -> tuple[int, int]:
     return _bucket("w " + _EDGE.sub("", token).lower()), _bucket("s " + shape)
 
 
+def _of_repeats(tokens: list[str], text: str) -> list[int]:
+    """Buckets for how much a text repeats itself: the next word, and whole lines."""
+    twins = sum(map(str.__eq__, tokens, tokens[1:]))
+    lines = [x for x in text.split("\n") if x.strip()]
+    again = len(lines) - len(set(lines))
+    return [_bucket(f"r {min(9, 20 * twins // len(tokens))}"), _bucket(f"l {min(9, 10 * again // max(1, len(lines)))}")]
+
+
 class Features:
     """Distinct feature buckets of texts. The memo of tokens is bounded and emptied when full."""
 
@@ -55,21 +67,26 @@ class Features:
         memo, found = self.memo, set()
         if len(memo) > MEMO:
             memo.clear()
-        for token in set(text.split()) if text else ():
+        tokens = text.split() if text else []
+        for token in set(tokens):
             pair = memo.get(token)
             if pair is None:
                 pair = memo[token] = _of_token(token)
             found.update(pair)
+        if tokens:
+            found.update(_of_repeats(tokens, text))
         return sorted(found)
 
 
 @dataclass
 class OrdinalModel:
-    """buckets: those with a weight, ascending; thresholds: ascending, one fewer than grades."""
+    """buckets: those with a weight, ascending; thresholds: ascending, one fewer than grades; floors: for each cut, the least
+    tail probability of a selected text."""
 
     buckets: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    floors: list[float] = field(default_factory=list)
 
     def score(self, rows: list[list[int]]) -> np.ndarray:
         out = np.zeros(len(rows))
@@ -89,24 +106,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[list[int]], grades: list[int], n_grades: int, seed: int = 7) -> OrdinalModel:
-    """Maximum likelihood by AdaGrad in small batches; the same sample gives the same model."""
+def fit(rows: list[list[int]], grades: list[int], n_grades: int, weights: list[float] | None = None, seed: int = 7) -> OrdinalModel:
+    """Weighted maximum likelihood by AdaGrad in small batches; the same sample gives the same model."""
     y = np.asarray(grades, np.int64)
+    mass = np.ones(len(y)) if weights is None else np.asarray(weights) / np.mean(weights)
     flat, sizes = np.concatenate([np.asarray(r, np.int64) for r in rows] or [np.zeros(0, np.int64)]), np.array([len(r) for r in rows], np.int64)
-    names, counts = np.unique(flat, return_counts=True)
-    names = names[counts >= MIN_TEXTS]
+    names, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    # a feature takes part if the grades of the texts that have it differ from all texts' by more than chance
+    shift = np.bincount(where, np.repeat(y - y.mean(), sizes), len(names)) / np.sqrt(np.maximum(counts, 1)) / max(y.std(), 1e-9)
+    names = names[(counts >= MIN_TEXTS) & (np.abs(shift) >= MIN_SHIFT)]
     at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
     known = names[at] == flat if len(names) else np.zeros(len(flat), bool)
     owner = np.repeat(np.arange(len(rows)), sizes)[known]
     cols = at[known]
     start = np.searchsorted(owner, np.arange(len(rows) + 1))
     # theta_0, then logarithms of the gaps: any values are ordered thresholds
-    below = np.clip([(y <= k).mean() for k in range(n_grades - 1)], 0.02, 0.98)
+    below = np.clip([(mass * (y <= k)).mean() for k in range(n_grades - 1)], 0.02, 0.98)
     first = np.log(below / (1 - below))
     raw = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 0.05))])
     w, gw, gt = np.zeros(len(names)), np.full(len(names), 1e-2), np.full(len(raw), 1e-2)
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // max(len(rows), 1))):
         order = rng.permutation(len(rows))
         for b in range(0, len(order), BATCH):
             pick = order[b : b + BATCH]
@@ -116,11 +136,11 @@ def fit(rows: list[list[int]], grades: list[int], n_grades: int, seed: int = 7)
             theta = np.concatenate([raw[:1], raw[:1] + np.cumsum(np.exp(raw[1:]))])
             padded = np.concatenate([[-1e9], theta, [1e9]])
             hi, lo = _sigmoid(padded[y[pick] + 1] - s), _sigmoid(padded[y[pick]] - s)
-            ds = hi + lo - 1
+            ds = (hi + lo - 1) * mass[pick]
             gap = np.maximum(hi - lo, 1e-9)
             dt = np.zeros(n_grades + 1)
-            np.add.at(dt, y[pick] + 1, hi * (1 - hi) / gap)
-            np.add.at(dt, y[pick], -lo * (1 - lo) / gap)
+            np.add.at(dt, y[pick] + 1, mass[pick] * hi * (1 - hi) / gap)
+            np.add.at(dt, y[pick], -mass[pick] * lo * (1 - lo) / gap)
             dt = dt[1:-1]
             draw = np.array([dt.sum(), *(np.exp(raw[k]) * dt[k:].sum() for k in range(1, len(raw)))]) / len(pick)
             near = np.unique(ids)
@@ -133,6 +153,21 @@ def fit(rows: list[list[int]], grades: list[int], n_grades: int, seed: int = 7)
     return OrdinalModel(names[keep], w[keep], np.concatenate([raw[:1], raw[:1] + np.cumsum(np.exp(raw[1:]))]))
 
 
+def best_floor(tail: np.ndarray, good: np.ndarray) -> float:
+    """The tail probability that parts good rows from others best on the sample; a good row lost costs WORTH others kept.
+    It lies midway between the two neighbouring values; 0.5 if the sample has only one kind."""
+    if good.all() or not good.any():
+        return 0.5
+    values, at = np.unique(tail, return_inverse=True)
+    lost = np.cumsum(np.bincount(at, good, len(values))) / good.sum()
+    caught = np.cumsum(np.bincount(at, ~good, len(values))) / (~good).sum()
+    gain = caught - WORTH * lost
+    i = int(np.argmax(gain))
+    if gain[i] <= 0:
+        return 0.0
+    return float((values[i] + values[min(i + 1, len(values) - 1)]) / 2)
+
+
 def train(docs: DataFrame, grades: DataFrame, n_grades: int, sample_per_grade: int = SAMPLE_PER_GRADE) -> OrdinalModel | None:
     """docs: doc_id, text; grades: doc_id, grade (0 .. n_grades-1). None if no labelled document has a word.
 
@@ -145,7 +180,7 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, sample_per_grade: i
         sample = part if sample is None else sample.unionByName(part)
 
     def lists(batches):
-        features = Features()
+        features = in_worker("quality_features", DIM, Features)
         for b in batches:
             rows = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "grade", "x"])
@@ -154,24 +189,29 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, sample_per_grade: i
     got = chosen.mapInArrow(lists, "doc_id long, grade int, x array<int>").toArrow().sort_by("doc_id")
     rows, y = got["x"].to_pylist(), got["grade"].to_pylist()
     used = [i for i, r in enumerate(rows) if r]
-    return fit([rows[i] for i in used], [y[i] for i in used], n_grades) if used else None
+    if not used:
+        return None
+    rows, y = [rows[i] for i in used], np.array([y[i] for i in used])
+    model = fit(rows, y, n_grades)
+    model.floors = [best_floor(tail, y >= k + 1) for k, tail in enumerate(model.tails(model.score(rows)).T)]
+    return model
 
 
-def _judge(model: OrdinalModel | None, texts: list, cut: int, features: Features, floor: float):
+def _judge(model: OrdinalModel | None, texts: list, cut: int, features: Features, floor: float | None):
     rows = [features(t) for t in texts]
     some = np.array([bool(r) for r in rows], bool)
     if model is None:
         return None, None, some
     tails = model.tails(model.score(rows))
     grade, tail = np.where(some, tails.sum(1), 0.0), np.where(some, tails[:, cut - 1], 0.0)
-    return grade, tail, some & (tail >= floor)
+    return grade, tail, some & (tail >= (model.floors[cut - 1] if floor is None else floor))
 
 
-def score_documents(docs: DataFrame, model: OrdinalModel | None, cut: int, floor: float = 0.5) -> DataFrame:
-    """doc_id, expected_grade, p_tail = P(grade >= cut), kept = p_tail >= floor."""
+def score_documents(docs: DataFrame, model: OrdinalModel | None, cut: int, floor: float | None = None) -> DataFrame:
+    """doc_id, expected_grade, p_tail = P(grade >= cut), kept = p_tail >= floor, by default the model's own."""
 
     def run(batches):
-        features = Features()
+        features = in_worker("quality_features", DIM, Features)
         for b in batches:
             grade, tail, kept = _judge(model, b.column("text").to_pylist(), cut, features, floor)
             none = pa.nulls(b.num_rows, pa.float64())
@@ -180,12 +220,12 @@ def score_documents(docs: DataFrame, model: OrdinalModel | None, cut: int, floor
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, expected_grade double, p_tail double, kept boolean")
 
 
-def select_documents(docs: DataFrame, model: OrdinalModel | None, cut: int, floor: float = 0.5) -> DataFrame:
+def select_documents(docs: DataFrame, model: OrdinalModel | None, cut: int, floor: float | None = None) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     at = docs.columns.index("text")
 
     def run(batches):
-        features = Features()
+        features = in_worker("quality_features", DIM, Features)
         for b in batches:
             yield b.filter(pa.array(_judge(model, b.column(at).to_pylist(), cut, features, floor)[2]))
 

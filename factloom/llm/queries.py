@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, oddsketch, oracles, quality_ordinal, secret_scan
+from . import byte_bpe, decontam, divergence, fst_count, langid, oddsketch, oracles, quality_ordinal, secret_scan
 from .common import read
 
 
@@ -17,10 +17,20 @@ def op1_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ordinal.score_documents(docs, model, cut=2)
 
 
+def op4_ngram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op7_oddsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oddsketch.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return divergence.apply_rules(docs, divergence.learn(docs))
+
+
 def op3_pigeonhole_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -29,12 +39,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_fst_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_ordinal, op3_pigeonhole_decontam, op7_oddsketch_dedup, op8_byte_bpe, op10_trigram_secrets)}
+    return {f.__name__: f for f in (op1_quality_ordinal, op2_divergence_rules, op3_pigeonhole_decontam, op4_ngram_langid, op7_oddsketch_dedup, op8_byte_bpe, op9_fst_token_counts, op10_trigram_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
