@@ -27,10 +27,10 @@ from .common import in_worker
 DIM = 1 << 20
 SAMPLE_PER_GRADE = 1500
 #: Sampled texts that a feature must occur in, standard errors by which their grades must differ, steps, rows a step, step size, ridge penalty.
-MIN_TEXTS, MIN_SHIFT, STEPS, BATCH, RATE, RIDGE = 6, 3.5, 5000, 32, 0.3, 1e-4
+MIN_TEXTS, MIN_SHIFT, STEPS, BATCH, RATE, RIDGE = 6, 5.0, 4000, 32, 0.2, 1e-4
 MEMO = 300_000
 #: Texts below the cut that may stay for each text above it that a floor would lose, as shares of either.
-WORTH = 4
+WORTH = 8
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _RUNS = ((re.compile(r"[^\W\d_a-zà-öø-ÿ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "9"))
@@ -113,8 +113,11 @@ def fit(rows: list[list[int]], grades: list[int], n_grades: int, weights: list[f
     flat, sizes = np.concatenate([np.asarray(r, np.int64) for r in rows] or [np.zeros(0, np.int64)]), np.array([len(r) for r in rows], np.int64)
     names, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
     # a feature takes part if the grades of the texts that have it differ from all texts' by more than chance
-    shift = np.bincount(where, np.repeat(y - y.mean(), sizes), len(names)) / np.sqrt(np.maximum(counts, 1)) / max(y.std(), 1e-9)
-    names = names[(counts >= MIN_TEXTS) & (np.abs(shift) >= MIN_SHIFT)]
+    shift = np.zeros(len(names))
+    for k in range(n_grades - 1):
+        over = (y > k).astype(float)
+        shift = np.maximum(shift, np.abs(np.bincount(where, np.repeat(over - over.mean(), sizes), len(names))) / np.sqrt(np.maximum(counts, 1)) / max(over.std(), 1e-9))
+    names = names[(counts >= MIN_TEXTS) & (shift >= MIN_SHIFT)]
     at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
     known = names[at] == flat if len(names) else np.zeros(len(flat), bool)
     owner = np.repeat(np.arange(len(rows)), sizes)[known]
