@@ -229,10 +229,12 @@ def _rest(docs: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame
     spread = rows.join(shared, "token").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")))
     sized = sets.select("id", "c", F.size("shingles").alias("n")).join(sketches, "id")
     first = F.col("n") - F.ceil(F.col("n") * LEVEL / 100) + 1
-    prefix = stage_table(spread.join(sized, "id").filter(F.col("rank") + F.col("n") - F.col("shared") <= first).select("token", "id", "c", "n", "sketch"), "prefix")
-    one = prefix.select("token", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = prefix.select("token", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    alike = (100 * F.least("na", "nb") >= LEVEL * F.greatest("na", "nb")) & _close("sa", "sb")
+    place = F.col("rank") + F.col("n") - F.col("shared")
+    prefix = stage_table(spread.join(sized, "id").filter(place <= first).select("token", "id", "c", "n", (F.col("n") - place).alias("rest"), "sketch"), "prefix")
+    one = prefix.select("token", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("sketch").alias("sa"))
+    two = prefix.select("token", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("sketch").alias("sb"))
+    # at their first shared shingle, two sets can share no more than what either has left
+    alike = ((100 + LEVEL) * (1 + F.least("ra", "rb")) >= LEVEL * (F.col("na") + F.col("nb"))) & _close("sa", "sb")
     across = one.join(two, (one["token"] == two["token"]) & (F.col("ca") < F.col("cb")) & alike).select("a", "b").distinct()
     return confirm(docs, across, sets.select("id", "shingles"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, divergence, fst_count, langid, oddsketch, oracles, quality_ordinal, secret_scan
+from . import byte_bpe, decontam, divergence, fst_count, html_lstm, langid, oddsketch, oracles, quality_ordinal, secret_scan, suffix_dedup
 from .common import read
 
 
@@ -22,6 +22,14 @@ def op4_ngram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op5_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_lstm.extract(read(spark, sf_dir, "pages"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_oddsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oddsketch.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_ordinal, op2_divergence_rules, op3_pigeonhole_decontam, op4_ngram_langid, op7_oddsketch_dedup, op8_byte_bpe, op9_fst_token_counts, op10_trigram_secrets)}
+    return {f.__name__: f for f in (op1_quality_ordinal, op2_divergence_rules, op3_pigeonhole_decontam, op4_ngram_langid, op5_html_lstm, op6_suffix_dedup, op7_oddsketch_dedup, op8_byte_bpe, op9_fst_token_counts, op10_trigram_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
