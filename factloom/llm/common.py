@@ -54,11 +54,19 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(batches, rows: int = 512):
+    """Arrow batches cut into slices, so that Python holds the texts of few rows at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def in_worker(name: str, key: Hashable, make: Callable):
-    """make(), kept for later tasks of the same Python worker, so that each task need not warm it up anew. One object of a
-    name is held; what it holds is bounded by its own limits."""
+    """make(), kept for later tasks of the same Python worker, so that each task need not warm it up anew. A worker holds one
+    object, the last asked for; what it holds is bounded by its own limits."""
     held = sys.__dict__.setdefault("_text_operators", {})
     found = held.get(name)
     if found is None or found[0] != key:
+        held.clear()
         found = held[name] = (key, make())
     return found[1]

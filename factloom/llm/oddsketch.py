@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stage_table
+from .common import discard, small, stage_table
 from .components import components
 
 WORDS = 5
@@ -112,7 +112,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, sig (digest of the set; null if empty), bands, sketch: one pass over the whole texts."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             n, sig, bands, sketch = [], [], [], []
             for text in b.column("text").to_pylist():
                 found = shingles(text)
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """id and the full set, a row for each input row (id, ..., text)."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             at = b.schema.get_field_index("text")
             sets = pa.array([shingles(t).view(np.int64) for t in b.column(at).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), sets], names=[*(f.name for i, f in enumerate(b.schema) if i != at), "shingles"])
