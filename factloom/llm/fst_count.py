@@ -24,58 +24,86 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_worker
+from .common import in_worker, small
 
 LIMIT = 4096
 #: Characters of a chunk; entries of the memo of stretches, states of the machine, and remembered pairs before they are
 #: emptied and compiled anew.
-CHUNK, MEMO, STATES, PAIRS = 1 << 16, 400_000, 100_000, 1_000_000
+CHUNK, MEMO, STATES, PAIRS = 1 << 16, 500_000, 200_000, 500_000
 SPACE = "▁"
 
 _STRETCH = re.compile(r" *[^ ]+| +")
-_UNKNOWN = -1
 
 
 class Machine:
     """scores: piece -> score; a higher score merges first, leftmost on ties."""
 
     def __init__(self, scores: dict[str, float]) -> None:
-        self.scores = scores
+        #: Turn in which a piece is merged, and the two pieces that it is merged from; characters are there from the start.
+        self.turn: dict[str, int] = {}
+        self.halves: dict[str, tuple[str, str]] = {}
+        order = {p: i for i, p in enumerate(sorted(scores, key=lambda p: -scores[p]))}
         self.trie: list[dict[str, int]] = [{}]
         self.piece_at: list[str | None] = [None]
         for piece in scores:
-            if len(piece) == 1 or self.segment(piece) == [piece]:  # others never stand in a segmentation
-                node = 0
-                for c in piece:
-                    nxt = self.trie[node].get(c)
-                    if nxt is None:
-                        nxt = self.trie[node][c] = len(self.trie)
-                        self.trie.append({})
-                        self.piece_at.append(None)
-                    node = nxt
-                self.piece_at[node] = piece
-        self.start = ((0, None, 0),)
-        self.moves: dict[tuple, dict[str, tuple[tuple, int]]] = {}
+            halves = self._halves(piece, order)
+            if halves is None and len(piece) > 1:
+                continue  # never stands in a segmentation
+            node = 0
+            for c in piece:
+                nxt = self.trie[node].get(c)
+                if nxt is None:
+                    nxt = self.trie[node][c] = len(self.trie)
+                    self.trie.append({})
+                    self.piece_at.append(None)
+                node = nxt
+            self.piece_at[node] = piece
+            if halves:
+                self.halves[piece], self.turn[piece] = halves, order[piece]
         self.pairs: dict[tuple[str, str], bool] = {}
-
-    def segment(self, text: str) -> list[str]:
-        """Merging by definition; only ever asked about one or two pieces."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best = max(((scores[p], -i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in scores), default=None)
+        self._restart()
+
+    def _restart(self) -> None:
+        start = ((0, None, 0),)
+        self.states: list[tuple] = [start]
+        self.number: dict[tuple, int] = {start: 0}
+        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+
+    @staticmethod
+    def _halves(piece: str, order: dict[str, int]) -> tuple[str, str] | None:
+        """The last merge of a piece by definition; None if it doesn't come to be."""
+        parts = list(piece)
+        while len(parts) > 2:
+            best = min(((order[p], i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in order), default=None)
             if best is None:
-                return parts
-            i = -best[1]
+                return None
+            i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        return (parts[0], parts[1]) if len(parts) == 2 else None
 
     def adjacent(self, left: str, right: str) -> bool:
+        """Whether the two pieces, side by side, stay as they are: going back from the later of the two merges, no merge over
+        the border may have come before it."""
         key = (left, right)
         found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.segment(left + right) == [left, right]
+        if found is not None:
+            return found
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        turn, before, found = self.turn, len(self.turn) * 2 + 10**6, True
+        while True:
+            over = turn.get(left + right)
+            if over is not None and over < before:
+                found = False
+                break
+            a, b = turn.get(left, -1), turn.get(right, -1)
+            if a < 0 and b < 0:
+                break
+            if a > b:
+                before, left = a, self.halves[left][1]
+            else:  # on a tie the left one came first
+                before, right = b + 1, self.halves[right][0]
+        self.pairs[key] = found
         return found
 
     def compile(self, state: tuple, c: str) -> tuple[tuple, int]:
@@ -95,16 +123,19 @@ class Machine:
 
     def run(self, stretch: str) -> int:
         """Tokens of a stretch, from the state after a space boundary."""
-        state, total, moves = self.start, 0, self.moves
-        if len(moves) > STATES:
-            moves.clear()
+        if len(self.states) > STATES:
+            self._restart()
+        state, total, moves = 0, 0, self.moves
         for c in stretch:
-            out = moves.get(state)
-            if out is None:
-                out = moves[state] = {}
-            move = out.get(c)
+            move = moves[state].get(c)
             if move is None:
-                move = out[c] = self.compile(state, c)
+                after, add = self.compile(self.states[state], c)
+                number = self.number.get(after)
+                if number is None:
+                    number = self.number[after] = len(self.states)
+                    self.states.append(after)
+                    moves.append({})
+                move = moves[state][c] = (number, add)
             state, add = move
             total += add
         return total
@@ -196,7 +227,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def run(batches):
         counter = in_worker("fst_count", path, lambda: Counter(scores.value))
-        for b in batches:
+        for b in small(batches):
             texts = b.column("text").to_pylist()
             n = [counter.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
