@@ -30,6 +30,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, most_depth: int = MAX_
 def callers(references: DataFrame, symbols: DataFrame, depth: int = 1, most_nodes: int = MAX_NODES) -> DataFrame:
     """Call sites of the symbols and of their callers, with level; nodes beyond the cap, in order of level and name, are left
     out and flagged by the completeness columns."""
+    depth = max(1, min(depth, MAX_DEPTH))
     edges = references.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst")).distinct()
     nodes = reach(edges, symbols, depth)
     ranked = nodes.orderBy("level", "node").limit(most_nodes)
