@@ -110,13 +110,12 @@ def middle_men(spark, sf_dir):
     return structure.middle_men(table(spark, sf_dir, "part").select(F.col("p_brand").alias("type_id"), (F.col("p_size") > 15).alias("forwards"))).withColumn("share", F.round("share", 9))
 
 
-@query("select p_brand as type_id, count(*) filter (p_size > 25) as public_members, cast(coalesce(max(case when p_size % 10 = 0 then p_size % 7 end), 0) as bigint) as dependencies, cast(max(p_size % 3) as bigint) as bool_params from part group by p_brand")
+@query("select p_brand as type_id, count(*) filter (p_size > 25) as public_members, cast(coalesce(max(case when p_size % 10 = 0 then p_size % 7 end), 0) as bigint) as dependencies, cast(max(case when p_size % 10 = 0 then p_size % 7 else p_size % 3 end) as bigint) as bool_params from part group by p_brand")
 def member_counts(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     ctor = F.col("p_size") % 10 == 0
-    params = F.concat(F.array_repeat(F.lit("bool"), (F.col("p_size") % 3).cast("int")), F.when(ctor, F.array_repeat(F.lit("T"), F.greatest(F.lit(0), F.col("p_size") % 7 - F.col("p_size") % 3).cast("int"))).otherwise(F.array().cast("array<string>")))
+    params = F.array_repeat(F.lit("bool"), F.when(ctor, F.col("p_size") % 7).otherwise(F.col("p_size") % 3).cast("int"))
     m = p.select(F.col("p_brand").alias("type_id"), F.when(F.col("p_size") > 25, "public").otherwise("private").alias("visibility"), F.when(ctor, "constructor").otherwise("method").alias("kind"), params.alias("param_types"))
-    # a constructor has as many parameters as its size modulo 7, or as it has flags, whichever is more
     return structure.member_counts(m).select("type_id", "public_members", F.col("dependencies").cast("long").alias("dependencies"), F.col("bool_params").cast("long").alias("bool_params"))
 
 
@@ -126,14 +125,14 @@ def cyclomatic_points(spark, sf_dir):
     return structure.cyclomatic(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("member_id"), kind.alias("kind")))
 
 
-_COG = """n as (select l_orderkey as m, l_linenumber * 10000000 + l_partkey as o, case when l_returnflag = 'R' then 'if' when l_returnflag = 'A' then 'and' else 'else' end as kind, l_linenumber - 1 as nesting from lineitem),
+_COG = """n as (select l_orderkey as m, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey as o, case when l_returnflag = 'R' then 'if' when l_returnflag = 'A' then 'and' else 'else' end as kind, l_linenumber - 1 as nesting from lineitem),
 q as (select *, lag(kind) over (partition by m order by o) as prev from n)"""
 
 
 @query(f"with {_COG} select m as member_id, cast(sum(case when kind = 'if' then 1 + nesting when kind = 'else' then 1 when kind = 'and' and coalesce(prev = 'and', false) = false then 1 else 0 end) as bigint) as cognitive from q group by m")
 def cognitive_points(spark, sf_dir):
     kind = F.when(F.col("l_returnflag") == "R", "if").when(F.col("l_returnflag") == "A", "and").otherwise("else")
-    return structure.cognitive(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("member_id"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("ord"), kind.alias("kind"), (F.col("l_linenumber") - 1).alias("nesting")))
+    return structure.cognitive(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("member_id"), (F.col("l_linenumber") * F.lit(1000000000000) + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("ord"), kind.alias("kind"), (F.col("l_linenumber") - 1).alias("nesting")))
 
 
 @query("select l_orderkey as member_id, count(distinct l_suppkey % 5) as code_lines from lineitem group by l_orderkey")
