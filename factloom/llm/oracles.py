@@ -47,5 +47,16 @@ NEAR_DUPLICATES = r"""with recursive w as (
   from documents d left join n using (doc_id) join (select a, min(b) as c from r group by a) m on m.a = d.doc_id"""
 
 
+REPEATS = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+  w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, n - 49)) as i from d where n >= 50)),
+  f as (select s, min(doc_id) as m from w group by s), r as (select distinct doc_id, i from w join f using (s) where doc_id > m),
+  g as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as b from r),
+  k as (select doc_id, i, sum(b) over (partition by doc_id order by i) as run from g), sp as (select doc_id, min(i) as a, max(i) + 50 as e from k group by doc_id, run),
+  p as (select doc_id, a, e, lag(e, 1, 0) over (partition by doc_id order by a) as b from sp),
+  c as (select doc_id, sum(e - a) as gone, count(*) as runs, max(e) as tail, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' order by a) as body from p join d using (doc_id) group by doc_id)
+  select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(runs, 0) as n_spans, sha256(unhex(case when gone is null then h else body || substr(h, 2 * tail + 1) end)) as kept_sha256
+  from d left join c using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_oddsketch_dedup": NEAR_DUPLICATES, "op10_trigram_secrets": secrets_sql()}
+    return {"op6_suffix_dedup": REPEATS, "op7_oddsketch_dedup": NEAR_DUPLICATES, "op10_trigram_secrets": secrets_sql()}
