@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_worker
+from .common import bounded, in_worker, small
 
-MEMO = 400_000
+MEMO = 250_000
 #: Keys a bucket of the perfect hash, on average.
 LOAD = 4
 _MASK = (1 << 64) - 1
@@ -168,7 +168,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     def run(batches):
         keys, moves, owner = tables.value
         encoder = in_worker("byte_bpe", path, lambda: Encoder(keys, PerfectHash(keys, (moves, owner))))
-        for b in batches:
+        for b in small(batches):
             ids = [encoder.encode(t) for t in b.column("text").to_pylist()]
             out = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids])]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -178,4 +178,4 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, schema)

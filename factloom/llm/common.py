@@ -37,7 +37,7 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, "false")
+    was = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
@@ -54,6 +54,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to 1024 rows and 8 MB: texts are long, and an executor holds several batches
+    at once, off the heap, for each task."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def small(batches, rows: int = 512):
     """Arrow batches cut into slices, so that Python holds the texts of few rows at a time."""
     for batch in batches:

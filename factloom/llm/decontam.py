@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, small
+
 #: Error budget: edits a hundred characters, but never so many that pieces get shorter than PIECE characters.
 RATE, PIECE = 8, 16
 #: Characters of items held in memory at once; a larger benchmark is matched in blocks of about this size.
@@ -101,7 +103,8 @@ class Matcher:
         self.found = ahocorasick.Automaton()
         for piece, places in at.items():
             self.found.add_word(piece, (len(piece), places))
-        self.found.make_automaton()
+        if at:
+            self.found.make_automaton()
 
     def windows(self, text: str):
         """(item, lo, hi): stretches of text around piece hits that agree on where the item would start."""
@@ -122,7 +125,7 @@ class Matcher:
 
     def matches(self, text: str | None):
         """(item number, distance, start, end) in code points of the original text."""
-        if not text:
+        if not text or not self.patterns:
             return
         flat, spans = normal(text), None
         for n, lo, hi in self.windows(flat):
@@ -174,11 +177,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
 
         def run(batches, items=items):
             matcher = Matcher(items)
-            for b in batches:
+            for b in small(batches):
                 rows = [(d, matcher.ids[n], k, s, e) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for n, k, s, e in matcher.matches(t)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 5, names=["doc_id", "item_id", "distance", "start", "end"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -190,8 +193,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, block_chars: int = BL
 
         def run(batches, items=items):
             matcher = Matcher(items)
-            for b in batches:
+            for b in small(batches):
                 yield b.filter(pa.array([not matcher.any(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(bounded).mapInArrow(run, docs.schema)
     return docs

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, small
+
 #: Base rules: least words, and most hundredths of words in repeated five-word windows.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 #: Share of a language's words from which a word is common, and of all words from which a language has a reference.
@@ -120,7 +122,7 @@ def learn(docs: DataFrame) -> References | None:
     known = docs.select("lang", "text").filter("lang is not null and text is not null")
 
     def heavy(batches):
-        for b in batches:
+        for b in small(batches):
             chars, words = {}, {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = text.encode()
@@ -133,7 +135,7 @@ def learn(docs: DataFrame) -> References | None:
                 rows += [(lang, "w", w, n) for w, n in counted.items() if n >= COMMON / 2 * total]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary(), pa.int64()))] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.binary(), pa.int64())], names=["lang", "kind", "word", "n"])
 
-    summed = known.mapInArrow(heavy, "lang string, kind string, word binary, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    summed = known.transform(bounded).mapInArrow(heavy, "lang string, kind string, word binary, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     summed = summed.persist()
     try:
         totals = summed.filter("kind = 'n'").select("lang", F.col("n").alias("total"))
@@ -151,7 +153,7 @@ def learn(docs: DataFrame) -> References | None:
         asked[r["lang"]].add(bytes(r["word"]))
 
     def count(batches):
-        for b in batches:
+        for b in small(batches):
             out: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if lang in asked:
@@ -159,7 +161,7 @@ def learn(docs: DataFrame) -> References | None:
             rows = [(lang, w, n) for lang, x in out.items() for w, n in x.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["lang", "word", "n"])
 
-    exact = known.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
+    exact = known.transform(bounded).mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
     total = {r["lang"]: r["n"] for r in stats if r["kind"] == "n"}
     common = {lang: {bytes(r["word"]): r["n"] for r in exact if r["lang"] == lang and r["n"] >= COMMON * total[lang]} for lang in langs}
     at = {w: i for i, w in enumerate(sorted(set().union(*common.values())))}
@@ -204,8 +206,8 @@ def apply_rules(docs: DataFrame, refs: References | None) -> DataFrame:
     kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 2
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             rows = [(d, *judge(refs, t)) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, _SCHEMA)

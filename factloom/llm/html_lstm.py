@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, small
+
 #: Hash space of path and word features, size of their vectors, and of a direction's hidden state.
 SLOTS, VECTOR, HIDDEN = 2048, 12, 16
 MEASURES = 6
@@ -396,8 +398,8 @@ def extract(pages: DataFrame, net: Network | None = None) -> DataFrame:
 
     def run(batches):
         own = Network(sent.value)
-        for b in batches:
+        for b in small(batches):
             texts = main_texts(own, b.column("html").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").transform(bounded).mapInArrow(run, "page_id long, url string, text string, n_chars long")

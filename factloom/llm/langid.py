@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, small
+
 #: Lengths of n-grams, buckets of the hash, and the added count of a bucket.
 GRAMS, BUCKETS, SMOOTH = (1, 2, 3, 4), 1 << 16, 0.5
 #: Documents of each language to learn from: those with the smallest id hash. Languages below LEAST_SHARE of the training
@@ -91,7 +93,7 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in small(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 if flat := letters(text):
                     x = np.bincount(buckets(flat), minlength=BUCKETS)
@@ -101,7 +103,7 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(x[at], pa.int64())], names=["lang", "bucket", "n"])
 
     chosen = docs.select("doc_id", "lang", "text").join(F.broadcast(sample.distinct()), ["doc_id", "lang"])
-    counts = chosen.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = chosen.select("lang", "text").transform(bounded).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     x = np.full((BUCKETS, len(langs)), SMOOTH)
     number = {lang: i for i, lang in enumerate(langs)}
     np.add.at(x, (counts["bucket"].to_numpy(), np.array([number[v] for v in counts["lang"].to_pylist()], np.int64)), counts["n"].to_numpy())
@@ -114,9 +116,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = Model(*sent.value)
-        for b in batches:
+        for b in small(batches):
             got = [own.predict(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.transform(bounded).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small, stage_table
+from .common import bounded, discard, small, stage_table
 from .components import components
 
 WORDS = 5
@@ -126,7 +126,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 sketch.append(odd_sketch(least).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sig", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, "doc_id long, n_shingles long, sig binary, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), sets], names=[*(f.name for i, f in enumerate(b.schema) if i != at), "shingles"])
 
     rest = [f"{k} {v}" for k, v in docs.dtypes if k != "text"]
-    return docs.mapInArrow(run, ", ".join([*rest, "shingles array<long>"]))
+    return docs.transform(bounded).mapInArrow(run, ", ".join([*rest, "shingles array<long>"]))
 
 
 def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:

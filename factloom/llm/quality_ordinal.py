@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_worker
+from .common import bounded, in_worker, small
 
 #: Hash space of features, and how many labelled rows of each grade the fit may use (those with the smallest id hash).
 DIM = 1 << 20
 SAMPLE_PER_GRADE = 1500
 #: Sampled texts that a feature must occur in, standard errors by which their grades must differ, steps, rows a step, step size, ridge penalty.
 MIN_TEXTS, MIN_SHIFT, STEPS, BATCH, RATE, RIDGE = 6, 5.0, 4000, 32, 0.2, 1e-4
-MEMO = 300_000
+MEMO = 150_000
 #: Texts below the cut that may stay for each text above it that a floor would lose, as shares of either.
 WORTH = 8
 
@@ -184,12 +184,12 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, sample_per_grade: i
 
     def lists(batches):
         features = in_worker("quality_features", DIM, Features)
-        for b in batches:
+        for b in small(batches):
             rows = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "grade", "x"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "grade", "text")
-    got = chosen.mapInArrow(lists, "doc_id long, grade int, x array<int>").toArrow().sort_by("doc_id")
+    got = chosen.transform(bounded).mapInArrow(lists, "doc_id long, grade int, x array<int>").toArrow().sort_by("doc_id")
     rows, y = got["x"].to_pylist(), got["grade"].to_pylist()
     used = [i for i, r in enumerate(rows) if r]
     if not used:
@@ -215,12 +215,12 @@ def score_documents(docs: DataFrame, model: OrdinalModel | None, cut: int, floor
 
     def run(batches):
         features = in_worker("quality_features", DIM, Features)
-        for b in batches:
+        for b in small(batches):
             grade, tail, kept = _judge(model, b.column("text").to_pylist(), cut, features, floor)
             none = pa.nulls(b.num_rows, pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), none if grade is None else pa.array(grade), none if tail is None else pa.array(tail), pa.array(kept)], names=["doc_id", "expected_grade", "p_tail", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, expected_grade double, p_tail double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, "doc_id long, expected_grade double, p_tail double, kept boolean")
 
 
 def select_documents(docs: DataFrame, model: OrdinalModel | None, cut: int, floor: float | None = None) -> DataFrame:
@@ -229,10 +229,10 @@ def select_documents(docs: DataFrame, model: OrdinalModel | None, cut: int, floo
 
     def run(batches):
         features = in_worker("quality_features", DIM, Features)
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(_judge(model, b.column(at).to_pylist(), cut, features, floor)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(bounded).mapInArrow(run, docs.schema)
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:

@@ -228,7 +228,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by [kind], overlapping spans by the first one's; n_chars follows, if there."""
     name = "found"
-    while name in docs.columns:
+    while {name, f"{name}_id", f"{name}_kinds"} & set(docs.columns):
         name += "_"
 
     def step(acc, s):
