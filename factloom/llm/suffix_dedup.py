@@ -21,16 +21,19 @@ a span found in either is taken from both, as far as they reach. Extra columns a
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage_table
+from .common import bounded, discard, small, stage_table
 
 #: Length of the strings compared, and of the names of anchors.
 SPAN, MER = 50, 16
+#: Slices in which names are compared, one after the other.
+SLICES = 2
 WIDE = SPAN - MER + 1
 
 _RNG = np.random.default_rng(50)
@@ -109,52 +112,84 @@ def _usable(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN))
 
 
-def _anchor_rows(docs: DataFrame, full: bool) -> DataFrame:
-    """mer, doc; if full also place (window starts and anchor, packed), context, left and right names."""
-    names = ["mer", "doc"] + ["place", "context", "lname", "rname"] * full
+def _columns(names: list[str], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64) if c else np.zeros(0, np.int64)) for c in parts], names=names)
+
+
+def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """mer, doc, place (first and last window start and anchor, packed)."""
 
     def run(batches):
-        namer = Namer()
-        for b in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in names]
+        for b in small(batches):
+            parts: list[list[np.ndarray]] = [[], [], []]
             for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                name = mer_ranks(raw)
+                name = mer_ranks(np.frombuffer(text.encode(), np.uint8))
                 at, lo, hi = anchors(name)
-                row = [name[at], np.full(len(at), doc, np.int64)]
-                if full:
-                    row += [lo * 4096 + (hi - lo) * 64 + (at - lo), namer.stretches(raw, lo, hi + SPAN, at - lo), *_sides(name, at)]
-                for column, x in zip(columns, row):
-                    column.append(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns], names=names)
+                for part, x in zip(parts, (name[at], np.full(len(at), doc, np.int64), lo * 4096 + (hi - lo) * 64 + (at - lo))):
+                    part.append(x.view(np.int64))
+            yield _columns(["mer", "doc", "place"], parts)
 
-    return _usable(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return _usable(docs).transform(bounded).mapInArrow(run, "mer long, doc long, place long")
+
+
+def _context_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc, place, context, left and right names, for the anchors asked for (doc, places)."""
+    names = ["doc", "place", "context", "lname", "rname"]
+
+    def run(batches):
+        namer = Namer()
+        for b in small(batches):
+            parts: list[list[np.ndarray]] = [[] for _ in names]
+            for doc, text, places in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("places")):
+                place = np.unique(places.values.to_numpy())
+                raw = np.frombuffer(text.encode(), np.uint8)
+                lo = place >> 12
+                at, end = lo + (place & 63), lo + ((place >> 6) & 63) + SPAN
+                fits = end <= len(raw)  # all but for rows that repeat an id
+                place, lo, at, end = place[fits], lo[fits], at[fits], end[fits]
+                row = [np.full(len(at), doc, np.int64), place, namer.stretches(raw, lo, end, at - lo), *_sides(mer_ranks(raw), at)]
+                for part, x in zip(parts, row):
+                    part.append(x.view(np.int64))
+            yield _columns(names, parts)
+
+    return _usable(docs).join(asked.hint("shuffle_hash"), "doc").transform(bounded).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _window_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """head, tail (32-byte names at offsets 0 and 18), doc, start: the windows of the anchors asked for (doc, places: place
-    and whether its left and its right name are shared)."""
+    """head, tail (32-byte names at offsets 0 and 18), doc, start: the windows of the anchors asked for (doc, places:
+    the place, and a bit each for a shared left and a shared right name)."""
 
     def run(batches):
-        for b in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, text, places in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("places").to_pylist()):
+        for b in small(batches):
+            parts: list[list[np.ndarray]] = [[], [], [], []]
+            for doc, text, places in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("places")):
                 name = mer_ranks(np.frombuffer(text.encode(), np.uint8))
-                starts: set[int] = set()
-                for p in places:
-                    lo, more, off = p["place"] // 4096, p["place"] // 64 % 64, p["place"] % 64
-                    middle = lo + off - MER
-                    if p["l"]:
-                        starts.update(range(lo, min(lo + more, middle - 1) + 1))
-                    if p["r"]:
-                        starts.update(range(max(lo, middle), lo + more + 1))
-                at = np.fromiter(starts, np.int64, len(starts))
+                packed = places.values.to_numpy()
+                place, sides = packed >> 2, packed & 3
+                lo, hi, middle = place >> 12, (place >> 12) + ((place >> 6) & 63), (place >> 12) + (place & 63) - MER
+                runs = [(lo, np.minimum(hi, middle - 1), sides & 1), (np.maximum(lo, middle), hi, sides & 2)]
+                edge = np.zeros(len(name) + SPAN + 2, np.int64)
+                for first, last, on in runs:
+                    keep = (on > 0) & (last >= first) & (last < len(name))
+                    edge += np.bincount(first[keep], minlength=len(edge))
+                    edge -= np.bincount(last[keep] + 1, minlength=len(edge))
+                at = np.flatnonzero(np.cumsum(edge) > 0)
                 at = at[at + SPAN - MER < len(name)]
-                for column, x in zip(columns, (_mix(name[at] * _LEVEL[4] + name[at + MER]), _mix(name[at + SPAN - 2 * MER] * _LEVEL[4] + name[at + SPAN - MER]), np.full(len(at), doc, np.int64), at)):
-                    column.append(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns], names=["head", "tail", "doc", "start"])
+                row = (_mix(name[at] * _LEVEL[4] + name[at + MER]), _mix(name[at + SPAN - 2 * MER] * _LEVEL[4] + name[at + SPAN - MER]), np.full(len(at), doc, np.int64), at)
+                for part, x in zip(parts, row):
+                    part.append(x.view(np.int64))
+            yield _columns(["head", "tail", "doc", "start"], parts)
+
+    return _usable(docs).join(asked.hint("shuffle_hash"), "doc").transform(bounded).mapInArrow(run, "head long, tail long, doc long, start long")
+
+
+def _span(start, end):
+    """Start and end in one long."""
+    return (F.shiftleft(start.cast("long"), 32) + end).alias("span")
 
-    return _usable(docs).join(asked, "doc").mapInArrow(run, "head long, tail long, doc long, start long")
+
+def _slice(name: str):
+    return F.pmod(F.col(name), F.lit(SLICES))
 
 
 def _shared(rows: DataFrame, *key: str) -> DataFrame:
@@ -163,32 +198,57 @@ def _shared(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc, spans (array of start and end): stretches of bytes to remove, overlapping and in no order."""
-    mers = stage_table(_shared(_anchor_rows(docs, False), "mer").select("mer"), "mers")
-    rows = stage_table(_anchor_rows(docs, True).join(mers, "mer", "left_semi"), "anchors")
-    discard(mers)
-    first = rows.groupBy("context").agg(F.min("doc").alias("first"))
-    placed = stage_table(rows.join(first, "context").select("doc", "place", "lname", "rname", (F.col("doc") > F.col("first")).alias("again")), "contexts")
+    """doc, spans (array of packed start and end): stretches of bytes to remove, overlapping and in no order."""
+    # each kind of name is grouped in one job and met with its rows in the next, and anchors and windows are taken in slices
+    # of names, so that little of them is in flight at once
+    rows = stage_table(_anchor_rows(docs), "anchors")
+    parts = []
+    for k in range(SLICES):
+        part = rows.filter(_slice("mer") == k)
+        mers = stage_table(_shared(part, "mer").select("mer"), "mers")
+        parts.append(stage_table(part.join(mers.hint("shuffle_hash"), "mer", "left_semi").select("doc", "place"), "met"))
+        discard(mers)
+    discard(rows)
+    met = stage_table(reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.collect_list("place").alias("places")), "met")
+    for part in parts:
+        discard(part)
+    rows = stage_table(_context_rows(docs, met), "contexts")
+    discard(met)
+    first = stage_table(_shared(rows, "context"), "first")
+    again = F.coalesce(F.col("doc") > F.col("least"), F.lit(False))
+    placed = stage_table(rows.join(first.hint("shuffle_hash"), "context", "left").select("doc", "place", *(F.when(~again, F.col(c)).alias(c) for c in ("lname", "rname")), again.alias("again")), "placed")
     discard(rows)
-    lo, more = F.floor(F.col("place") / 4096).cast("int"), F.floor(F.col("place") / 64) % 64
-    whole = placed.filter("again").select("doc", lo.alias("start"), (lo + more + SPAN).cast("int").alias("end"))
-    heads = placed.filter("not again")
-    left = heads.filter("lname <> 0").join(_shared(heads.filter("lname <> 0"), "lname"), "lname", "left_semi").select("doc", "place", F.lit(True).alias("l"), F.lit(False).alias("r"))
-    right = heads.filter("rname <> 0").join(_shared(heads.filter("rname <> 0"), "rname"), "rname", "left_semi").select("doc", "place", F.lit(False).alias("l"), F.lit(True).alias("r"))
-    asked = stage_table(left.unionByName(right).groupBy("doc").agg(F.collect_list(F.struct("place", "l", "r")).alias("places")), "asked")
+    discard(first)
+    lo, more = F.shiftright("place", 12), F.shiftright("place", 6).bitwiseAND(F.lit(63))
+    whole = placed.filter("again").select("doc", _span(lo, lo + more + SPAN))
+    sides = []
+    for column, bit in (("lname", 1), ("rname", 2)):
+        side = placed.filter(f"not again and {column} <> 0").select("doc", "place", F.col(column).alias("name"))
+        names = stage_table(_shared(side, "name").select("name"), "names")
+        sides.append(side.join(names.hint("shuffle_hash"), "name", "left_semi").select("doc", (F.col("place") * 4 + bit).alias("place")))
+    asked = stage_table(sides[0].unionByName(sides[1]).groupBy("doc").agg(F.collect_list("place").alias("places")), "asked")
     windows = stage_table(_window_rows(docs, asked), "windows")
-    single = windows.join(_shared(windows, "head", "tail"), ["head", "tail"]).filter("doc > least").select("doc", F.col("start").cast("int").alias("start"), (F.col("start") + SPAN).cast("int").alias("end"))
-    return stage_table(whole.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-
-
-def _cut(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
+    single = []
+    for k in range(SLICES):
+        part = windows.filter(_slice("head") == k)
+        same = stage_table(_shared(part, "head", "tail"), "same")
+        hit = part.join(same.hint("shuffle_hash"), ["head", "tail"]).filter("doc > least")
+        single.append(stage_table(hit.select("doc", _span(F.col("start"), F.col("start") + SPAN)), "single"))
+        discard(same)
+    discard(windows)
+    spans = stage_table(reduce(DataFrame.unionByName, [whole, *single]).groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")
+    for done in (placed, asked, *single):
+        discard(done)
+    return spans
+
+
+def _cut(raw: bytes, spans: np.ndarray | None) -> tuple[bytes, int, int]:
     """What is left, bytes removed, and maximal removed runs."""
-    if not spans:
+    if spans is None or not len(spans):
         return raw, 0, 0
     edge = np.zeros(len(raw) + 1, np.int64)
-    start, end = np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans])
-    np.add.at(edge, np.minimum(start, len(raw)), 1)
-    np.add.at(edge, np.minimum(end, len(raw)), -1)
+    edge += np.bincount(np.minimum(spans >> 32, len(raw)), minlength=len(edge))
+    edge -= np.bincount(np.minimum(spans & 0xFFFFFFFF, len(raw)), minlength=len(edge))
     gone = np.cumsum(edge[:-1]) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
@@ -199,9 +259,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spans = repeats(docs)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts = [t.encode() if t else b"" for t in b.column("text").to_pylist()]
-            got = [_cut(t, s) for t, s in zip(texts, b.column("spans").to_pylist())]
+            got = [_cut(t, s.values.to_numpy() if s.is_valid else None) for t, s in zip(texts, b.column("spans"))]
             out = [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [g[1] for g in got], [g[2] for g in got])), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
@@ -210,5 +270,5 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = rows.join(spans, rows["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans")
-    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    met = rows.join(spans.hint("shuffle_hash"), rows["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans")
+    return met.transform(bounded).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
