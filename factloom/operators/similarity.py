@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as ms
@@ -15,21 +15,42 @@ LEAST_SHARED = 3
 
 
 def fingerprints(units: DataFrame, size: int = 5) -> DataFrame:
-    """unit_id and the distinct hashed windows of its tokens."""
-    return units.select("unit_id", ms.grams(F.col("tokens"), size).alias("grams")).filter(F.size("grams") > 0)
+    """unit_id and the distinct hashed windows of its tokens.
+
+    explode(array(x)) keeps the optimizer from putting x's expression in place of x, which would compute the tokens anew for
+    each window, and the windows anew for each use."""
+    held = units.select("unit_id", F.explode(F.array("tokens")).alias("tokens"))
+    return held.select("unit_id", F.explode(F.array(ms.grams(F.col("tokens"), size))).alias("grams")).filter(F.size("grams") > 0)
 
 
 def clone_pairs(prints: DataFrame, least: float, common: int = COMMON_WINDOW, shared: int = LEAST_SHARED) -> DataFrame:
-    """Pairs a < b with at least `shared` uncommon windows in common and a Jaccard score, over all windows, of `least`."""
-    rows = prints.select("unit_id", F.explode("grams").alias("gram"))
-    usable = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, common)).select("gram")
-    kept = rows.join(usable, "gram")
-    left, right = kept.select("gram", F.col("unit_id").alias("a")), kept.select("gram", F.col("unit_id").alias("b"))
-    pairs = left.join(right, "gram").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= shared)
-    one, two = prints.select(F.col("unit_id").alias("a"), F.col("grams").alias("ga")), prints.select(F.col("unit_id").alias("b"), F.col("grams").alias("gb"))
+    """Pairs a < b with at least `shared` uncommon windows in common and a Jaccard score, over all windows, of `least`.
+
+    Units with the same windows are one class, searched for once. Classes meet on their rarest windows only: with all windows
+    in one fixed order, rarest first, two sets of that score share one among the first n - ceil(least * n) + 1 of each, and
+    at the first one shared, no more can follow than either has left. A pair without an uncommon one there has none at all."""
+    classes = _kept(prints.select("unit_id", "grams", F.sha2(F.array_join(F.array_sort("grams"), ","), 256).alias("cls")))
+    members = classes.select("cls", "unit_id")
+    heads = classes.groupBy("cls").agg(F.min_by("grams", "unit_id").alias("grams"))
+    counts = classes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("cls").orderBy("df", "gram")
+    ranked = heads.select("cls", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(counts, "gram").withColumn("rank", F.row_number().over(w))
+    ranked = _kept(ranked)
+    usable = F.col("df").between(2, common)
+    prefix = ranked.filter(usable & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)).select("gram", "cls", "n", (F.col("n") - F.col("rank")).alias("rest"))
+    one = prefix.select("gram", F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    two = prefix.select("gram", F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    enough = (1 + F.least("ra", "rb")) * (1 + least) + 1e-6 >= least * (F.col("na") + F.col("nb"))
+    pairs = one.join(two, (one["gram"] == two["gram"]) & (F.col("ca") < F.col("cb")) & enough).select("ca", "cb").distinct()
+    fine = heads.join(ranked.filter(usable).groupBy("cls").agg(F.collect_list("gram").alias("uncommon")), "cls")
+    left, right = (fine.select(F.col("cls").alias(f"c{x}"), F.col("grams").alias(f"g{x}"), F.col("uncommon").alias(f"u{x}")) for x in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
-    scored = pairs.join(one, "a").join(two, "b").select("a", "b", ms.jaccard(both, F.size("ga"), F.size("gb")).alias("score"))
-    return scored.filter(F.col("score") >= least).withColumn("bucket", ms.similarity_bucket(F.col("score")))
+    scored = pairs.join(left, "ca").join(right, "cb").filter(F.size(F.array_intersect("ua", "ub")) >= shared).select("ca", "cb", ms.jaccard(both, F.size("ga"), F.size("gb")).alias("score"))
+    same = fine.filter(F.size("uncommon") >= shared).select(F.col("cls").alias("ca"), F.col("cls").alias("cb"), F.lit(1.0).alias("score"))
+    links = scored.filter(F.col("score") >= least).unionByName(same)
+    first, second = members.select(F.col("cls").alias("ca"), F.col("unit_id").alias("x")), members.select(F.col("cls").alias("cb"), F.col("unit_id").alias("y"))
+    out = links.join(first, "ca").join(second, "cb").filter((F.col("ca") != F.col("cb")) | (F.col("x") < F.col("y")))
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").withColumn("bucket", ms.similarity_bucket(F.col("score")))
 
 
 def _kept(df: DataFrame) -> DataFrame:
