@@ -17,7 +17,7 @@ from ..operators.rollup import owning_project
 def distinct_roots(roots: list[str]) -> list[str]:
     """Roots that don't lie in another one."""
     found: list[PurePosixPath] = []
-    for root in sorted({PurePosixPath(r) for r in roots}, key=lambda p: len(p.parts)):
+    for root in sorted({PurePosixPath(r) for r in roots}, key=lambda p: (len(p.parts), str(p))):
         if not any(root.is_relative_to(r) for r in found):
             found.append(root)
     return [str(r) for r in found]
