@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as ms
 
-#: Windows that more units than this have say nothing about two of them; they leave the search, not the score.
-COMMON_WINDOW = 60
+#: Windows that two units must have in common.
 LEAST_SHARED = 3
 
 
@@ -23,36 +22,51 @@ def fingerprints(units: DataFrame, size: int = 5) -> DataFrame:
     return held.select("unit_id", F.explode(F.array(ms.grams(F.col("tokens"), size))).alias("grams")).filter(F.size("grams") > 0)
 
 
-def clone_pairs(prints: DataFrame, least: float, common: int = COMMON_WINDOW, shared: int = LEAST_SHARED) -> DataFrame:
-    """Pairs a < b with at least `shared` uncommon windows in common and a Jaccard score, over all windows, of `least`.
+def _linked(prints: DataFrame, least: float, shared: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of units with the same windows: members (cls, unit_id), heads (cls, its smallest unit, grams), and links (ca, cb,
+    score) of classes whose units are pairs, a class with itself among them.
 
-    Units with the same windows are one class, searched for once. Classes meet on their rarest windows only: with all windows
-    in one fixed order, rarest first, two sets of that score share one among the first n - ceil(least * n) + 1 of each, and
-    at the first one shared, no more can follow than either has left. A pair without an uncommon one there has none at all."""
+    Classes meet on their rarest windows only, rare by the number of classes: with all windows in one fixed order, rarest
+    first, two sets of a score of `least` share one among the first n - ceil(least * n) + 1 of each, and at the first one
+    shared, no more can follow than either has left. However common a window is, it stays in the search."""
     classes = _kept(prints.select("unit_id", "grams", F.sha2(F.array_join(F.array_sort("grams"), ","), 256).alias("cls")))
     members = classes.select("cls", "unit_id")
-    heads = classes.groupBy("cls").agg(F.min_by("grams", "unit_id").alias("grams"))
-    counts = classes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    heads = _kept(classes.groupBy("cls").agg(F.min("unit_id").alias("head"), F.min_by("grams", "unit_id").alias("grams")).filter(F.size("grams") >= shared))
+    grams = heads.select("cls", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("cls").orderBy("df", "gram")
-    ranked = heads.select("cls", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(counts, "gram").withColumn("rank", F.row_number().over(w))
-    ranked = _kept(ranked)
-    usable = F.col("df").between(2, common)
-    prefix = ranked.filter(usable & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)).select("gram", "cls", "n", (F.col("n") - F.col("rank")).alias("rest"))
+    ranked = grams.join(counts, "gram").withColumn("rank", F.row_number().over(w))
+    prefix = _kept(ranked.filter((F.col("df") >= 2) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)).select("gram", "cls", "n", (F.col("n") - F.col("rank")).alias("rest")))
     one = prefix.select("gram", F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
     two = prefix.select("gram", F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
     enough = (1 + F.least("ra", "rb")) * (1 + least) + 1e-6 >= least * (F.col("na") + F.col("nb"))
     pairs = one.join(two, (one["gram"] == two["gram"]) & (F.col("ca") < F.col("cb")) & enough).select("ca", "cb").distinct()
-    fine = heads.join(ranked.filter(usable).groupBy("cls").agg(F.collect_list("gram").alias("uncommon")), "cls")
-    left, right = (fine.select(F.col("cls").alias(f"c{x}"), F.col("grams").alias(f"g{x}"), F.col("uncommon").alias(f"u{x}")) for x in "ab")
+    left, right = (heads.select(F.col("cls").alias(f"c{x}"), F.col("grams").alias(f"g{x}")) for x in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
-    scored = pairs.join(left, "ca").join(right, "cb").filter(F.size(F.array_intersect("ua", "ub")) >= shared).select("ca", "cb", ms.jaccard(both, F.size("ga"), F.size("gb")).alias("score"))
-    same = fine.filter(F.size("uncommon") >= shared).select(F.col("cls").alias("ca"), F.col("cls").alias("cb"), F.lit(1.0).alias("score"))
-    links = scored.filter(F.col("score") >= least).unionByName(same)
+    scored = pairs.join(left, "ca").join(right, "cb").filter(both >= shared).select("ca", "cb", ms.jaccard(both, F.size("ga"), F.size("gb")).alias("score"))
+    same = heads.select(F.col("cls").alias("ca"), F.col("cls").alias("cb"), F.lit(1.0).alias("score"))
+    return members, heads, scored.filter(F.col("score") >= least).unionByName(same)
+
+
+def clone_pairs(prints: DataFrame, least: float, shared: int = LEAST_SHARED) -> DataFrame:
+    """All pairs a < b with at least `shared` windows in common and a Jaccard score of `least`. A class of n copies has
+    n (n - 1) / 2 of them; clone_links has its members once."""
+    members, _, links = _linked(prints, least, shared)
     first, second = members.select(F.col("cls").alias("ca"), F.col("unit_id").alias("x")), members.select(F.col("cls").alias("cb"), F.col("unit_id").alias("y"))
     out = links.join(first, "ca").join(second, "cb").filter((F.col("ca") != F.col("cb")) | (F.col("x") < F.col("y")))
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").withColumn("bucket", ms.similarity_bucket(F.col("score")))
 
 
+def clone_links(prints: DataFrame, least: float, shared: int = LEAST_SHARED) -> DataFrame:
+    """Pairs a < b that span the sets of clone_pairs, with the same least unit and weakest score of each set: a class's smallest
+    unit with each of its others, and with the smallest of each class like it."""
+    members, heads, links = _linked(prints, least, shared)
+    copies = members.join(heads.select("cls", "head"), "cls").filter(F.col("unit_id") > F.col("head")).select(F.col("head").alias("x"), F.col("unit_id").alias("y"), F.lit(1.0).alias("score"))
+    first, second = heads.select(F.col("cls").alias("ca"), F.col("head").alias("x")), heads.select(F.col("cls").alias("cb"), F.col("head").alias("y"))
+    across = links.filter("ca <> cb").join(first, "ca").join(second, "cb").select("x", "y", "score")
+    return copies.unionByName(across).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder of spark.checkpoint.dir; a local one is set only where there is none."""
     context = df.sparkSession.sparkContext

@@ -207,7 +207,7 @@ def find_duplicates(f: Facts, mode: str = "clone", threshold: float = 0.80, min_
     prints = similarity.fingerprints(f.units.filter(F.size("tokens") >= min_tokens))
     if mode == "refactoring-drift":
         return _answer(similarity.drift(prints, helper, callers, threshold), max_results, F.desc("score"), "unit_id")
-    pairs = similarity._kept(similarity.clone_pairs(prints, threshold))
+    pairs = similarity._kept(similarity.clone_links(prints, threshold))
     return _answer(similarity.clusters(pairs), max_results, F.desc("weakest"), "root")
 
 

@@ -38,7 +38,7 @@ def clone_pairs(spark, sf_dir):
   select root, size, members, round(score, 9) as weakest, {_BUCKET} as bucket from m join q using (root)"""
 )
 def clone_clusters(spark, sf_dir):
-    pairs = similarity._kept(similarity.clone_pairs(similarity.fingerprints(units(spark, sf_dir)), 0.65))
+    pairs = similarity._kept(similarity.clone_links(similarity.fingerprints(units(spark, sf_dir)), 0.65))
     return similarity.clusters(pairs).withColumn("weakest", F.round("weakest", 9))
 
 
@@ -48,7 +48,7 @@ def clone_clusters(spark, sf_dir):
 )
 def drift_candidates(spark, sf_dir):
     prints = similarity.fingerprints(units(spark, sf_dir))
-    helper = similarity.clone_pairs(prints, 0.65).agg(F.min("a")).first()[0]
+    helper = similarity.clone_links(prints, 0.65).agg(F.min("a")).first()[0]
     callers = prints.filter(F.col("unit_id") % 7 == 0).select("unit_id")
     return similarity.drift(prints, -1 if helper is None else helper, callers).withColumn("score", F.round("score", 9))
 

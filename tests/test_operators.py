@@ -151,6 +151,21 @@ def test_chain_is_one_cluster(spark):
     assert got == {1: (20, "Near"), 50: (2, "Exact")}
 
 
+def test_large_groups_of_clones(spark):
+    base = [f"t{i}" for i in range(60)]
+    copies = [(i, base) for i in range(100, 180)]
+    near = [(i, [f"u{k}" for k in range(80)] + [f"end{i}"]) for i in range(300, 370)]
+    units = spark.createDataFrame(copies + near + [(7, [f"own{k}" for k in range(30)])], "unit_id long, tokens array<string>")
+    prints = similarity.fingerprints(units)
+    pairs = similarity.clone_pairs(prints, 0.65)
+    assert pairs.count() == 80 * 79 // 2 + 70 * 69 // 2
+    links = similarity._kept(similarity.clone_links(prints, 0.65))
+    assert links.filter("b < 300").count() == 79
+    got = {r["root"]: (r["size"], r["weakest"], r["bucket"]) for r in similarity.clusters(links).collect()}
+    assert got == {r["root"]: (r["size"], r["weakest"], r["bucket"]) for r in similarity.clusters(pairs).collect()}
+    assert {k: v[0] for k, v in got.items()} == {100: 80, 300: 70}
+
+
 # graph
 EDGES = [("B", "A", 1, 1), ("C", "B", 1, 2), ("D", "C", 2, 1), ("E", "D", 2, 2), ("A", "C", 3, 1)]
 
