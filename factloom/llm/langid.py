@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts the hashed n-grams of each language; the matrix of log probabilities, of fixed size a language, is sent to the
-executors, and texts are scored in numpy from their n-gram buckets.
+Training counts the hashed n-grams of each language that has a text with letters, however few; the matrix of log
+probabilities, of fixed size a language, is sent to the executors in blocks of languages, and texts are scored in numpy from
+their n-gram buckets, block by block.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text if nothing could be learned.
 Ties go to the language that sorts first. Rows with a null id are scored but never learned from, and count as not held out.
@@ -17,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, small
+from .common import bounded, discard, small, stage_table
 
 #: Lengths of n-grams, buckets of the hash, and the added count of a bucket.
 GRAMS, BUCKETS, SMOOTH = (1, 2, 3, 4), 1 << 16, 0.5
-#: Documents of each language to learn from: those with the smallest id hash. Languages below LEAST_SHARE of the training
-#: rows are not learned, so there are at most 1 / LEAST_SHARE.
-SAMPLE_PER_LANG, LEAST_SHARE = 1500, 1 / 500
+#: Documents with letters of each language to learn from: those with the smallest id hash.
+SAMPLE_PER_LANG = 1500
+#: Languages whose matrix is held at once, 16 MB as floats.
+BLOCK = 64
 #: Folds by crc32 of the id as text; fold 0 is held out.
 FOLDS = 5
 
@@ -59,37 +61,55 @@ def buckets(flat: str) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    logs: np.ndarray  # buckets x languages
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        flat = letters(text) if self.langs else ""
-        if not flat:
-            return "und", 0.0
-        x = buckets(flat)
-        if len(x) > BUCKETS:
-            total = np.bincount(x, minlength=BUCKETS) @ self.logs
-        else:
-            total = self.logs[x].sum(0)
-        # the n-grams of a text overlap: its evidence is tempered before it becomes a probability
-        mean = (total - total.max()) / len(x) * min(len(x), 40)
-        p = np.exp(mean)
-        best = int(np.argmax(total))
-        return self.langs[best], float(p[best] / p.sum())
+    blocks: list  # of matrices, buckets x languages, or of broadcasts of them
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        flats = [letters(t) if self.langs else "" for t in texts]
+        # of each text: best language so far, its evidence, and the sum of probabilities relative to it
+        best, most, mass = [-1] * len(texts), np.full(len(texts), -np.inf), np.zeros(len(texts))
+        first = 0
+        for block in self.blocks:
+            logs = block if isinstance(block, np.ndarray) else _loaded(block, len(self.blocks))
+            for i, flat in enumerate(flats):
+                if not flat:
+                    continue
+                x = buckets(flat)
+                total = np.bincount(x, minlength=BUCKETS) @ logs if len(x) > BUCKETS else logs[x].sum(0)
+                at = int(np.argmax(total))
+                # the n-grams of a text overlap: its evidence is tempered before it becomes a probability
+                weight = min(len(x), 40) / len(x)
+                top = max(most[i], float(total[at]))
+                mass[i] = mass[i] * np.exp((most[i] - top) * weight) + np.exp((total - top) * weight).sum()
+                if total[at] > most[i]:
+                    best[i] = first + at
+                most[i] = top
+            first += logs.shape[1]
+        return [(self.langs[b], float(1 / m)) if b >= 0 else ("und", 0.0) for b, m in zip(best, mass)]
+
+
+def _loaded(block, blocks: int) -> np.ndarray:
+    """A broadcast matrix. Of several, a worker holds one at a time."""
+    if blocks == 1 or getattr(block, "_path", None) is None:
+        return block.value
+    return block.load_from_path(block._path)
 
 
 def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """Learns from text and lang of documents outside the held-out fold; only ids of the sample and counts of fixed size
-    reach the driver."""
-    usable = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = usable.groupBy("lang").count()
-    every = sizes.agg(F.sum("count")).first()[0] or 0
-    langs = sorted(r["lang"] for r in sizes.filter(F.col("count") >= LEAST_SHARE * every).collect())
-    sample = None
-    for lang in langs:
-        part = usable.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_lang)
-        sample = part if sample is None else sample.unionByName(part)
-    if sample is None:
-        return Model([], np.zeros((BUCKETS, 0), np.float32))
+    """Learns from text and lang of documents outside the held-out fold; only languages, the last id of each one's sample and
+    counts of fixed size a language reach the driver, the counts by blocks of languages."""
+    spark = docs.sparkSession
+    key = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"))
+    usable = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    ids = stage_table(usable.select("doc_id", "lang"), "learned")
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    large = [lang for lang in langs if sizes[lang] > sample_per_lang]
+    last = []
+    for lang in large:
+        part = ids.filter(F.col("lang") == lang).select(key.alias("key")).orderBy("key").limit(sample_per_lang)
+        last.append((lang, *part.agg(F.max("key").alias("key")).first()["key"]))
+
+    discard(ids)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -98,26 +118,46 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
                 if flat := letters(text):
                     x = np.bincount(buckets(flat), minlength=BUCKETS)
                     sums[lang] = sums[lang] + x if lang in sums else x
+            if len(sums) > BLOCK:
+                yield from counted(sums)
+                sums = {}
+        yield from counted(sums)
+
+    def counted(sums):
         for lang, x in sums.items():
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(x[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    chosen = docs.select("doc_id", "lang", "text").join(F.broadcast(sample.distinct()), ["doc_id", "lang"])
-    counts = chosen.select("lang", "text").transform(bounded).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    x = np.full((BUCKETS, len(langs)), SMOOTH)
-    number = {lang: i for i, lang in enumerate(langs)}
-    np.add.at(x, (counts["bucket"].to_numpy(), np.array([number[v] for v in counts["lang"].to_pylist()], np.int64)), counts["n"].to_numpy())
-    return Model(langs, np.log(x / x.sum(0)).astype(np.float32))
+    ends = F.broadcast(spark.createDataFrame(last, f"lang string, h long, id {docs.schema['doc_id'].dataType.simpleString()}"))
+    chosen = usable.join(ends, "lang", "left").filter(F.col("h").isNull() | (key <= F.struct("h", "id"))).select("lang", "text")
+    counts = chosen.transform(bounded).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    parts = [langs[i : i + BLOCK] for i in range(0, len(langs), BLOCK)]
+    if len(parts) > 1:
+        counts = stage_table(counts, "ngrams")
+    blocks = []
+    for part in parts:
+        own = counts.filter(F.col("lang").isin(part)).toArrow() if len(parts) > 1 else counts.toArrow()
+        number = {lang: i for i, lang in enumerate(part)}
+        x = np.full((BUCKETS, len(part)), SMOOTH)
+        np.add.at(x, (own["bucket"].to_numpy(), np.array([number[v] for v in own["lang"].to_pylist()], np.int64)), own["n"].to_numpy())
+        logs = np.log(x / x.sum(0)).astype(np.float32)
+        # several are kept by Spark, not by the driver's Python
+        blocks.append(logs if len(parts) == 1 else spark.sparkContext.broadcast(logs))
+    if len(parts) > 1:
+        discard(counts)
+    return Model(langs, blocks)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))  # BUCKETS floats a language
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast(b) if isinstance(b, np.ndarray) else b for b in model.blocks]  # BUCKETS floats a language
+    langs = model.langs
 
     def run(batches):
-        own = Model(*sent.value)
+        own = Model(langs, sent)
         for b in small(batches):
-            got = [own.predict(t) for t in b.column("text").to_pylist()]
+            got = own.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -261,6 +262,24 @@ def test_language_on_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    rng = random.Random(5)
+    ids = iter([i for i in range(9000) if zlib.crc32(str(i).encode()) % langid.FOLDS])
+    words = {k: ["".join(rng.choice(f"{chr(0x3B1 + k)}{chr(0x430 + k)}{chr(0x561 + k)}a") for _ in range(6)) for _ in range(20)] for k in range(25)}
+    text = lambda k: " ".join(rng.choice(words[k]) for _ in range(30))
+    rows = [(next(ids), text(0), "l00") for _ in range(2500)] + [(next(ids), text(k), f"l{k:02}") for k in range(1, 25) for _ in range(2)] + [(next(ids), "12 34", "none")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {}
+    for block in (64, 7):
+        monkeypatch.setattr(langid, "BLOCK", block, raising=False)
+        model = langid.train(d)
+        assert model.langs == [f"l{k:02}" for k in range(25)] and len(model.blocks) == -(-25 // block)
+        out = langid.identify(d, model).join(d.select("doc_id", "lang"), "doc_id").filter("lang <> 'none'").collect()
+        assert all(r["lang"] == r["lang_pred"] for r in out)
+        got[block] = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 5)) for r in out)
+    assert got[64] == got[7]
+
+
 def test_quality_on_held_out(spark):
     d, rated = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     grades = quality_ordinal.grades_of_labels(rated)
