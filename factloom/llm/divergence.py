@@ -10,8 +10,8 @@ distinct word: a batch reports the words with at least COMMON/2 of its own, so a
 COMMON/2 of the language, which at most 2/COMMON words can reach; a second pass counts just those.
 
 Defined results: null texts have no words, and fail. Documents with a null language are in no reference, but are compared
-with all. A language with less than LEAST_SHARE of the words in documents with a language has no reference. Without any
-reference only the base rules decide. Repeated rows and null ids are treated as any other row; extra columns are ignored."""
+with all. A language with fewer than LEAST_REFERENCE words has no reference, as its histograms would be noise; only the base
+rules decide on its documents, and on all where there is no reference. Repeated rows and null ids are treated as any other row; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -27,8 +27,11 @@ from .common import bounded, small
 
 #: Base rules: least words, and most hundredths of words in repeated five-word windows.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
-#: Share of a language's words from which a word is common, and of all words from which a language has a reference.
-COMMON, LEAST_SHARE = 1 / 250, 1 / 200
+#: Share of a language's words from which a word is common.
+COMMON = 1 / 250
+#: Words from which a language has a reference: a common word then is there 20 times, and its histogram of at most 251 columns
+#: is within a distance of 0.1 or so of the language's own. Languages compared with at once.
+LEAST_REFERENCE, BLOCK = 5000, 256
 #: Least items of a histogram for its test; limits are LIMIT + SLACK / sqrt(items).
 LEAST_CHARS, LEAST_TEST_WORDS = 60, 20
 CHAR_LIMIT, CHAR_SLACK = 0.18, 0.9
@@ -80,24 +83,29 @@ def duplicate_lines(text: str) -> int:
 
 @dataclass
 class References:
-    """Probabilities by language: chars (languages x classes), words (languages x common words and a rest column)."""
+    """Probabilities by language: chars (languages x classes), words (languages x most common words of one, and a rest column).
+    own has the numbers of a language's common words in `at`; where it has fewer, the number of no word."""
 
     langs: list[str]
     at: dict[bytes, int]
     chars: np.ndarray
     words: np.ndarray
-    is_common: np.ndarray
+    own: np.ndarray
+
+    def __post_init__(self):
+        self.known = set(self.langs)
 
     def word_counts(self, words: list[bytes]) -> np.ndarray:
-        """Counts of all languages' common words, and of the rest."""
+        """Counts of all languages' common words, and a 0 for no word."""
         out = np.zeros(len(self.at) + 1)
         for word, n in Counter(map(self.at.get, words)).items():
-            out[-1 if word is None else word] += n
+            if word is not None:
+                out[word] += n
         return out
 
 
 def _entropy_gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (base 2) of p with each row of q."""
+    """Jensen-Shannon distance (base 2) of p, or of each row of p, with each row of q."""
     m = (p + q) / 2
 
     def toward(x):
@@ -111,14 +119,16 @@ def distances(refs: References, raw: bytes, words: list[bytes]) -> tuple[np.ndar
     """Character-class and common-word distance from each language."""
     chars, counts = char_classes(raw).astype(float), refs.word_counts(words)
     by_char = _entropy_gap(chars / max(chars.sum(), 1), refs.chars)
-    own = counts[:-1] * refs.is_common
-    rest = counts.sum() - own.sum(1, keepdims=True)
-    by_word = np.array([_entropy_gap(p, q[None, :])[0] for p, q in zip(np.hstack([own, rest]) / max(counts.sum(), 1), refs.words)])
+    by_word = np.zeros(len(refs.langs))
+    for i in range(0, len(by_word), BLOCK):
+        own = counts[refs.own[i : i + BLOCK]]
+        rest = len(words) - own.sum(1, keepdims=True)
+        by_word[i : i + BLOCK] = _entropy_gap(np.hstack([own, rest]) / max(len(words), 1), refs.words[i : i + BLOCK])
     return by_char, by_word
 
 
 def learn(docs: DataFrame) -> References | None:
-    """References over all documents; what reaches the driver is bounded by COMMON and LEAST_SHARE, not by the input."""
+    """References over all documents; what reaches the driver is bounded by COMMON for each language that has a reference."""
     known = docs.select("lang", "text").filter("lang is not null and text is not null")
 
     def heavy(batches):
@@ -139,8 +149,7 @@ def learn(docs: DataFrame) -> References | None:
     summed = summed.persist()
     try:
         totals = summed.filter("kind = 'n'").select("lang", F.col("n").alias("total"))
-        every = totals.agg(F.sum("total")).first()[0] or 0
-        kept = totals.filter(F.col("total") >= max(1, LEAST_SHARE * every))
+        kept = totals.filter(F.col("total") >= LEAST_REFERENCE)
         stats = summed.filter("kind <> 'w'").join(F.broadcast(kept), "lang").select("lang", "kind", "n").collect()
         maybe = summed.filter("kind = 'w'").join(F.broadcast(kept), "lang").filter(F.col("n") >= COMMON / 2 * F.col("total")).select("lang", "word").collect()
     finally:
@@ -163,23 +172,28 @@ def learn(docs: DataFrame) -> References | None:
 
     exact = known.transform(bounded).mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
     total = {r["lang"]: r["n"] for r in stats if r["kind"] == "n"}
-    common = {lang: {bytes(r["word"]): r["n"] for r in exact if r["lang"] == lang and r["n"] >= COMMON * total[lang]} for lang in langs}
+    common: dict[str, dict[bytes, int]] = {lang: {} for lang in langs}
+    for r in exact:
+        if r["n"] >= COMMON * total[r["lang"]]:
+            common[r["lang"]][bytes(r["word"])] = r["n"]
     at = {w: i for i, w in enumerate(sorted(set().union(*common.values())))}
-    words, is_common = np.zeros((len(langs), len(at) + 1)), np.zeros((len(langs), len(at)))
-    chars = np.zeros((len(langs), _CLASSES))
+    most = max(map(len, common.values()))
+    words, own = np.zeros((len(langs), most + 1)), np.full((len(langs), most), len(at), np.int32)
+    chars, number = np.zeros((len(langs), _CLASSES)), {lang: i for i, lang in enumerate(langs)}
     for i, lang in enumerate(langs):
-        for w, n in common[lang].items():
-            words[i, at[w]], is_common[i, at[w]] = n, 1
+        for k, (w, n) in enumerate(sorted(common[lang].items())):
+            words[i, k], own[i, k] = n, at[w]
         words[i, -1] = total[lang] - words[i].sum()
         words[i] /= max(total[lang], 1)
     for r in stats:
         if r["kind"] != "n":
-            chars[langs.index(r["lang"]), int(r["kind"][1:])] = r["n"]
-    return References(langs, at, chars / np.maximum(chars.sum(1, keepdims=True), 1), words, is_common)
+            chars[number[r["lang"]], int(r["kind"][1:])] = r["n"]
+    return References(langs, at, chars / np.maximum(chars.sum(1, keepdims=True), 1), words, own)
 
 
-def judge(refs: References | None, text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, nearest language, two distances."""
+def judge(refs: References | None, text: str | None, lang: str | None = None) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, nearest language, two distances. lang only
+    tells whether the text's language has a reference."""
     text = text or ""
     raw = text.encode()
     words = raw.split()
@@ -188,7 +202,7 @@ def judge(refs: References | None, text: str | None) -> tuple:
     repeated = repeated_words(words)
     failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
     base = (n, word_chars, sum(map(text.count, _SYMBOLS)), duplicate_lines(text), repeated, failed)
-    if refs is None or not n:
+    if refs is None or not n or (lang is not None and lang not in refs.known):
         return (*base, not failed, None, None, None)
     by_char, by_word = distances(refs, raw, words)
     over_char = (by_char - (CHAR_LIMIT + CHAR_SLACK / np.sqrt(len(raw)))) * (word_chars >= LEAST_CHARS)
@@ -207,7 +221,7 @@ def apply_rules(docs: DataFrame, refs: References | None) -> DataFrame:
 
     def run(batches):
         for b in small(batches):
-            rows = [(d, *judge(refs, t)) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())]
+            rows = [(d, *judge(refs, t, x)) for d, t, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang")))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").transform(bounded).mapInArrow(run, _SCHEMA)

@@ -262,6 +262,25 @@ def test_language_on_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_minority_languages_are_judged_by_their_own(spark, monkeypatch):
+    rng = random.Random(6)
+
+    def words(first):
+        return ["".join(chr(first + rng.randrange(24)) for _ in range(rng.randint(2, 8))) for _ in range(400)]
+
+    def text(pool, n):
+        return " ".join(rng.choice(pool[:20] if rng.random() < 0.4 else pool) for _ in range(n))
+
+    major, minor, tiny = words(0x61), words(0x430), words(0x3B1)
+    rows = [(i, text(major, 30000), "en") for i in range(40)] + [(100 + i, text(minor, 300), "uk") for i in range(18)] + [(200, text(tiny, 200), "el"), (300, text(tiny, 200), None), (301, text(tiny, 200), "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for block in (256, 1):
+        monkeypatch.setattr(divergence, "BLOCK", block, raising=False)
+        got = {r["doc_id"]: (r["kept"], r["nearest_lang"]) for r in divergence.apply_rules(d, divergence.learn(d)).collect()}
+        assert all(got[i] == (True, "en") for i in range(40)) and all(got[100 + i] == (True, "uk") for i in range(18))
+        assert got[200] == (True, None) and not got[300][0] and not got[301][0]
+
+
 def test_rare_languages_are_learned(spark, monkeypatch):
     rng = random.Random(5)
     ids = iter([i for i in range(9000) if zlib.crc32(str(i).encode()) % langid.FOLDS])
