@@ -95,6 +95,12 @@ def test_search(spark):
     assert [(r["col"], r["len"]) for r in ranges] == [(1, 6), (8, 6)]
 
 
+@pytest.mark.parametrize("pattern, want", [("^using", {(1, 2)}), (";$", {(1, 2), (1, 3), (2, 1)}), (r"\Ax\z", {(1, 1)}), (r"(?<!.)b;(?!.)", {(1, 3)})])
+def test_anchors_hold_for_lines(spark, pattern, want):
+    f = spark.createDataFrame([(1, "a", "x\nusing a;\nb;\nz"), (2, "b", "c;\nd")], "file_id long, rel_path string, text string")
+    assert {(r["file_id"], r["line_no"]) for r in search.regex_hits(f, pattern).collect()} == want
+
+
 def test_globs(spark):
     d = spark.createDataFrame([("src/a/b.cs",), ("src/b.cs",), ("SRC/x.CS",)], "p string")
     got = lambda g, seg: [r[0] for r in d.filter(paths.matches_any(F.col("p"), [g], seg)).collect()]
