@@ -5,6 +5,8 @@ checkpoint each round."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +29,26 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, most_depth: int = MAX_
     return seen
 
 
-def callers(references: DataFrame, symbols: DataFrame, depth: int = 1, most_nodes: int = MAX_NODES) -> DataFrame:
-    """Call sites of the symbols and of their callers, with level; nodes beyond the cap, in order of level and name, are left
-    out and flagged by the completeness columns."""
+def _asked(references: DataFrame, symbols: DataFrame, depth: int) -> DataFrame:
+    """(node, level): the symbols and their callers whose call sites a traversal of this depth gives."""
     depth = max(1, min(depth, MAX_DEPTH))
     edges = references.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst")).distinct()
-    nodes = reach(edges, symbols, depth)
-    ranked = nodes.orderBy("level", "node").limit(most_nodes)
-    sites = references.join(ranked.filter(F.col("level") < depth), F.col("callee_id") == F.col("node"))
-    return sites.select("caller_id", "callee_id", "file_id", "line", (F.col("level") + 1).alias("level")).distinct()
+    return reach(edges, symbols, depth).filter(F.col("level") < depth)
+
+
+def callers(references: DataFrame, symbols: DataFrame, depth: int = 1, most_nodes: int | None = MAX_NODES) -> DataFrame:
+    """Call sites of the symbols and of their callers, with level. Nodes beyond the cap, in order of level and name, are left
+    out; whether there are any is in `truncated` of each row, and in node_limit. None is no cap."""
+    nodes = _asked(references, symbols, depth)
+    cut = nodes.agg((F.count(F.lit(1)) > most_nodes if most_nodes is not None else F.lit(False)).alias("truncated"))
+    ranked = nodes.orderBy("level", "node").limit(most_nodes) if most_nodes is not None else nodes
+    sites = references.join(ranked, F.col("callee_id") == F.col("node"))
+    return sites.select("caller_id", "callee_id", "file_id", "line", (F.col("level") + 1).alias("level")).distinct().crossJoin(F.broadcast(cut))
+
+
+def node_limit(references: DataFrame, symbols: DataFrame, depth: int = 1, most_nodes: int = MAX_NODES) -> DataFrame:
+    """One row: nodes that callers() has to ask, and node_limit, whether they are over the cap."""
+    return _asked(references, symbols, depth).agg(F.count(F.lit(1)).alias("nodes"), (F.count(F.lit(1)) > most_nodes).alias("node_limit"))
 
 
 def call_tree(references: DataFrame, root: DataFrame, depth: int = 2, direction: str = "incoming", top: int = 10) -> DataFrame:
@@ -66,17 +79,17 @@ def dependencies(type_references: DataFrame) -> DataFrame:
     return rows.groupBy("from_file", "to_file").agg(F.array_join(F.array_sort(F.collect_set("type_name")), ",").alias("types"), F.count(F.lit(1)).alias("uses"))
 
 
-def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, node, level): everything reached from each source, itself at level 0, at its least level."""
     edges = _kept(edges.select("src", "dst").distinct())
     nodes = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).distinct()
     seen = front = _kept(nodes.select("src", F.col("src").alias("node"), F.lit(0).alias("level")))
-    for level in range(1, most_rounds + 1):
+    for level in itertools.count(1):
         step = front.join(edges.withColumnRenamed("src", "at"), F.col("node") == F.col("at")).select("src", F.col("dst").alias("node")).distinct()
         front = _kept(step.join(seen, ["src", "node"], "left_anti").withColumn("level", F.lit(level)))
         if not front.limit(1).count():
             break
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(front) if level % 32 else _kept(seen.unionByName(front))
     return seen
 
 
@@ -91,14 +104,14 @@ def footprint(edges: DataFrame, sizes: DataFrame, cap: int = 10) -> DataFrame:
     return once.groupBy("src").agg(F.sum("own").alias("footprint"), F.count(F.lit(1)).alias("files"))
 
 
-def hierarchy(bases: DataFrame, types: DataFrame, most_depth: int = 32) -> DataFrame:
+def hierarchy(bases: DataFrame, types: DataFrame) -> DataFrame:
     """(type, relative, side, level) of the given types: base chain and interfaces upward, subtypes downward."""
     up = bases.select(F.col("type_id").alias("src"), F.col("base_id").alias("dst"))
     down = bases.select(F.col("base_id").alias("src"), F.col("type_id").alias("dst"))
     asked = types.select(F.col("node").alias("src"))
     out = None
     for side, edges in (("base", up), ("derived", down)):
-        rows = closure(edges, most_depth).join(asked, "src").filter("level > 0").select(F.col("src").alias("type"), F.col("node").alias("relative"), F.lit(side).alias("side"), "level")
+        rows = closure(edges).join(asked, "src").filter("level > 0").select(F.col("src").alias("type"), F.col("node").alias("relative"), F.lit(side).alias("side"), "level")
         out = rows if out is None else out.unionByName(rows)
     return out
 

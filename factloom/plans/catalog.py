@@ -75,7 +75,11 @@ def find_symbol(f: Facts, pattern: str, kind: str | None = None, max_results: in
 
 
 def find_references(f: Facts, identifier: str, max_results: int = 50, depth: int = 1) -> Answer:
-    return _answer(graph.callers(f.references, _nodes(f, identifier), depth), max_results, "level", "file_id", "line", "caller_id")
+    """truncated tells of both caps: on call sites shown, and on nodes asked (node_limit), which total doesn't reach beyond."""
+    nodes = _nodes(f, identifier)
+    rows, done = _answer(graph.callers(f.references, nodes, depth).drop("truncated"), max_results, "level", "file_id", "line", "caller_id")
+    limit = graph.node_limit(f.references, nodes, depth).select("node_limit")
+    return rows, done.crossJoin(limit).select("total", "shown", (F.col("truncated") | F.col("node_limit")).alias("truncated"), "node_limit")
 
 
 def get_call_tree(f: Facts, identifier: str, depth: int = 2, top: int = 10, direction: str = "incoming") -> Answer:

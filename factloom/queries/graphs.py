@@ -38,7 +38,7 @@ def reach_depth3(spark, sf_dir):
 
 @query(f"with {_LEVELS}, k as (select n, 0 as v from l0 union all select n, 1 from l1) select distinct caller_id, callee_id, file_id, line, v + 1 as level from r join k on callee_id = n")
 def find_references_depth2(spark, sf_dir):
-    return graph.callers(references(spark, sf_dir), _start(spark, "P7"), 2, 100_000)
+    return graph.callers(references(spark, sf_dir), _start(spark, "P7"), 2, None).drop("truncated")
 
 
 _TREE = f"""{_REFS}, t as (select callee_id as p, caller_id as c, count(*) as sites from r group by all), a as (select p as parent, c as child, 1 as level, sites from t where p = 'P7'),

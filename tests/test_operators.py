@@ -184,6 +184,22 @@ def test_callers_are_bounded(spark):
     assert levels(9) == levels(3) == {("B", 1), ("C", 2), ("D", 3), ("A", 3)}
 
 
+def test_node_limit_is_flagged(spark):
+    refs = spark.createDataFrame([(f"c{i:03}", "A", 1, i) for i in range(230)] + [(f"d{i:03}", f"c{i:03}", 2, i) for i in range(230)], "caller_id string, callee_id string, file_id long, line int")
+    start = spark.createDataFrame([("A",)], "node string")
+    got = lambda d, n: [(r["truncated"], r["n"]) for r in graph.callers(refs, start, d, n).groupBy("truncated").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert got(1, 200) == [(False, 230)] and got(2, 200) == [(True, 230 + 199)] and got(2, 231) == got(2, None) == [(False, 460)]
+    symbols = spark.createDataFrame([("A", "A", "p", 1, 9)], "symbol_id string, name string, rel_path string, start_line int, end_line int")
+    for depth, want in ((1, (230, 230, False, False)), (2, (429, 429, True, True))):
+        assert tuple(catalog.find_references(catalog.Facts(references=refs, symbols=symbols), "A", 1000, depth)[1].first()) == want
+
+
+def test_hierarchy_has_no_end_of_rounds(spark):
+    bases = spark.createDataFrame([(f"t{i:02}", f"t{i + 1:02}") for i in range(35)], "type_id string, base_id string")
+    got = graph.hierarchy(bases, spark.createDataFrame([("t00",)], "node string"))
+    assert sorted(r["level"] for r in got.collect()) == list(range(1, 36))
+
+
 def test_closure_and_footprint(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     assert graph.closure(edges).count() == 9
