@@ -1,10 +1,11 @@
-"""Suffix-array dedup: removal of repeated 50-byte strings by distributed prefix doubling.
+"""Removal of repeated 50-byte strings by hashed names over window minima, in place of a suffix array by prefix doubling.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id. Places are named by growing
-prefixes (16, then 33, then 50 bytes, a name from a pair of names at an offset), sorted and grouped by Spark, and drop out
-as soon as only one document has their name:
+prefixes (16, then 33, then 50 bytes, a name from a pair of names at an offset), and drop out as soon as only one document
+has their name. Names are hashes made within a task, and Spark groups them by hash: there are no ranks, nothing is sorted, and
+suffixes get no order, as equality of windows needs none:
 
-1. Sparse suffix array. In each 50-byte window the place with the least 16-byte name is an anchor. Equal windows have equal
+1. Anchors. In each 50-byte window the place with the least 16-byte name is an anchor. Equal windows have equal
    anchors, so comparing anchors (one place in 17) loses nothing. Anchors whose name only one document has drop out.
 2. Whole contexts. An anchor stands for the windows in which it is least; the bytes that these cover are its context. Of
    equal contexts only the one in the smallest document goes on; the others' windows are all repeats.
