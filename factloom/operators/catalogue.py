@@ -73,10 +73,10 @@ def _web(rule: str, severity: str, ext: str, value, limit: int) -> Rule:
 
 FILES = [
     Rule("MaxLineCount", "error", "size", lambda k: tx.tree_lines(F.col("text")) > k["lines"], lambda k: tx.tree_lines(F.col("text")).cast("string"), (("lines", 700),)),
-    Rule("MaxDirectoryDepth", "warning", "structure", lambda k: F.size(F.split("rel_path", "/")) - 1 > k["depth"], lambda k: F.size(F.split("rel_path", "/")).cast("string"), (("depth", 4),)),
+    Rule("MaxDirectoryDepth", "warning", "structure", lambda k: F.size(F.split("rel_path", "/")) - 1 > k["depth"], lambda k: (F.size(F.split("rel_path", "/")) - 1).cast("string"), (("depth", 4),)),
     _if("EnforceNullableEnable", "error", "safety", lambda: _text(".cs", ~F.contains("text", F.lit("#nullable enable"))), "nullable context is off"),
     _web("CSS_MaxCssLineCount", "warning", ".css", lambda: tx.web_lines(F.col("text")), 300),
-    _web("CSS_PreferScopedCss", "warning", ".css", lambda: _count(r"\{"), 5),
+    Rule("CSS_PreferScopedCss", "warning", "web", lambda k: _text(".css", ~F.endswith(F.lower("rel_path"), F.lit(".razor.css")) & (_count(r"\{") > k["limit"])), lambda k: F.concat(_count(r"\{").cast("string"), F.lit(f" > {k['limit']}")), (("limit", 5),)),
     _web("CSS_MaxCssSelectorComplexity", "warning", ".css", lambda: F.coalesce(F.array_max(F.transform(F.regexp_extract_all("text", F.lit(r"([^{};]+)\{"), F.lit(1)), lambda s: tx.selector_depth(F.trim(s)))), F.lit(0)), 3),
     _web("JS_MaxJsLineCount", "warning", ".js", lambda: tx.web_lines(F.col("text")), 150),
     _if("JS_EnforceJsModules", "warning", "web", lambda: _text(".js", ~F.col("text").rlike(r"(?m)^\s*(import|export)\b") | F.col("text").rlike(r"window\.\w+\s*=[^=]")), "not a module"),

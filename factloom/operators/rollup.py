@@ -9,9 +9,8 @@ from ..functions import paths
 
 
 def upper_median(column: str) -> Column:
-    """The middle value, the upper one of two."""
-    values = F.array_sort(F.collect_list(column))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    """The middle value of whole numbers, the upper one of two. It is kept as counts of distinct values, not as a list of rows."""
+    return (-F.expr(f"percentile_disc(0.5) within group (order by -{column})")).cast("long")
 
 
 def tree(metrics: DataFrame, depth: int, sums: list[str], peaks: list[str], path: str = "path") -> DataFrame:
@@ -63,11 +62,10 @@ def hotspots(files: DataFrame, limit: int, level: Column) -> DataFrame:
     return use.withColumn("level", level).orderBy(F.desc("lines"), F.upper("path"))
 
 
-def owning_project(files: DataFrame, projects: DataFrame, most_projects: int = 10_000) -> DataFrame:
+def owning_project(files: DataFrame, projects: DataFrame) -> DataFrame:
     """files with the project of the longest directory that holds them. Joined on every directory prefix of a path, so it is
     an equi-join and no path meets every project."""
-    depth = 64
-    rows = files.withColumn("prefix", F.explode(paths.prefixes(F.col("path"), depth)))
+    rows = files.withColumn("prefix", F.explode(paths.prefixes(F.col("path"), F.size(F.split("path", "/")))))
     hit = rows.join(projects.select(F.col("dir").alias("prefix"), "project"), "prefix")
     best = hit.groupBy("path").agg(F.max_by("project", F.struct(F.length("prefix"), "project")).alias("project"))
     return files.join(best, "path", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,12 +68,14 @@ def clone_links(prints: DataFrame, least: float, shared: int = LEAST_SHARED) ->
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder of spark.checkpoint.dir; a local one is set only where there is none."""
+    """df checkpointed in the shared folder of spark.checkpoint.dir. A machine's own folder is set only where there is none and
+    executors are threads of the driver; on a cluster a missing setting is an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"factloom-{uuid.uuid4().hex[:8]}-"))
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()
 
 

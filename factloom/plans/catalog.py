@@ -142,7 +142,8 @@ def search_pattern(f: Facts, pattern: str, is_regex: bool = False, max_results:
 
 
 def metrics_tree(f: Facts, root: str = "", mode: str = "lines", depth: int = 1, top: int = 10, pattern: str | None = None) -> Answer:
-    """mode: lines, complexity, comment_density (ascending) or violation_density. The root is a folder, not a bare prefix."""
+    """mode: lines, complexity (of members: total, peak and mean), comment_density (ascending) or violation_density. The root is
+    a folder, not a bare prefix; files without members have complexity 0."""
     if not 1 <= depth <= 5:
         raise ValueError("depth is 1 to 5")
     base = root.strip("/")
@@ -151,9 +152,17 @@ def metrics_tree(f: Facts, root: str = "", mode: str = "lines", depth: int = 1,
     counts = tx.comment_counts(F.col("text"))
     rows = rows.select("file_id", F.substring(F.col("rel_path"), len(base) + 2 if base else 1, F.lit(2**20)).alias("path"), tx.tree_lines(F.col("text")).alias("lines"), counts["comment"].alias("comments"))
     rows = rows.join(f.violations.groupBy("file_id").agg(F.count(F.lit(1)).alias("violations")), "file_id", "left").fillna(0, ["violations"]) if f.violations is not None else rows.withColumn("violations", F.lit(0))
-    tree = rollup.tree(rows, depth, ["lines", "comments", "violations"], ["lines"])
+    if f.members is not None:
+        own = f.members.groupBy("file_id").agg(F.sum("cyclomatic").cast("long").alias("complexity"), F.max("cyclomatic").cast("long").alias("peak"), F.count(F.lit(1)).alias("members"))
+        rows = rows.join(own, "file_id", "left").fillna(0, ["complexity", "peak", "members"])
+    elif mode == "complexity":
+        raise ValueError("complexity needs members")
+    else:
+        rows = rows.withColumns({c: F.lit(0).cast("long") for c in ("complexity", "peak", "members")})
+    tree = rollup.tree(rows, depth, ["lines", "comments", "violations", "complexity", "members"], ["lines", "peak"]).withColumnRenamed("max_peak", "max_complexity")
+    tree = tree.withColumn("mean_complexity", F.coalesce(F.try_divide("complexity", "members"), F.lit(0.0)))
     tree = tree.withColumn("comment_density", F.try_divide("comments", "lines")).withColumn("violation_density", F.try_divide("violations", "lines"))
-    order = {"comment_density": F.asc("comment_density"), "violation_density": F.desc("violation_density"), "complexity": F.desc("max_lines")}.get(mode, F.desc("lines"))
+    order = {"comment_density": F.asc("comment_density"), "violation_density": F.desc("violation_density"), "complexity": F.desc("complexity")}.get(mode, F.desc("lines"))
     return _answer(tree, top * depth + 1, order, "prefix")
 
 

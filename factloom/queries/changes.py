@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from ..operators import change
 from .registry import query, table
 
-_STATES = """now as (select 'd/' || doc_id as path, sha256(coalesce(text, '')) as sha256 from documents where doc_id % 11 <> 0),
-was as (select case when doc_id % 17 = 0 then 'old/' || doc_id else 'd/' || doc_id end as path, sha256(coalesce(text, '') || case when doc_id % 13 = 0 then 'x' else '' end) as sha256 from documents where doc_id % 7 <> 0)"""
+_STATES = """now as (select 'd/' || doc_id as path, sha256(coalesce(text, '')) as sha256 from documents),
+was as (select case when doc_id % 17 = 0 then 'old/' || doc_id else 'd/' || doc_id end as path, sha256(coalesce(text, '') || case when doc_id % 13 = 0 then 'x' else '' end) as sha256 from documents)"""
 
 
 def _states(spark, sf_dir):
     d, i, t = table(spark, sf_dir, "documents"), F.col("doc_id"), F.coalesce("text", F.lit(""))
     name = lambda p: F.concat(F.lit(p), i.cast("string"))
-    now = d.filter("doc_id % 11 <> 0").select(name("d/").alias("path"), F.sha2(t, 256).alias("sha256"))
-    was = d.filter("doc_id % 7 <> 0").select(F.when(i % 17 == 0, name("old/")).otherwise(name("d/")).alias("path"), F.sha2(F.concat(t, F.when(i % 13 == 0, "x").otherwise("")), 256).alias("sha256"))
+    now = d.select(name("d/").alias("path"), F.sha2(t, 256).alias("sha256"))
+    was = d.select(F.when(i % 17 == 0, name("old/")).otherwise(name("d/")).alias("path"), F.sha2(F.concat(t, F.when(i % 13 == 0, "x").otherwise("")), 256).alias("sha256"))
     return was, now
 
 

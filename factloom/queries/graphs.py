@@ -9,7 +9,7 @@ from ..operators import graph
 from .registry import query, table
 
 #: A part calls the part that follows it in an order; a sparse, cyclic graph.
-_REFS = """refs as (select 'P' || l_partkey as caller_id, 'P' || lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as callee_id, l_orderkey as file_id, l_linenumber as line from lineitem where l_orderkey % 5 = 0),
+_REFS = """refs as (select 'P' || l_partkey as caller_id, 'P' || lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as callee_id, l_orderkey as file_id, l_linenumber as line from lineitem),
 r as (select * from refs where callee_id is not null)"""
 
 
@@ -18,7 +18,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     p = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").select(p.alias("caller_id"), F.lead(p).over(w).alias("callee_id"), F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("line"))
+    rows = table(spark, sf_dir, "lineitem").select(p.alias("caller_id"), F.lead(p).over(w).alias("callee_id"), F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("line"))
     return rows.filter("callee_id is not null")
 
 
@@ -99,15 +99,15 @@ def type_hierarchy(spark, sf_dir):
     return graph.hierarchy(bases, _start(spark, "N3"))
 
 
-_DEAD = """s as (select p_partkey as symbol_id, case when p_partkey % 10 = 0 then null else p_partkey // 10 * 10 end as container_id, p_name as name, p_brand as kind, case when p_size > 25 then 'private' else 'public' end as visibility from part),
-u as (select distinct l_partkey as symbol_id from lineitem where l_orderkey % 50 = 0), d as (select * from s where symbol_id not in (select symbol_id from u)), x as (select * from d where container_id is null or container_id not in (select symbol_id from d))"""
+#: Orders are symbols, in containers of ten, and every line refers to its order; some orders have none.
+_DEAD = """s as (select o_orderkey as symbol_id, case when o_orderkey % 10 = 0 then null else o_orderkey // 10 * 10 end as container_id, 'o' || o_orderkey as name, o_orderpriority as kind, case when o_orderstatus = 'F' then 'private' else 'public' end as visibility from orders),
+u as (select distinct l_orderkey as symbol_id from lineitem), d as (select * from s where symbol_id not in (select symbol_id from u)), x as (select * from d where container_id is null or container_id not in (select symbol_id from d))"""
 
 
 def _dead(spark, sf_dir):
-    p = F.col("p_partkey")
-    symbols = table(spark, sf_dir, "part").select(p.alias("symbol_id"), F.when(p % 10 != 0, F.floor(p / 10) * 10).cast("long").alias("container_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), F.when(F.col("p_size") > 25, "private").otherwise("public").alias("visibility"))
-    refs = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_partkey").alias("callee_id"))
-    return graph.dead_symbols(symbols, refs)
+    o = F.col("o_orderkey")
+    symbols = table(spark, sf_dir, "orders").select(o.alias("symbol_id"), F.when(o % 10 != 0, F.floor(o / 10) * 10).cast("long").alias("container_id"), F.concat(F.lit("o"), o.cast("string")).alias("name"), F.col("o_orderpriority").alias("kind"), F.when(F.col("o_orderstatus") == "F", "private").otherwise("public").alias("visibility"))
+    return graph.dead_symbols(symbols, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("callee_id")))
 
 
 @query(f"with {_DEAD} select symbol_id, name from x")
@@ -120,7 +120,7 @@ def dead_summary(spark, sf_dir):
     return graph.dead_summary(_dead(spark, sf_dir))
 
 
-_TOUCH = """d as (select event_id as symbol_id, cast(user_id as varchar) as path, event_id % 400 as lo, event_id % 400 + case when event_id % 4 = 0 then 40 else 5 end as hi from events), h as (select cast(user_id as varchar) as path, event_id % 397 as lo, event_id % 397 + 3 as hi from events where event_id % 13 = 0),
+_TOUCH = """d as (select event_id as symbol_id, cast(user_id as varchar) as path, event_id % 400 as lo, event_id % 400 + case when event_id % 4 = 0 then 40 else 5 end as hi from events), h as (select cast(user_id as varchar) as path, event_id % 397 as lo, event_id % 397 + 3 as hi from events where event_type = 'error'),
 t as (select distinct d.* from d join h on h.path = d.path and d.hi >= h.lo and d.lo <= h.hi), i as (select t.* from t where not exists (select 1 from t x where x.path = t.path and x.lo >= t.lo and x.hi <= t.hi and (x.lo > t.lo or x.hi < t.hi)))"""
 
 
@@ -128,7 +128,7 @@ def _changed(spark, sf_dir):
     e, path = F.col("event_id"), F.col("user_id").cast("string").alias("path")
     ev = table(spark, sf_dir, "events")
     declared = ev.select(e.alias("symbol_id"), path, (e % 400).alias("start_line"), (e % 400 + F.when(e % 4 == 0, 40).otherwise(5)).alias("end_line"))
-    return graph.touched(ev.filter("event_id % 13 = 0").select(path, (e % 397).alias("start_line"), (e % 397 + 3).alias("end_line")), declared)
+    return graph.touched(ev.filter("event_type = 'error'").select(path, (e % 397).alias("start_line"), (e % 397 + 3).alias("end_line")), declared)
 
 
 @query(f"with {_TOUCH} select symbol_id, path from i")
