@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 #: Spark's setting for removing a query's shuffle files as soon as it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -19,12 +19,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a local one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share. A machine's own folder is set only where there is none and
+    executors are threads of the driver (tests); on a cluster a missing setting is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         base = context.getCheckpointDir()
         if not base:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
             base = context.getCheckpointDir()
     return base.rstrip("/")
@@ -54,6 +57,25 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Slots in which the rows of keys are counted, at any input size, and rows of a key that a task takes at least.
+SLOTS, GROUP = 1 << 16, 128
+
+
+def salted(many: DataFrame, one: DataFrame, key: str, spread: str, n: int, counted: DataFrame | None = None) -> DataFrame:
+    """many, a table of n rows, joined with one on key, where a few keys may have most of many's rows.
+
+    Rows of many are counted by hashed key in SLOTS slots. A slot with over GROUP rows, and over four times its share, is dealt
+    over several parts by the column spread, and one's rows of that slot are repeated for each part. The counts, at most SLOTS
+    rows, are all that is broadcast; keys that share a slot with a hot one only have their row of one repeated. counted: a cheaper table with the same keys as many."""
+    most = max(GROUP, 4 * n // SLOTS)
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("slot_")
+    hot = F.broadcast((many if counted is None else counted).groupBy(slot).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts_")).filter("parts_ > 1"))
+    parts = F.coalesce("parts_", F.lit(1))
+    dealt = many.select("*", slot).join(hot, "slot_", "left").withColumn("part_", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("slot_", "parts_")
+    repeated = one.select("*", slot).join(hot, "slot_", "left").withColumn("part_", F.explode(F.sequence(F.lit(0), parts - 1))).drop("slot_", "parts_")
+    return dealt.join(repeated, [key, "part_"]).drop("part_")
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """df, with its session's Arrow batches held to 1024 rows and 8 MB: texts are long, and an executor holds several batches
     at once, off the heap, for each task."""

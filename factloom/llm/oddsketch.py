@@ -7,7 +7,8 @@ confirmed on the full shingle sets. Links need 100 * intersection >= 75 * union.
 No pairs are made within a group. In rounds, every member is tried against a leader of its bucket, first the member that
 shares the most buckets, and joins the leader's component if they are alike. Members of buckets that still hold several
 components are then joined on their rarest shingles, which finds every link between them. So a group of n copies costs about
-n trials, and no link that shares a band is lost.
+n trials, and no link that shares a band is lost but for those that the sketches reject; near_duplicates(exact=True) searches
+by the prefix join alone and loses none.
 
 Defined results: null texts and texts without a word have an empty set, n_shingles 0, and are alone in their component.
 With fewer than five words the whole sequence is the one shingle. Documents with the same set are one node: of any number
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, small, stage_table
+from .common import bounded, discard, salted, small, stage_table
 from .components import components
 
 WORDS = 5
@@ -38,8 +39,8 @@ ESTIMATE = 0.55
 CHUNK = 2048
 #: Bits of the bitmap that spares texts a shuffle: 1 MB, at any input size.
 BITMAP_BITS = 1 << 23
-#: Mates of one document that a task tries at most, and rounds of leaders before the rest is tried pair by pair.
-MATES, ROUNDS = 512, 6
+#: Rounds of leaders before the rest is tried pair by pair.
+ROUNDS = 6
 #: Another round of leaders needs more pairs between components than so many a bucket row, and fewer than this share of
 #: those before the last round.
 PAIRS_A_ROW, STALL = 64, 0.7
@@ -156,29 +157,33 @@ def confirm(docs: DataFrame, pairs: DataFrame, sets: DataFrame | None = None) ->
     """The pairs (a, b) that are links on full sets. Only texts of ids in a pair are moved; an a with very many mates is
     dealt over several tasks."""
     pairs = stage_table(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = sets or stage_table(_sets(_holding(docs, ids).join(ids, "id")), "sets")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MATES).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    left = parts.join(sets, parts["a"] == sets["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("left_set"))
-    right = dealt.join(sets, dealt["b"] == sets["id"]).select("a", "b", "part", F.col("shingles").alias("right_set"))
+    own = None
+    if sets is None:
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = own = stage_table(_sets(_holding(docs, ids).join(ids, "id")), "sets")
+    right = pairs.join(sets, pairs["b"] == sets["id"]).select("a", "b", F.col("shingles").alias("right_set"))
+    left = pairs.select("a").distinct().join(sets, F.col("a") == sets["id"]).select("a", F.col("shingles").alias("left_set"))
+    # the counts for dealing come from the narrow pairs, not from the rows that carry sets
+    met = salted(right, left, "a", "b", pairs.count(), pairs)
     common = F.size(F.array_intersect("left_set", "right_set"))
     union = F.size("left_set") + F.size("right_set") - common
-    links = stage_table(right.join(left, ["a", "part"]).filter(100 * common >= LEVEL * union).select("a", "b").distinct(), "links")
-    discard(sets)
+    links = stage_table(met.filter(100 * common >= LEVEL * union).select("a", "b").distinct(), "links")
+    for done in (pairs, own):
+        if done is not None:
+            discard(done)
     return links
 
 
-def _trials(buckets: DataFrame, sketches: DataFrame, leaders: DataFrame) -> DataFrame:
+def _trials(buckets: DataFrame, sketches: DataFrame, leaders: DataFrame, n: int) -> DataFrame:
     """(a, b): each bucket's leader with the members of its bucket in other components, if their sketches are close.
-    buckets: key, id, c (component); leaders: key, lead, lead_c."""
-    tried = buckets.join(leaders, "key").filter("c <> lead_c").select("lead", "id").distinct()
-    mine = tried.join(sketches, "id").withColumnRenamed("sketch", "own")
-    his = sketches.select(F.col("id").alias("lead"), F.col("sketch").alias("lead_sketch"))
-    return mine.join(his, "lead").filter(_close("own", "lead_sketch")).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    buckets: key, id, c (component), n rows; leaders: key, lead, lead_c. A leader brings its sketch along: it leads no more
+    buckets than there are bands, while its buckets may hold most documents."""
+    his = leaders.join(sketches.select(F.col("id").alias("lead"), F.col("sketch").alias("lead_sketch")), "lead")
+    tried = salted(buckets, his, "key", "id", n).filter("c <> lead_c").select("lead", "id", "lead_sketch").dropDuplicates(["lead", "id"])
+    return tried.join(sketches.withColumnRenamed("sketch", "own"), "id").filter(_close("own", "lead_sketch")).select(F.col("lead").alias("a"), F.col("id").alias("b"))
 
 
-def _placed(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+def _placed(buckets: DataFrame, links: DataFrame | None, n: int) -> DataFrame:
     """Bucket members with their component so far, of buckets that hold more than one component."""
     if links is None:
         return buckets.select("key", "id", "central", F.col("id").alias("c"))
@@ -186,65 +191,99 @@ def _placed(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
     placed = buckets.join(part, buckets["id"] == part["node"], "left").select("key", "id", "central", F.coalesce("component", "id").alias("c"))
     placed = stage_table(placed, "placed")
     several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    return stage_table(placed.join(several, "key"), "open")
+    still = stage_table(salted(placed, several, "key", "id", n), "open")
+    discard(placed)
+    return still
 
 
-def search(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Links (a, b) of heads (id, bands, sketch), enough of them to connect all that belong together."""
+def search(docs: DataFrame, heads: DataFrame, exact: bool = False) -> DataFrame:
+    """Links (a, b) of heads (id, bands, sketch), enough of them to connect all that belong together. exact: neither bands nor
+    sketches choose the candidates, only the prefix join, which misses no link."""
+    if exact:
+        return _rest(docs, heads.select("id", F.col("id").alias("c")), None)
     rows = heads.select("id", F.explode("bands").alias("key"))
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = stage_table(rows.join(keys, "key"), "buckets")
+    met = stage_table(salted(rows, keys, "key", "id", BANDS * heads.count()), "buckets")
     # the original of a family of edited copies shares buckets with most of them, so it makes the best leader
-    central = buckets.groupBy("id").agg(F.sum("n").alias("central"))
-    buckets = stage_table(buckets.drop("n").join(central, "id"), "buckets")
+    central = met.groupBy("id").agg(F.sum("n").alias("central"))
+    buckets = stage_table(met.drop("n").join(central, "id"), "buckets")
     sketches = stage_table(heads.select("id", "sketch").join(central, "id", "left_semi"), "sketches")
+    discard(met)
     n_rows = buckets.count()
 
-    links, tries, members, before = None, 0, _placed(buckets, None), None
+    links, tries, members, before = None, 0, _placed(buckets, None, n_rows), None
     while True:
         first = F.lit(0).cast("long") if tries == 0 else F.xxhash64("c", F.lit(tries))
         best = F.min(F.struct(first.alias("turn"), (-F.col("central")).alias("rank"), "id", "c"))
         leaders = members.groupBy("key").agg(best.alias("x")).select("key", F.col("x.id").alias("lead"), F.col("x.c").alias("lead_c"))
-        found = confirm(docs, _trials(members, sketches, leaders))
+        found = confirm(docs, _trials(members, sketches, leaders, n_rows))
+        if tries:
+            discard(members)
         links = found if links is None else stage_table(links.unionByName(found).distinct(), "links")
-        members, tries = _placed(buckets, links), tries + 1
+        members, tries = _placed(buckets, links, n_rows), tries + 1
         per_key = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
         left = per_key.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first()["pairs"]
         if left <= PAIRS_A_ROW * n_rows or tries >= ROUNDS or (before is not None and left > STALL * before):
             break
         before = left
-    return links.unionByName(_rest(docs, members, sketches)) if left else links
+    out = links.unionByName(_rest(docs, members, sketches)) if left else links
+    for done in (buckets, sketches, members):
+        discard(done)
+    return out
 
 
-def _rest(docs: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links that no leader has shown, between components of a bucket.
+def prefixes(sets: DataFrame) -> DataFrame:
+    """token, id, place, n: the shingles of each set (id, shingles) that other sets have, too, with their place among all of the
+    set's n shingles, rarest first; those that no other set has come before them."""
+    rows = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("id")
+    spread = salted(rows, shared, "token", "id", sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("n")).first()["n"])
+    spread = spread.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("shared", F.count(F.lit(1)).over(own))
+    return spread.select("token", "id", (F.col("rank") + F.col("n") - F.col("shared")).alias("place"), "n")
+
+
+def tried_pairs(places: DataFrame) -> DataFrame:
+    """token, a, b and their na, nb, ra, rb: what the prefix join looks at, each pair with the smaller set (on ties the smaller id) as a.
+
+    With all shingles in one order, two linked sets have their first common one within the first n - ceil(6/7 n) + 1 of the
+    smaller set, as it shares 2 * 0.75 / 1.75 of its own at least, and within the first n - ceil(0.75 n) + 1 of the larger one.
+    So documents that have a template in common are not paired unless it makes up 6/7 of one and 3/4 of the other."""
+    n, place = F.col("n"), F.col("place")
+    low = places.filter(place <= n - F.ceil(2 * LEVEL * n / (100 + LEVEL)) + 1)
+    high = stage_table(places.filter(place <= n - F.ceil(n * LEVEL / 100) + 1), "prefix")
+    one = low.select("token", F.col("id").alias("a"), F.col("n").alias("na"), (n - place).alias("ra"))
+    two = high.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), (n - place).alias("rb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return salted(two, one, "token", "b", high.count()).filter(smaller)
 
-    Sets a link apart share one of their rarest shingles: with all shingles in one fixed order, two sets at 0.75 share one
-    within the first |set| - ceil(0.75 |set|) + 1 of each. So documents that have no more than a common passage in common
-    are never paired, however many they are."""
+
+def _rest(docs: DataFrame, members: DataFrame, sketches: DataFrame | None) -> DataFrame:
+    """Links that no leader has shown, between components (id, c) of a bucket, by the prefix join of tried_pairs()."""
     own = stage_table(members.select("id", "c").distinct(), "open")
     sets = stage_table(_sets(_holding(docs, own.select("id")).join(own, "id")), "sets")
-    rows = sets.select("id", F.explode("shingles").alias("token"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    spread = rows.join(shared, "token").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")))
-    sized = sets.select("id", "c", F.size("shingles").alias("n")).join(sketches, "id")
-    first = F.col("n") - F.ceil(F.col("n") * LEVEL / 100) + 1
-    place = F.col("rank") + F.col("n") - F.col("shared")
-    prefix = stage_table(spread.join(sized, "id").filter(place <= first).select("token", "id", "c", "n", (F.col("n") - place).alias("rest"), "sketch"), "prefix")
-    one = prefix.select("token", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("sketch").alias("sa"))
-    two = prefix.select("token", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("sketch").alias("sb"))
+    places = stage_table(prefixes(sets), "places")
     # at their first shared shingle, two sets can share no more than what either has left
-    alike = ((100 + LEVEL) * (1 + F.least("ra", "rb")) >= LEVEL * (F.col("na") + F.col("nb"))) & _close("sa", "sb")
-    across = one.join(two, (one["token"] == two["token"]) & (F.col("ca") < F.col("cb")) & alike).select("a", "b").distinct()
-    return confirm(docs, across, sets.select("id", "shingles"))
+    alike = (100 + LEVEL) * (1 + F.least("ra", "rb")) >= LEVEL * (F.col("na") + F.col("nb"))
+    pairs = tried_pairs(places).filter(alike).select("a", "b").distinct()
+    held = sets.select("id", "c") if sketches is None else sets.select("id", "c").join(sketches, "id")
+    for x in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("id").alias(x), *(F.col(k).alias(k + x) for k in held.columns[1:])), x)
+    apart = F.col("ca") != F.col("cb")
+    across = pairs.filter(apart if sketches is None else apart & _close("sketcha", "sketchb")).select("a", "b")
+    links = confirm(docs, across, sets.select("id", "shingles"))
+    for done in (own, sets, places):
+        discard(done)
+    return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each input row."""
+def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each input row. exact: without bands and sketches, which miss a pair at
+    the limit with probability 1e-5; it costs a row a shingle."""
     every = stage_table(profiles(docs), "profiles")
     node = every.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
     heads = every.filter("sig is not null").join(node.select(F.col("id").alias("doc_id"), F.col("sig").alias("own")), "doc_id").filter("sig = own").select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id", "bands"])
-    part = components(search(docs, heads).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    part = components(search(docs, heads, exact).select(F.col("a").alias("u"), F.col("b").alias("v")))
     of_sig = node.join(part, node["id"] == part["node"], "left").select("sig", F.coalesce("component", "id").alias("component"))
     out = every.select("doc_id", "n_shingles", "sig").join(of_sig, "sig", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -358,3 +358,26 @@ def test_repeated_words(words):
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     covered = {i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)}
     assert divergence.repeated_words([w.encode() for w in words]) == len(covered)
+
+
+def templates(n=400, seed=12):
+    """Texts that share a template of 104 words and no more: 0.625 alike, and nearly all in a band with each other."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(104)]
+    return {i: " ".join([*shared, *(word() for _ in range(30))]) for i in range(n)}
+
+
+def test_templates_are_not_paired(spark):
+    texts = templates()
+    sets = spark.createDataFrame([(d, [int(x) for x in oddsketch.shingles(t).view(np.int64)]) for d, t in texts.items()], "id long, shingles array<long>")
+    assert oddsketch.tried_pairs(oddsketch.prefixes(sets)).count() <= 2 * len(texts)
+    got = oddsketch.near_duplicates(frame(spark, texts)).collect()
+    assert all(r["kept"] for r in got)
+
+
+@pytest.mark.parametrize("seed", [3, 21])
+def test_exact_search_against_all_pairs(spark, seed):
+    texts = family(seed, 100)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in oddsketch.near_duplicates(frame(spark, texts), exact=True).collect()}
+    assert got == brute_components(texts)
