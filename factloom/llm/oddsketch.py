@@ -243,34 +243,33 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return spread.select("token", "id", (F.col("rank") + F.col("n") - F.col("shared")).alias("place"), "n")
 
 
-def tried_pairs(places: DataFrame) -> DataFrame:
-    """token, a, b and their na, nb, ra, rb: what the prefix join looks at, each pair with the smaller set (on ties the smaller id) as a.
+def tried_pairs(places: DataFrame, also: Column | None = None) -> DataFrame:
+    """a, b of the prefix join, for each shingle in both prefixes; places: token, id, place, n. also: a condition on a's and b's
+    other columns, named as in places with a or b behind.
 
     With all shingles in one order, two linked sets have their first common one within the first n - ceil(6/7 n) + 1 of the
-    smaller set, as it shares 2 * 0.75 / 1.75 of its own at least, and within the first n - ceil(0.75 n) + 1 of the larger one.
-    So documents that have a template in common are not paired unless it makes up 6/7 of one and 3/4 of the other."""
+    smaller set (on ties of the smaller id), as it shares 2 * 0.75 / 1.75 of its own at least, and within the first
+    n - ceil(0.75 n) + 1 of the larger one. So documents that have a template in common are not paired unless it makes up 6/7
+    of one and 3/4 of the other."""
     n, place = F.col("n"), F.col("place")
     low = places.filter(place <= n - F.ceil(2 * LEVEL * n / (100 + LEVEL)) + 1)
     high = stage_table(places.filter(place <= n - F.ceil(n * LEVEL / 100) + 1), "prefix")
-    one = low.select("token", F.col("id").alias("a"), F.col("n").alias("na"), (n - place).alias("ra"))
-    two = high.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), (n - place).alias("rb"))
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return salted(two, one, "token", "b", high.count()).filter(smaller)
+    one, two = (t.select("token", *(F.col(k).alias(k + x) for k in places.columns if k != "token")) for t, x in ((low, "a"), (high, "b")))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ida") < F.col("idb")))
+    # at their first shared shingle, two sets can share no more than what either has left
+    alike = (100 + LEVEL) * (1 + F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))) >= LEVEL * (F.col("na") + F.col("nb"))
+    met = salted(two, one, "token", "idb", high.count())
+    return met.filter(smaller & alike if also is None else smaller & alike & also).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
 def _rest(docs: DataFrame, members: DataFrame, sketches: DataFrame | None) -> DataFrame:
     """Links that no leader has shown, between components (id, c) of a bucket, by the prefix join of tried_pairs()."""
     own = stage_table(members.select("id", "c").distinct(), "open")
     sets = stage_table(_sets(_holding(docs, own.select("id")).join(own, "id")), "sets")
-    places = stage_table(prefixes(sets), "places")
-    # at their first shared shingle, two sets can share no more than what either has left
-    alike = (100 + LEVEL) * (1 + F.least("ra", "rb")) >= LEVEL * (F.col("na") + F.col("nb"))
-    pairs = tried_pairs(places).filter(alike).select("a", "b").distinct()
-    held = sets.select("id", "c") if sketches is None else sets.select("id", "c").join(sketches, "id")
-    for x in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("id").alias(x), *(F.col(k).alias(k + x) for k in held.columns[1:])), x)
+    held = own if sketches is None else own.join(sketches, "id")
+    places = stage_table(prefixes(sets).join(held, "id"), "places")
     apart = F.col("ca") != F.col("cb")
-    across = pairs.filter(apart if sketches is None else apart & _close("sketcha", "sketchb")).select("a", "b")
+    across = tried_pairs(places, apart if sketches is None else apart & _close("sketcha", "sketchb")).distinct()
     links = confirm(docs, across, sets.select("id", "shingles"))
     for done in (own, sets, places):
         discard(done)
