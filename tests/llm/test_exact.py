@@ -408,3 +408,52 @@ def test_exact_search_against_all_pairs(spark, seed):
     texts = family(seed, 100)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in oddsketch.near_duplicates(frame(spark, texts), exact=True).collect()}
     assert got == brute_components(texts)
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return d, divergence.learn(d)
+
+
+def test_references_against_plain_counts(judged):
+    d, refs = judged
+    counts, signs = {}, {}
+    for r in d.collect():
+        if r["text"] and r["lang"]:
+            counts.setdefault(r["lang"], Counter()).update(re.sub(r'[.,;:?!"()]', " ", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"])).encode().split())
+            signs.setdefault(r["lang"], Counter()).update(r["text"])
+    assert refs.langs == sorted(counts)
+    for i, lang in enumerate(refs.langs):
+        total, common = sum(counts[lang].values()), {w: n for w, n in counts[lang].items() if n >= divergence.COMMON * sum(counts[lang].values())}
+        got = {w: refs.words[i, list(refs.own[i]).index(k)] for w, k in refs.at.items() if k in refs.own[i]}
+        assert got.keys() == common.keys() and all(abs(got[w] - n / total) < 1e-12 for w, n in common.items())
+        capitals = sum(n for c, n in signs[lang].items() if c.isascii() and c.isupper()) / sum(signs[lang].values())
+        accents = sum(n for c, n in signs[lang].items() if not c.isascii() and c.islower()) / sum(signs[lang].values())
+        assert abs(refs.chars[i, 1] - capitals) < 1e-12 and abs(refs.chars[i, 6] - accents) < 1e-12
+
+
+def test_distance_against_scipy_free_formula():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        p, q = rng.dirichlet(np.full(6, 0.4)), rng.dirichlet(np.full(6, 0.4))
+        p[rng.integers(6)] = 0
+        p /= p.sum()
+        bits = lambda a, b: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(a, b) if x > 0)
+        assert abs(divergence._entropy_gap(p, q[None])[0] - np.sqrt((bits(p, q) + bits(q, p)) / 2)) < 1e-9
+
+
+def test_gibberish_goes_and_prose_stays(judged, spark):
+    d, refs = judged
+    rng = random.Random(8)
+    for n in (50, 100, 200, 500, 800, 1000, 3000):
+        for _ in range(5):
+            words = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+            text = " ".join(w.capitalize() + "." if i % 12 == 0 else w for i, w in enumerate(words))
+            assert divergence.judge(refs, text)[6] is False, n
+    rated = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    kept = {0: [], 1: []}
+    for r in divergence.apply_rules(d, refs).collect():
+        if r["doc_id"] in rated and not r["base_failed"]:
+            kept[rated[r["doc_id"]]].append(r["kept"])
+    assert np.mean(kept[1]) >= 0.98 and np.mean(kept[0]) <= 0.1
