@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,18 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def large_batches(spark: SparkSession):
+    """Arrow batches of 65,536 rows for rows of a few numbers; the session's settings are put back."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def small(batches, rows: int = 512):
     """Arrow batches cut into slices, so that Python holds the texts of few rows at a time."""
     for batch in batches:

@@ -1,19 +1,23 @@
-"""Removal of repeated 50-byte strings by hashed names over window minima, in place of a suffix array by prefix doubling.
-
-A byte goes if a 50-byte string that covers it also starts in a document with a smaller id. Places are named by growing
-prefixes (16, then 33, then 50 bytes, a name from a pair of names at an offset), and drop out as soon as only one document
-has their name. Names are hashes made within a task, and Spark groups them by hash: there are no ranks, nothing is sorted, and
-suffixes get no order, as equality of windows needs none:
-
-1. Anchors. In each 50-byte window the place with the least 16-byte name is an anchor. Equal windows have equal
-   anchors, so comparing anchors (one place in 17) loses nothing. Anchors whose name only one document has drop out.
-2. Whole contexts. An anchor stands for the windows in which it is least; the bytes that these cover are its context. Of
-   equal contexts only the one in the smallest document goes on; the others' windows are all repeats.
-3. Doubling. A window holds 17 more bytes on one side of its anchor; anchors whose 33-byte names, left and right, are
-   unique drop out. The windows of the rest are compared by the pair of their 32-byte names at offsets 0 and 18.
-
-A group of n copies thus costs a row an anchor, whatever n is, and only the edges of repeats are compared window by window.
-Names are 64-bit hashes, pairs of them for whole windows. Each step is written to the shared folder.
+"""Suffix-array dedup of repeated 50-byte strings, by distributed prefix doubling over window minima.
+
+A byte goes if a 50-byte string that covers it also starts in a document with a smaller id. Places of texts are sorted by Spark
+by growing prefixes: by their first 16 bytes, then by pairs of the rank so far and the name of what follows at a growing offset,
+up to the 50 bytes of a window. After each sort the places are ranked anew, by where their group starts in the order, and those
+in a group that only one document has are unique and drop out, so that few go on to the next offset:
+
+1. 16 bytes. Only anchors are sorted, the places that are least in some 50-byte window by the name of their 16 bytes: equal
+   windows have equal anchors, so comparing anchors (one place in 17) loses nothing.
+2. Whole contexts. An anchor stands for the windows in which it is least; the bytes that these cover are its context. Anchors
+   are sorted by (rank, context). Of equal contexts only the one in the smallest document goes on; the others' windows are all
+   repeats.
+3. 33 bytes. A window holds 17 more bytes on one side of its anchor. Anchors are sorted by (rank, name at offset -17) and by
+   (rank, name at offset 16).
+4. 50 bytes. The windows of what is left are sorted by (rank, name of the window).
+
+Sorting is by ranges of keys and document, so a group of any size is spread over tasks; each task ranks its own rows, and groups
+at the borders of tasks, two a task, are settled by a join of their keys. A group of n copies costs a row an anchor, and only
+the edges of repeats are compared window by window. Names are 64-bit hashes, which count within a rank only. Each step is
+written to the shared folder.
 
 Defined results: null and empty texts have no bytes and lose none; texts under 50 bytes lose none. Rows with a null id lose
 none and make no other row lose any. Rows that repeat an id count as one document: a string in both isn't in a smaller one;
@@ -26,15 +30,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, small, stage_table
+from .common import bounded, discard, large_batches, salted, small, stage_table
 
 #: Length of the strings compared, and of the names of anchors.
 SPAN, MER = 50, 16
-#: Slices in which names are compared, one after the other.
-SLICES = 2
+#: Slices in which places are sorted, one after the other, and rows that a task sorts.
+SLICES, PART = 2, 1 << 19
 WIDE = SPAN - MER + 1
 
 _RNG = np.random.default_rng(50)
@@ -134,21 +139,21 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def _context_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """doc, place, context, left and right names, for the anchors asked for (doc, places)."""
-    names = ["doc", "place", "context", "lname", "rname"]
+    """doc, place, rank, context, left and right names, for the anchors asked for (doc, places of place and rank)."""
+    names = ["doc", "place", "rank", "context", "lname", "rname"]
 
     def run(batches):
         namer = Namer()
         for b in small(batches):
             parts: list[list[np.ndarray]] = [[] for _ in names]
             for doc, text, places in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("places")):
-                place = np.unique(places.values.to_numpy())
+                place, rank = (places.values.field(i).to_numpy() for i in (0, 1))
                 raw = np.frombuffer(text.encode(), np.uint8)
                 lo = place >> 12
                 at, end = lo + (place & 63), lo + ((place >> 6) & 63) + SPAN
                 fits = end <= len(raw)  # all but for rows that repeat an id
-                place, lo, at, end = place[fits], lo[fits], at[fits], end[fits]
-                row = [np.full(len(at), doc, np.int64), place, namer.stretches(raw, lo, end, at - lo), *_sides(mer_ranks(raw), at)]
+                place, rank, lo, at, end = place[fits], rank[fits], lo[fits], at[fits], end[fits]
+                row = [np.full(len(at), doc, np.int64), place, rank, namer.stretches(raw, lo, end, at - lo), *_sides(mer_ranks(raw), at)]
                 for part, x in zip(parts, row):
                     part.append(x.view(np.int64))
             yield _columns(names, parts)
@@ -156,32 +161,85 @@ def _context_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return _usable(docs).join(asked.hint("shuffle_hash"), "doc").transform(bounded).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def window_starts(place: np.ndarray, side: np.ndarray, rank: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of anchors and their rank: with side 1 those that hold 17 bytes more before the anchor, with side 2
+    the others, which hold 17 bytes more behind it. Each window is there once a rank."""
+    lo, middle = place >> 12, (place >> 12) + (place & 63) - MER
+    hi = lo + ((place >> 6) & 63)
+    first, last = np.where(side == 1, lo, np.maximum(lo, middle)), np.where(side == 1, np.minimum(hi, middle - 1), hi)
+    fits = (last >= first) & (last + SPAN <= size)  # all but empty stretches and rows that repeat an id
+    order = np.lexsort((first[fits], rank[fits]))
+    first, last, rank = first[fits][order], last[fits][order], rank[fits][order]
+    if not len(first):
+        return first, rank
+    # stretches of one rank overlap where names are tied
+    base = np.cumsum(np.append(False, rank[1:] != rank[:-1])) * (size + 1)
+    before = np.append(-1, np.maximum.accumulate(last + base)[:-1]) - base
+    first = np.maximum(first, before + 1)
+    n = np.maximum(last - first + 1, 0)
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(rank, n)
+
+
 def _window_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """head, tail (32-byte names at offsets 0 and 18), doc, start: the windows of the anchors asked for (doc, places:
-    the place, and a bit each for a shared left and a shared right name)."""
+    """rank, window (its name), doc, start: the windows of the anchors asked for (doc, places of place, side and rank)."""
 
     def run(batches):
         for b in small(batches):
             parts: list[list[np.ndarray]] = [[], [], [], []]
             for doc, text, places in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("places")):
                 name = mer_ranks(np.frombuffer(text.encode(), np.uint8))
-                packed = places.values.to_numpy()
-                place, sides = packed >> 2, packed & 3
-                lo, hi, middle = place >> 12, (place >> 12) + ((place >> 6) & 63), (place >> 12) + (place & 63) - MER
-                runs = [(lo, np.minimum(hi, middle - 1), sides & 1), (np.maximum(lo, middle), hi, sides & 2)]
-                edge = np.zeros(len(name) + SPAN + 2, np.int64)
-                for first, last, on in runs:
-                    keep = (on > 0) & (last >= first) & (last < len(name))
-                    edge += np.bincount(first[keep], minlength=len(edge))
-                    edge -= np.bincount(last[keep] + 1, minlength=len(edge))
-                at = np.flatnonzero(np.cumsum(edge) > 0)
-                at = at[at + SPAN - MER < len(name)]
-                row = (_mix(name[at] * _LEVEL[4] + name[at + MER]), _mix(name[at + SPAN - 2 * MER] * _LEVEL[4] + name[at + SPAN - MER]), np.full(len(at), doc, np.int64), at)
-                for part, x in zip(parts, row):
+                at, rank = window_starts(*(places.values.field(i).to_numpy() for i in (0, 1, 2)), len(name) + MER - 1)
+                head, tail = name[at] * _LEVEL[4] + name[at + MER], name[at + SPAN - 2 * MER] * _LEVEL[4] + name[at + SPAN - MER]
+                for part, x in zip(parts, (rank, _mix(_mix(head) * _LEVEL[5] + tail), np.full(len(at), doc, np.int64), at)):
                     part.append(x.view(np.int64))
-            yield _columns(["head", "tail", "doc", "start"], parts)
-
-    return _usable(docs).join(asked.hint("shuffle_hash"), "doc").transform(bounded).mapInArrow(run, "head long, tail long, doc long, start long")
+            yield _columns(["rank", "window", "doc", "start"], parts)
+
+    return _usable(docs).join(asked.hint("shuffle_hash"), "doc").transform(bounded).mapInArrow(run, "rank long, window long, doc long, start long")
+
+
+def ranked(rows: DataFrame, keys: list[str], unique: bool = False) -> tuple[DataFrame, DataFrame]:
+    """rows (doc, keys and other columns, all long), sorted by Spark and ranked anew, and the written table behind them.
+
+    rank: where the group of equal keys starts in the order; least: its smallest document. Groups of one document are left out
+    unless unique. A task sees a range of the order; its first and last group may go on in others, so their rows are given
+    with their keys and met with the sums over all tasks."""
+    spark, n = rows.sparkSession, rows.count()
+    parts = max(n // PART + 1, 2 * spark.sparkContext.defaultParallelism)
+    rest = [c for c in rows.columns if c not in (*keys, "doc", "rank")]
+    out = ["doc", *rest, "rank", "least", "most", *(f"key{i}" for i in range(len(keys)))]
+
+    def scan(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        doc, own = table["doc"].to_numpy(), [table[k].to_numpy() for k in keys]
+        new = np.ones(len(doc), bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in own])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(doc)))
+        least, most, border = doc[start], doc[start + size - 1], np.zeros(len(start), bool)
+        border[[0, -1]] = True
+        group = np.repeat(np.arange(len(start)), size)
+        kept = np.flatnonzero((np.full(len(start), unique) | border | (least < most))[group])
+        first = TaskContext.get().partitionId() << 32
+        for i in range(0, len(kept), 1 << 16):
+            at = kept[i : i + (1 << 16)]
+            g = group[at]
+            inner = ~border[g]
+            columns = [pa.array(x) for x in (doc[at], *(table[c].to_numpy()[at] for c in rest), first + start[g], least[g], most[g])]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x[at], mask=inner) for x in own)], names=out)
+
+    ordered = rows.repartitionByRange(parts, *keys, "doc").sortWithinPartitions(*keys, "doc")
+    with large_batches(spark):
+        table = stage_table(ordered.mapInArrow(scan, ", ".join(f"{c} long" for c in out)), "ranked")
+    border = table.filter("key0 is not null").withColumn("border", F.xxhash64(*out[-len(keys) :]))
+    sums = border.groupBy("border", *out[-len(keys) :]).agg(*(f("x").alias(c) for f, c in ()), F.min("rank").alias("r"), F.min("least").alias("lo"), F.max("most").alias("hi"))
+    sums = sums.select("border", *(F.col(c).alias("of_" + c) for c in out[-len(keys) :]), "r", "lo", "hi")
+    same = reduce(Column.__and__, [F.col(c) == F.col("of_" + c) for c in out[-len(keys) :]])
+    settled = salted(border.drop("rank", "least", "most"), sums, "border", "doc", border.count()).filter(same if unique else same & (F.col("lo") < F.col("hi")))
+    inner = table.filter("key0 is null").select("doc", *rest, "rank", "least")
+    return inner.unionByName(settled.select("doc", *rest, F.col("r").alias("rank"), F.col("lo").alias("least"))), table
 
 
 def _span(start, end):
@@ -189,56 +247,49 @@ def _span(start, end):
     return (F.shiftleft(start.cast("long"), 32) + end).alias("span")
 
 
-def _slice(name: str):
-    return F.pmod(F.col(name), F.lit(SLICES))
+def _in_slices(rows: DataFrame, keys: list[str], unique: bool, keep) -> list[DataFrame]:
+    """keep(ranked rows) of each slice of the last key, written. Ranks of different slices differ."""
+    out = []
+    for k in range(SLICES):
+        part, table = ranked(rows.filter(F.pmod(F.col(keys[-1]), F.lit(SLICES)) == k), keys, unique)
+        out.append(stage_table(keep(part.withColumn("rank", F.col("rank") * SLICES + k)), "slice"))
+        discard(table)
+    return out
 
 
-def _shared(rows: DataFrame, *key: str) -> DataFrame:
-    """Keys that several documents have, with the smallest."""
-    return rows.groupBy(*key).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select(*key, "least")
+def _by_doc(parts: list[DataFrame], *columns: str) -> DataFrame:
+    """doc, places (array of structs), written; the parts go."""
+    out = stage_table(reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("places")), "places")
+    for part in parts:
+        discard(part)
+    return out
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, spans (array of packed start and end): stretches of bytes to remove, overlapping and in no order."""
-    # each kind of name is grouped in one job and met with its rows in the next, and anchors and windows are taken in slices
-    # of names, so that little of them is in flight at once
+    # places are sorted in slices, so that little of them is in flight at once
     rows = stage_table(_anchor_rows(docs), "anchors")
-    parts = []
-    for k in range(SLICES):
-        part = rows.filter(_slice("mer") == k)
-        mers = stage_table(_shared(part, "mer").select("mer"), "mers")
-        parts.append(stage_table(part.join(mers.hint("shuffle_hash"), "mer", "left_semi").select("doc", "place"), "met"))
-        discard(mers)
+    met = _by_doc(_in_slices(rows, ["mer"], False, lambda x: x.select("doc", "place", "rank")), "place", "rank")
     discard(rows)
-    met = stage_table(reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.collect_list("place").alias("places")), "met")
-    for part in parts:
-        discard(part)
     rows = stage_table(_context_rows(docs, met), "contexts")
     discard(met)
-    first = stage_table(_shared(rows, "context"), "first")
-    again = F.coalesce(F.col("doc") > F.col("least"), F.lit(False))
-    placed = stage_table(rows.join(first.hint("shuffle_hash"), "context", "left").select("doc", "place", *(F.when(~again, F.col(c)).alias(c) for c in ("lname", "rname")), again.alias("again")), "placed")
+    again = F.col("doc") > F.col("least")
+    placed = _in_slices(rows.withColumn("of", F.col("rank")), ["rank", "context"], True, lambda x: x.select("doc", "place", *(F.when(~again, F.col(c)).alias(c) for c in ("of", "lname", "rname")), again.alias("again")))
     discard(rows)
-    discard(first)
+    every = reduce(DataFrame.unionByName, placed)
     lo, more = F.shiftright("place", 12), F.shiftright("place", 6).bitwiseAND(F.lit(63))
-    whole = placed.filter("again").select("doc", _span(lo, lo + more + SPAN))
+    whole = every.filter("again").select("doc", _span(lo, lo + more + SPAN))
     sides = []
-    for column, bit in (("lname", 1), ("rname", 2)):
-        side = placed.filter(f"not again and {column} <> 0").select("doc", "place", F.col(column).alias("name"))
-        names = stage_table(_shared(side, "name").select("name"), "names")
-        sides.append(side.join(names.hint("shuffle_hash"), "name", "left_semi").select("doc", (F.col("place") * 4 + bit).alias("place")))
-    asked = stage_table(sides[0].unionByName(sides[1]).groupBy("doc").agg(F.collect_list("place").alias("places")), "asked")
+    for column, side in (("lname", 1), ("rname", 2)):
+        found, table = ranked(every.filter(f"not again and {column} <> 0").select("doc", "place", F.col("of").alias("rank"), F.col(column).alias("name")), ["rank", "name"])
+        sides.append(stage_table(found.select("doc", "place", F.lit(side).cast("long").alias("side"), (F.col("rank") * 2 + side - 1).alias("rank")), "side"))
+        discard(table)
+    asked = _by_doc(sides, "place", "side", "rank")
     windows = stage_table(_window_rows(docs, asked), "windows")
-    single = []
-    for k in range(SLICES):
-        part = windows.filter(_slice("head") == k)
-        same = stage_table(_shared(part, "head", "tail"), "same")
-        hit = part.join(same.hint("shuffle_hash"), ["head", "tail"]).filter("doc > least")
-        single.append(stage_table(hit.select("doc", _span(F.col("start"), F.col("start") + SPAN)), "single"))
-        discard(same)
+    single = _in_slices(windows, ["rank", "window"], False, lambda x: x.filter("doc > least").select("doc", _span(F.col("start"), F.col("start") + SPAN)))
     discard(windows)
     spans = stage_table(reduce(DataFrame.unionByName, [whole, *single]).groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")
-    for done in (placed, asked, *single):
+    for done in (*placed, asked, *single):
         discard(done)
     return spans
 
