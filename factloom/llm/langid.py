@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the hashed n-grams of each language that has a text with letters, however few; the matrix of log
-probabilities, of fixed size a language, is sent to the executors in blocks of languages, and texts are scored in numpy from
-their n-gram buckets, block by block.
+probabilities, of fixed size a language, is sent to the executors in blocks of languages, and a batch of texts is scored in
+numpy as one sparse matrix of n-gram counts, block by block.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text if nothing could be learned.
 Ties go to the language that sorts first. Rows with a null id are scored but never learned from, and count as not held out.
@@ -26,6 +26,8 @@ GRAMS, BUCKETS, SMOOTH = (1, 2, 3, 4), 1 << 16, 0.5
 SAMPLE_PER_LANG = 1500
 #: Languages whose matrix is held at once, 16 MB as floats.
 BLOCK = 64
+#: Products held at once while a batch is scored.
+CELLS = 1 << 21
 #: Folds by crc32 of the id as text; fold 0 is held out.
 FOLDS = 5
 
@@ -64,27 +66,46 @@ class Model:
     blocks: list  # of matrices, buckets x languages, or of broadcasts of them
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The texts as one sparse matrix of n-gram counts (buckets and counts of each text, one after the other), multiplied
+        with each block of languages."""
         flats = [letters(t) if self.langs else "" for t in texts]
+        some = [i for i, flat in enumerate(flats) if flat]
+        out = [("und", 0.0)] * len(texts)
+        if not some:
+            return out
+        counts = [np.bincount(buckets(flats[i]), minlength=BUCKETS) for i in some]
+        at = [np.flatnonzero(x) for x in counts]
+        n = [x[k].astype(float) for x, k in zip(counts, at)]
+        grams = np.array([x.sum() for x in n])
+        # the n-grams of a text overlap: its evidence is tempered before it becomes a probability
+        weight = np.minimum(grams, 40) / grams
         # of each text: best language so far, its evidence, and the sum of probabilities relative to it
-        best, most, mass = [-1] * len(texts), np.full(len(texts), -np.inf), np.zeros(len(texts))
-        first = 0
+        best, most, mass, first = np.zeros(len(some), np.int64), np.full(len(some), -np.inf), np.zeros(len(some)), 0
         for block in self.blocks:
             logs = block if isinstance(block, np.ndarray) else _loaded(block, len(self.blocks))
-            for i, flat in enumerate(flats):
-                if not flat:
-                    continue
-                x = buckets(flat)
-                total = np.bincount(x, minlength=BUCKETS) @ logs if len(x) > BUCKETS else logs[x].sum(0)
-                at = int(np.argmax(total))
-                # the n-grams of a text overlap: its evidence is tempered before it becomes a probability
-                weight = min(len(x), 40) / len(x)
-                top = max(most[i], float(total[at]))
-                mass[i] = mass[i] * np.exp((most[i] - top) * weight) + np.exp((total - top) * weight).sum()
-                if total[at] > most[i]:
-                    best[i] = first + at
-                most[i] = top
+            total = _product(at, n, logs)
+            own = total.argmax(1)
+            peak = total[np.arange(len(some)), own]
+            top = np.maximum(most, peak)
+            mass = mass * np.exp((most - top) * weight) + np.exp((total - top[:, None]) * weight[:, None]).sum(1)
+            best, most = np.where(peak > most, first + own, best), top
             first += logs.shape[1]
-        return [(self.langs[b], float(1 / m)) if b >= 0 else ("und", 0.0) for b, m in zip(best, mass)]
+        for i, k, m in zip(some, best, mass):
+            out[i] = (self.langs[k], float(1 / m))
+        return out
+
+
+def _product(at: list[np.ndarray], n: list[np.ndarray], logs: np.ndarray) -> np.ndarray:
+    """Rows of counts, given by their buckets and values, times logs (buckets x languages), in stretches of at most CELLS
+    products or one row."""
+    out, ends, i = np.zeros((len(at), logs.shape[1])), np.cumsum([len(x) for x in at]), 0
+    while i < len(at):
+        done = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + CELLS // logs.shape[1], "right")))
+        starts = np.append(0, ends[i : j - 1] - done)
+        out[i:j] = np.add.reduceat(np.concatenate(n[i:j])[:, None] * logs[np.concatenate(at[i:j])], starts, axis=0)
+        i = j
+    return out
 
 
 def _loaded(block, blocks: int) -> np.ndarray:
