@@ -6,10 +6,11 @@ set of vocabulary prefixes that end at the current place, each with the piece be
 deterministic, compiled as texts need it, and each transition carries the tokens that it adds (or, as pieces merge, takes
 back).
 
-No piece has a space after another character, so the machine is back in one known state at each such place. A chunk of text
-is therefore summed up by what stands before its first such place, the tokens between, and what stands after the last; these
-chunk maps compose associatively, and a prefix scan over a text's chunks gives its count. The map of a stretch between two
-such places is one number, kept in a bounded memo.
+A chunk of text is summed up by its state map: from the state before it to the state behind it and the tokens added. Maps
+compose associatively, without text, and a prefix scan over a text's chunks gives its count. A map is compiled for the state
+that the characters before the chunk lead to; should another one come, the chunk is run from that, too. No piece has a space
+after another character, so the machine is back in its first state at each such place, from which the map of a stretch up to
+the next one is one number, kept in a bounded memo.
 
 Defined results: null and empty texts have no bytes and no tokens. A character outside the vocabulary counts as its bytes.
 Repeated rows and null ids are counted as any others; extra columns are ignored."""
@@ -17,6 +18,7 @@ Repeated rows and null ids are counted as any others; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,11 +29,14 @@ from pyspark.sql import functions as F
 from .common import bounded, in_worker, small
 
 LIMIT = 4096
-#: Characters of a chunk; entries of the memo of stretches, states of the machine, and remembered pairs before they are
-#: emptied and compiled anew.
-CHUNK, MEMO, STATES, PAIRS = 1 << 16, 500_000, 200_000, 500_000
+#: Characters of a chunk, and before it that its first state is taken from; entries of the memo of stretches, states of the
+#: machine, and remembered pairs before they are emptied and compiled anew.
+CHUNK, LEAD, MEMO, STATES, PAIRS = 1 << 13, 64, 500_000, 50_000, 500_000
 SPACE = "▁"
 
+#: The first state: no prefix but the empty one, and no piece before it.
+START = ((0, None, 0),)
+
 _STRETCH = re.compile(r" *[^ ]+| +")
 
 
@@ -64,9 +69,8 @@ class Machine:
         self._restart()
 
     def _restart(self) -> None:
-        start = ((0, None, 0),)
-        self.states: list[tuple] = [start]
-        self.number: dict[tuple, int] = {start: 0}
+        self.states: list[tuple] = [START]
+        self.number: dict[tuple, int] = {START: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
 
     @staticmethod
@@ -110,7 +114,7 @@ class Machine:
         """The transition: next state and tokens added. A state lists (vocabulary prefix, piece before it, tokens up to
         there less tokens up to here)."""
         if c not in self.trie[0]:
-            return ((0, None, 0),), len(c.encode("utf-8", "surrogatepass"))
+            return START, len(c.encode("utf-8", "surrogatepass"))
         last, count, ahead = None, 0, []
         for node, before, tokens in state:
             nxt = self.trie[node].get(c)
@@ -121,34 +125,61 @@ class Machine:
                     last, count = piece, tokens + 1
         return (*((n, b, t - count) for n, b, t in ahead if self.trie[n]), (0, last, 0)), count
 
-    def run(self, stretch: str) -> int:
-        """Tokens of a stretch, from the state after a space boundary."""
-        if len(self.states) > STATES:
-            self._restart()
-        state, total, moves = 0, 0, self.moves
-        for c in stretch:
+    def _numbered(self, state: tuple) -> int:
+        """A state's number; if there are too many, all others are forgotten. Numbers from before then hold no more."""
+        number = self.number.get(state)
+        if number is None:
+            if len(self.states) >= STATES:
+                self._restart()
+                if state == START:
+                    return 0
+            number = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+        return number
+
+    def run(self, text: str, entry: tuple = None) -> tuple[tuple, int]:
+        """The state after a text, and the tokens added, from a state, by default the first."""
+        state, total = self._numbered(entry or START), 0
+        moves = self.moves
+        for c in text:
             move = moves[state].get(c)
             if move is None:
-                after, add = self.compile(self.states[state], c)
-                number = self.number.get(after)
-                if number is None:
-                    number = self.number[after] = len(self.states)
-                    self.states.append(after)
-                    moves.append({})
-                move = moves[state][c] = (number, add)
+                held, own = self.states, moves[state]
+                after, add = self.compile(held[state], c)
+                number = self._numbered(after)
+                move = (number, add)
+                if self.states is held:
+                    own[c] = move
+                moves = self.moves
             state, add = move
             total += add
-        return total
+        return self.states[state], total
 
 
-@dataclass(frozen=True)
+@dataclass
 class ChunkMap:
-    """What a chunk does to the machine. head: text before the first boundary (all of it, if there is none); count: tokens
-    between the first and the last boundary; tail: text from the last boundary on, None if there is no boundary."""
+    """What a chunk does to the machine: moves from the states before it to the state behind it and the tokens added; other
+    gives the move from a state that isn't among them."""
+
+    moves: dict[tuple, tuple[tuple, int]]
+    other: Callable[[tuple], tuple[tuple, int]]
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        move = self.moves.get(state)
+        if move is None:
+            move = self.moves[state] = self.other(state)
+        return move
+
+    def then(self, after: ChunkMap) -> ChunkMap:
+        """This map and then the other; associative."""
+
+        def both(state: tuple) -> tuple[tuple, int]:
+            between, n = self(state)
+            end, m = after(between)
+            return end, n + m
 
-    head: str
-    count: int
-    tail: str | None
+        return ChunkMap({state: both(state) for state in self.moves}, both)
 
 
 class Counter:
@@ -158,7 +189,7 @@ class Counter:
     def stretch(self, text: str) -> int:
         found = self.memo.get(text)
         if found is None:
-            found = self.machine.run(text.replace(" ", SPACE))
+            found = self.machine.run(text.replace(" ", SPACE))[1]
             if len(text) <= 64:
                 if len(self.memo) > MEMO:
                     self.memo.clear()
@@ -172,32 +203,29 @@ class Counter:
         except KeyError:
             return sum(map(self.stretch, stretches))
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        """A boundary is where a space follows another character; a chunk that starts with a space may lie on one, so its
-        spaces stay with what comes before."""
-        parts = _STRETCH.findall(chunk)
-        if len(parts) < 2:
-            return ChunkMap(chunk, 0, None)
-        return ChunkMap(parts[0], self.between(parts[1:-1]), parts[-1])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """a then b; associative."""
-        if a.tail is None and b.tail is None:
-            return self.chunk_map(a.head + b.head)
-        if a.tail is None:
-            head = self.chunk_map(a.head + b.head)
-            return ChunkMap(head.head, b.count, b.tail) if head.tail is None else ChunkMap(head.head, head.count + self.stretch(head.tail) + b.count, b.tail)
-        middle = self.chunk_map(a.tail + b.head)
-        if b.tail is None:
-            return ChunkMap(a.head, a.count, middle.head) if middle.tail is None else ChunkMap(a.head, a.count + self.stretch(middle.head) + middle.count, middle.tail)
-        inner = self.stretch(middle.head) + (middle.count + self.stretch(middle.tail) if middle.tail is not None else 0)
-        return ChunkMap(a.head, a.count + inner + b.count, b.tail)
+    def run(self, parts: list[str], entry: tuple) -> tuple[tuple, int]:
+        """The move over stretches, the first of which goes on from entry and the others each start in the first state."""
+        state, n = self.machine.run(parts[0].replace(" ", SPACE), entry)
+        if len(parts) == 1:
+            return state, n
+        state, last = self.machine.run(parts[-1].replace(" ", SPACE))
+        return state, n + self.between(parts[1:-1]) + last
+
+    def chunk_map(self, text: str, lo: int, hi: int) -> ChunkMap:
+        """The map of text[lo:hi]. A boundary is where a space follows another character."""
+        parts = _STRETCH.findall(text[lo:hi])
+        if lo == 0 or text[lo] == " " and text[lo - 1] != " ":
+            move = self.run(parts, START)
+            return ChunkMap({START: move}, lambda state: move)
+        before = _STRETCH.findall(text[max(0, lo - LEAD) : lo])[-1]
+        entry = self.machine.run(before.replace(" ", SPACE))[0]
+        return ChunkMap({entry: self.run(parts, entry)}, lambda state: self.run(parts, state))
 
     def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
         """Maps of all prefixes, by doubling: log(n) rounds in which all places are independent of each other."""
         step = 1
         while step < len(maps):
-            maps = maps[:step] + [self.compose(maps[i - step], maps[i]) for i in range(step, len(maps))]
+            maps = maps[:step] + [maps[i - step].then(maps[i]) for i in range(step, len(maps))]
             step *= 2
         return maps
 
@@ -207,8 +235,7 @@ class Counter:
         text = " " + (text.replace(SPACE, " ") if SPACE in text else text)  # the model's own prefix
         if len(text) <= CHUNK:
             return self.between(_STRETCH.findall(text))
-        whole = self.scan([self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])[-1]
-        return self.stretch(whole.head) + whole.count + (self.stretch(whole.tail) if whole.tail is not None else 0)
+        return self.scan([self.chunk_map(text, i, min(i + CHUNK, len(text))) for i in range(0, len(text), CHUNK)])[-1](START)[1]
 
 
 def piece_scores(path: str) -> dict[str, float]:
