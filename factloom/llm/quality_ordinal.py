@@ -6,7 +6,8 @@ an expected grade and the tail probability P(grade >= cut), by which documents a
 
 Defined results: a null text, or one without a word, has no features: its score is 0 expected grade, tail probability 0, not
 kept. Without any labelled row nothing can be learned: the expected grade and the probability are null and every document
-with a word is kept. Repeated rows are scored one by one. Several labels of a document count as their lowest grade. Rows
+with a word is kept. Repeated rows are scored one by one; of rows
+that repeat an id, the fit takes the text that sorts first. Several labels of a document count as their lowest grade. Rows
 with a null id are scored as any other; labels with a null id or grade are left out. Input columns besides those named are
 ignored (or carried through unchanged by select_documents)."""
 
@@ -188,7 +189,8 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, sample_per_grade: i
             rows = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "grade", "x"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "grade", "text")
+    # rows that repeat an id count once, with the text that sorts first, so that the sample bounds what is fitted
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select(F.col("doc_id").cast("long").alias("doc_id"), "grade", "text")
     got = chosen.transform(bounded).mapInArrow(lists, "doc_id long, grade int, x array<int>").toArrow().sort_by("doc_id")
     rows, y = got["x"].to_pylist(), got["grade"].to_pylist()
     used = [i for i, r in enumerate(rows) if r]
