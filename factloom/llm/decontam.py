@@ -5,7 +5,8 @@ one piece unchanged. An Aho-Corasick automaton over all pieces finds exact hits
 Myers' bit-parallel distance verifies the item. Items and texts are compared as lower-cased words joined by one space, so
 case, punctuation and white space cost no edits.
 
-Defined results: null texts, null items and items without a letter or digit match nothing. Every item id of repeated items
+Defined results: null texts, null items and items without a letter or digit match nothing. Items too short for an error
+match whole words only. Every item id of repeated items
 is reported, and repeated documents are reported one by one. Ties go to the leftmost end, then the latest start. Extra input
 columns are ignored (carried through unchanged by clean_documents)."""
 
@@ -16,10 +17,11 @@ from collections import defaultdict
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, small
+from .common import bounded, in_worker, small
 
 #: Error budget: edits a hundred characters, but never so many that pieces get shorter than PIECE characters.
 RATE, PIECE = 8, 16
@@ -44,11 +46,16 @@ def pieces(item: str) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def bordered(item: str) -> str:
+    """An item without a budget has to stand on word borders, so they are part of it."""
+    return item if budget(len(item)) else f" {item} "
+
+
 class Pattern:
     """Myers' bit vectors of one item: rows are bits of a Python integer of any length."""
 
-    def __init__(self, item: str) -> None:
-        self.item, self.size, self.k = item, len(item), budget(len(item))
+    def __init__(self, item: str, k: int | None = None) -> None:
+        self.item, self.size, self.k = item, len(item), budget(len(item)) if k is None else k
         self.full, self.high = (1 << self.size) - 1, 1 << (self.size - 1)
         self.ahead, self.back = self._masks(item), self._masks(item[::-1])
 
@@ -95,10 +102,10 @@ class Matcher:
     """Automaton and bit vectors for a block of items (id, normalised text)."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
-        self.ids, self.patterns = [i for i, _ in items], [Pattern(t) for _, t in items]
+        self.ids, self.patterns = [i for i, _ in items], [Pattern(bordered(t), budget(len(t))) for _, t in items]
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, item) in enumerate(items):
-            for offset, piece in pieces(item):
+            for offset, piece in pieces(item) if budget(len(item)) else [(0, bordered(item))]:
                 at[piece].append((n, offset))
         self.found = ahocorasick.Automaton()
         for piece, places in at.items():
@@ -127,12 +134,13 @@ class Matcher:
         """(item number, distance, start, end) in code points of the original text."""
         if not text or not self.patterns:
             return
-        flat, spans = normal(text), None
+        flat, spans = f" {normal(text)} ", None
         for n, lo, hi in self.windows(flat):
             hit = self.patterns[n].find(flat, lo, hi)
             if hit:
                 spans = spans or _places(text)
-                yield n, hit[0], _original(spans, hit[1], False), _original(spans, hit[2], True)
+                start, end = hit[1] + (flat[hit[1]] == " "), hit[2] - (flat[hit[2] - 1] == " ")
+                yield n, hit[0], _original(spans, start - 1, False), _original(spans, end - 1, True)
 
     def any(self, text: str | None) -> bool:
         return any(True for _ in self.matches(text))
@@ -170,13 +178,17 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
         yield sorted(((r["item_id"], t) for r in part.collect() if (t := normal(r["text"]))), key=lambda x: (x[0] is None, x))
 
 
+def _digest(items: list[tuple[int | None, str]]) -> str:
+    return xxhash.xxh3_128_hexdigest(repr(items).encode("utf-8", "surrogatepass"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each occurrence: doc_id, item_id, distance (edits), start and end (code points of the text)."""
     out = None
     for items in item_blocks(benchmark, block_chars):
 
-        def run(batches, items=items):
-            matcher = Matcher(items)
+        def run(batches, items=items, key=_digest(items)):
+            matcher = in_worker("decontam", key, lambda: Matcher(items))
             for b in small(batches):
                 rows = [(d, matcher.ids[n], k, s, e) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for n, k, s, e in matcher.matches(t)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 5, names=["doc_id", "item_id", "distance", "start", "end"])
@@ -191,8 +203,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, block_chars: int = BL
     at = docs.columns.index("text")
     for items in item_blocks(benchmark, block_chars):
 
-        def run(batches, items=items):
-            matcher = Matcher(items)
+        def run(batches, items=items, key=_digest(items)):
+            matcher = in_worker("decontam", key, lambda: Matcher(items))
             for b in small(batches):
                 yield b.filter(pa.array([not matcher.any(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
