@@ -457,3 +457,121 @@ def test_gibberish_goes_and_prose_stays(judged, spark):
         if r["doc_id"] in rated and not r["base_failed"]:
             kept[rated[r["doc_id"]]].append(r["kept"])
     assert np.mean(kept[1]) >= 0.98 and np.mean(kept[0]) <= 0.1
+
+
+def test_ranks_over_borders_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART", 7)
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2, 3, rng.randrange(40)]), rng.randrange(2), rng.randrange(30), i) for i in range(600)]
+    d = spark.createDataFrame(rows, "rank long, name long, doc long, place long")
+    got, _ = suffix_dedup.ranked(d, ["rank", "name"])
+    docs = {}
+    for a, b, doc, _ in rows:
+        docs.setdefault((a, b), set()).add(doc)
+    key = {place: (a, b) for a, b, _, place in rows}
+    want = {(place, min(docs[k])) for place, k in key.items() if len(docs[k]) > 1}
+    out = got.collect()
+    assert {(r["place"], r["least"]) for r in out} == want and len(out) == len(want)
+    first = {}
+    for r in out:
+        assert first.setdefault(key[r["place"]], r["rank"]) == r["rank"]
+    assert sorted(first) == sorted(first, key=first.get) and len(set(first.values())) == len(first)
+
+
+def test_repeats_where_ids_repeat(spark):
+    rng = random.Random(1)
+    a, b, c = ("".join(rng.choice("abcdef ") for _ in range(200)) for _ in range(3))
+    d = spark.createDataFrame([(1, a), (2, b), (2, c), (3, a[20:120] + b[50:150]), (4, "x" + c)], "doc_id long, text string")
+    got = sorted(tuple(r)[:3] for r in suffix_dedup.remove_repeats(d).collect())
+    assert got == [(1, 200, 0), (2, 200, 0), (2, 200, 0), (3, 200, 200), (4, 201, 200)]
+
+
+def test_long_texts_without_spaces(pieces, monkeypatch):
+    rng = random.Random(3)
+    for alphabet in ("abcdefghijklmnop", "日本語中文字éß▁", "theingofand"):
+        text = "".join(rng.choice(alphabet) for _ in range(40_000))
+        want = len(pieces[1].encode(text))
+        assert pieces[0].count(text) == want
+        assert len(pieces[0].machine.states) <= fst_count.STATES
+    monkeypatch.setattr(fst_count, "STATES", 50)
+    pieces[0].machine._restart()
+    assert pieces[0].count(text) == want and len(pieces[0].machine.states) <= 50
+
+
+def test_language_scores_against_plain_sums():
+    rng = random.Random(7)
+    logs = np.log(np.random.default_rng(2).dirichlet(np.ones(langid.BUCKETS), 5).T).astype(np.float32)
+    model = langid.Model(list("abcde"), [logs])
+    texts = [None, "12", *(" ".join("".join(rng.choice("abcdé") for _ in range(5)) for _ in range(rng.randint(1, 400))) for _ in range(40))]
+    for text, (lang, score) in zip(texts, model.predict(texts)):
+        flat = langid.letters(text)
+        if not flat:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        x = langid.buckets(flat)
+        total = [sum(float(logs[b, k]) for b in x) for k in range(5)]
+        p = np.exp((np.array(total) - max(total)) * min(len(x), 40) / len(x))
+        assert lang == "abcde"[int(np.argmax(total))] and abs(score - 1 / p.sum()) < 1e-6
+
+
+def test_short_items_match_whole_words():
+    m = decontam.Matcher([(1, "a"), (2, "cat sat")])
+    assert [x[0] for x in m.matches("banana, concat sat")] == [] and not m.any("bana na")
+    assert [(n, s, e) for n, _, s, e in m.matches("A banana: the Cat  sat")] == [(0, 0, 1), (1, 14, 22)]
+
+
+def test_contaminated_against_dynamic_programming(spark, texts):
+    items = {r["item_id"]: r["text"] for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()}
+    some = {d: t for d, t in texts.items() if t and len(t) < 1500}
+    d = frame(spark, some)
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.contaminated(d, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    want = {}
+    for doc, t in some.items():
+        flat = np.frombuffer(decontam.normal(t).encode("utf-32-le"), np.uint32)
+        for i, text in items.items():
+            item = decontam.normal(text)
+            row = np.zeros(len(flat) + 1, np.int64)
+            for k, c in enumerate(item.encode("utf-32-le")[::4], 1):
+                c = ord(item[k - 1])
+                step = np.minimum(row[1:] + 1, row[:-1] + (flat != c))
+                new = np.concatenate([[k], step])
+                row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+            if row.min() <= decontam.budget(len(item)):
+                want[doc, i] = int(row.min())
+    assert want and got == want
+
+
+def test_likelihood_and_its_gradient():
+    """The fit's step is the gradient of the log likelihood of the cumulative-link model."""
+    rng = np.random.default_rng(5)
+    truth, theta = rng.normal(0, 1.5, 30), np.array([-1.0, 1.0])
+    rows = [sorted(rng.choice(30, 6, replace=False).tolist()) for _ in range(3000)]
+    score = np.array([truth[r].sum() for r in rows])
+    grades = (score[:, None] + rng.logistic(size=(3000, 1)) > theta).sum(1)
+    model = quality_ordinal.fit(rows, grades.tolist(), 3)
+
+    def likelihood(w, t):
+        s = np.array([sum(w.get(i, 0.0) for i in r) for r in rows])
+        cdf = np.concatenate([np.zeros((3000, 1)), 1 / (1 + np.exp(-(t[None] - s[:, None]))), np.ones((3000, 1))], 1)
+        return np.log(np.maximum(cdf[np.arange(3000), grades + 1] - cdf[np.arange(3000), grades], 1e-12)).mean()
+
+    w = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    fitted, none = likelihood(w, model.thresholds), likelihood({}, np.log(np.array([(grades <= k).mean() / (grades > k).mean() for k in range(2)])))
+    assert model.thresholds[0] < model.thresholds[1] and fitted > none + 0.1
+    assert np.corrcoef([w.get(i, 0.0) for i in range(30)], truth)[0, 1] > 0.9
+    for i in list(w)[:10]:  # at the optimum no weight alone gains much
+        for step in (-0.5, 0.5):
+            assert likelihood(w | {i: w[i] + step}, model.thresholds) < fitted + 0.002
+
+
+def test_queries_of_tokens_against_libraries(spark, bpe, pieces):
+    """The digests of the registered queries, row by row."""
+    from factloom.llm import queries
+
+    table = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    for r in queries.op8_byte_bpe(spark, SF).collect():
+        ids = bpe[1].encode_ordinary(table[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(table[r["doc_id"]].encode()).hexdigest())
+    for r in queries.op9_fst_token_counts(spark, SF).collect():
+        n = len(pieces[1].encode(table[r["doc_id"]]))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(table[r["doc_id"]].encode()), n, n > 4096)
