@@ -15,7 +15,7 @@ in a group that only one document has are unique and drop out, so that few go on
 4. 50 bytes. The windows of what is left are sorted by (rank, name of the window).
 
 Sorting is by ranges of keys and document, so a group of any size is spread over tasks; each task ranks its own rows, and groups
-at the borders of tasks, two a task, are settled by a join of their keys. A group of n copies costs a row an anchor, and only
+at the borders of tasks, two a task, are settled by their sums over all tasks. A group of n copies costs a row an anchor, and only
 the edges of repeats are compared window by window. Names are 64-bit hashes, which count within a rank only. Each step is
 written to the shared folder.
 
@@ -31,10 +31,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, large_batches, salted, small, stage_table
+from .common import bounded, discard, large_batches, small, stage_table
 
 #: Length of the strings compared, and of the names of anchors.
 SPAN, MER = 50, 16
@@ -202,7 +202,7 @@ def ranked(rows: DataFrame, keys: list[str], unique: bool = False) -> tuple[Data
 
     rank: where the group of equal keys starts in the order; least: its smallest document. Groups of one document are left out
     unless unique. A task sees a range of the order; its first and last group may go on in others, so their rows are given
-    with their keys and met with the sums over all tasks."""
+    with their keys, and what these groups come to over all tasks, two rows a task, is sent to the tasks that read them."""
     spark, n = rows.sparkSession, rows.count()
     parts = max(n // PART + 1, 2 * spark.sparkContext.defaultParallelism)
     rest = [c for c in rows.columns if c not in (*keys, "doc", "rank")]
@@ -233,13 +233,22 @@ def ranked(rows: DataFrame, keys: list[str], unique: bool = False) -> tuple[Data
     ordered = rows.repartitionByRange(parts, *keys, "doc").sortWithinPartitions(*keys, "doc")
     with large_batches(spark):
         table = stage_table(ordered.mapInArrow(scan, ", ".join(f"{c} long" for c in out)), "ranked")
-    border = table.filter("key0 is not null").withColumn("border", F.xxhash64(*out[-len(keys) :]))
-    sums = border.groupBy("border", *out[-len(keys) :]).agg(*(f("x").alias(c) for f, c in ()), F.min("rank").alias("r"), F.min("least").alias("lo"), F.max("most").alias("hi"))
-    sums = sums.select("border", *(F.col(c).alias("of_" + c) for c in out[-len(keys) :]), "r", "lo", "hi")
-    same = reduce(Column.__and__, [F.col(c) == F.col("of_" + c) for c in out[-len(keys) :]])
-    settled = salted(border.drop("rank", "least", "most"), sums, "border", "doc", border.count()).filter(same if unique else same & (F.col("lo") < F.col("hi")))
-    inner = table.filter("key0 is null").select("doc", *rest, "rank", "least")
-    return inner.unionByName(settled.select("doc", *rest, F.col("r").alias("rank"), F.col("lo").alias("least"))), table
+    border = table.filter("key0 is not null")
+    found = border.groupBy(*out[-len(keys) :]).agg(F.min("rank"), F.min("least"), F.max("most")).collect()
+    sums = spark.sparkContext.broadcast({tuple(r)[: len(keys)]: tuple(r)[len(keys) :] for r in found})  # two groups a task at most
+    given = ["doc", *rest, "rank", "least"]
+
+    def settle(batches):
+        for b in batches:
+            own = [b.column(f"key{i}").to_numpy() for i in range(len(keys))]
+            start = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in own]))) if b.num_rows else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, b.num_rows))
+            rank, least, most = (np.repeat(np.array(x, np.int64), size) for x in zip(*(sums.value[tuple(int(x[i]) for x in own)] for i in start))) if len(start) else [np.zeros(0, np.int64)] * 3
+            done = pa.RecordBatch.from_arrays([b.column(c) for c in ("doc", *rest)] + [pa.array(rank), pa.array(least)], names=given)
+            yield done if unique else done.filter(pa.array(least < most))
+
+    settled = border.select("doc", *rest, *out[-len(keys) :]).mapInArrow(settle, ", ".join(f"{c} long" for c in given))
+    return table.filter("key0 is null").select(*given).unionByName(settled), table
 
 
 def _span(start, end):
