@@ -31,7 +31,7 @@ from .common import bounded, in_worker, small
 LIMIT = 4096
 #: Characters of a chunk, and before it that its first state is taken from; entries of the memo of stretches, states of the
 #: machine, and remembered pairs before they are emptied and compiled anew.
-CHUNK, LEAD, MEMO, STATES, PAIRS = 1 << 13, 64, 500_000, 50_000, 500_000
+CHUNK, LEAD, MEMO, STATES, PAIRS = 1 << 13, 64, 500_000, 200_000, 500_000
 SPACE = "▁"
 
 #: The first state: no prefix but the empty one, and no piece before it.
