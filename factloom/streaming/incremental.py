@@ -25,7 +25,8 @@ def file_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
 
 def upsert(table: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the Parquet table at a path, with the batch's rows in place of those of their paths. The new version
-    is written beside the old one before that goes, so a failure leaves one of them whole."""
+    is written beside the old one before that goes, so a failure leaves one of them whole; one that was written to its end but
+    not yet put in place is put there first."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -33,6 +34,11 @@ def upsert(table: str) -> Callable[[DataFrame, int], None]:
         base = jvm.org.apache.hadoop.fs.Path(table)
         fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
         rows = batch.dropDuplicates(["path"])
+        if not fs.exists(base):
+            for left in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{table}.next-*")) or []:
+                if fs.exists(jvm.org.apache.hadoop.fs.Path(left.getPath(), "_SUCCESS")):
+                    fs.rename(left.getPath(), base)
+                    break
         if fs.exists(base):
             old = spark.read.parquet(table)
             rows = old.join(rows.select("path"), "path", "left_anti").select(rows.columns).unionByName(rows)

@@ -301,3 +301,15 @@ def test_files_and_catalog(spark, tmp_path):
 
 def test_config():
     assert src.load_config('{"a": {"x": 2}, "b": null}', {"a": {"x": 1, "y": 1}, "b": 3}) == {"a": {"x": 2, "y": 1}, "b": 3}
+
+
+def test_upsert_after_a_crash_before_the_rename(spark, tmp_path):
+    from factloom.streaming.incremental import upsert
+
+    table = str(tmp_path / "files")
+    merge = upsert(table)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "path string, text string")
+    merge(batch(("a", "1"), ("b", "1")), 0)
+    (tmp_path / "files").rename(tmp_path / "files.next-1")
+    merge(batch(("b", "2")), 1)
+    assert sorted(map(tuple, spark.read.parquet(table).select("path", "text").collect())) == [("a", "1"), ("b", "2")]
