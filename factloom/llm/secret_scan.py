@@ -170,6 +170,20 @@ class Index:
 _SPAN = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
 
+#: Matches folded at once: an array that grows by one is copied each time, so long lists are folded in blocks.
+_BLOCK = 512
+
+
+def _blocks(items: Column) -> Column:
+    """An array in slices of _BLOCK."""
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+
+def _span(rule: Rule, ordinal: int, start: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(ordinal).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"))
+
+
 def _rule_spans(text: Column, rule: Rule, ordinal: int) -> Column:
     """Leftmost non-overlapping matches: what lies between them, from split(), gives their offsets."""
     between, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -178,12 +192,20 @@ def _rule_spans(text: Column, rule: Rule, ordinal: int) -> Column:
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(ordinal).alias("ord"), F.lit(rule.kind).alias("kind"), (start + x["len"]).alias("end"))
-        return F.struct((start + x["len"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct((start + x["len"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(_span(rule, ordinal, start, start + x["len"])))).otherwise(acc["out"]).alias("out"))
 
     none = F.array().cast(_SPAN)
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(rule.pattern)), found).otherwise(none)
+
+    def join(acc, block):
+        moved = F.transform(block["out"], lambda s: _span(rule, ordinal, acc["at"] + s["start"], acc["at"] + s["end"]))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def found(every):
+        blocks = F.transform(_blocks(every), lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+        return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")), join, lambda acc: acc["out"]))
+
+    # a lambda's variable holds the steps, which would else be made anew for each block
+    return F.when(F.rlike(text, F.lit(rule.pattern)), F.transform(F.array(steps), found)[0]).otherwise(none)
 
 
 def with_spans(docs: DataFrame, name: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -231,12 +253,25 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     while {name, f"{name}_id", f"{name}_kinds"} & set(docs.columns):
         name += "_"
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.call_function("substr", F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+    none, whole = F.array().cast("array<string>"), F.col("text")
+
+    def redacted(base, part):
+        """What replaces part of the text, from base on to the last end of a block of spans."""
+
+        def step(acc, s):
+            piece = F.concat(acc["out"], F.call_function("substr", part, acc["at"] - base + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+
+        return lambda block: F.aggregate(block, F.struct(base.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    def join(acc, block):
+        end = F.greatest(acc["at"], F.array_max(F.transform(block, lambda s: s["end"])))
+        part = F.call_function("substr", whole, acc["at"] + 1, end - acc["at"])
+        out = F.transform(F.array(part), lambda p: redacted(acc["at"], p)(block))
+        return F.struct(end.alias("at"), F.concat(acc["out"], out).alias("out"))
 
-    text = F.aggregate(F.col(name), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.call_function("substr", F.col("text"), acc["at"] + 1)))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    text = F.aggregate(_blocks(F.col(name)), start, join, lambda acc: F.concat(F.array_join(acc["out"], ""), F.call_function("substr", whole, acc["at"] + 1)))
     out = with_spans(docs, name).withColumn("text", F.when(F.size(name) > 0, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
