@@ -202,7 +202,7 @@ def ranked(rows: DataFrame, keys: list[str], unique: bool = False) -> tuple[Data
 
     rank: where the group of equal keys starts in the order; least: its smallest document. Groups of one document are left out
     unless unique. A task sees a range of the order; its first and last group may go on in others, so their rows are given
-    with their keys, and what these groups come to over all tasks, two rows a task, is sent to the tasks that read them."""
+    with their keys, and what these groups come to over all tasks, two rows a task, is looked up by task when they are read."""
     spark, n = rows.sparkSession, rows.count()
     parts = max(n // PART + 1, 2 * spark.sparkContext.defaultParallelism)
     rest = [c for c in rows.columns if c not in (*keys, "doc", "rank")]
@@ -234,21 +234,14 @@ def ranked(rows: DataFrame, keys: list[str], unique: bool = False) -> tuple[Data
     with large_batches(spark):
         table = stage_table(ordered.mapInArrow(scan, ", ".join(f"{c} long" for c in out)), "ranked")
     border = table.filter("key0 is not null")
-    found = border.groupBy(*out[-len(keys) :]).agg(F.min("rank"), F.min("least"), F.max("most")).collect()
-    sums = spark.sparkContext.broadcast({tuple(r)[: len(keys)]: tuple(r)[len(keys) :] for r in found})  # two groups a task at most
-    given = ["doc", *rest, "rank", "least"]
-
-    def settle(batches):
-        for b in batches:
-            own = [b.column(f"key{i}").to_numpy() for i in range(len(keys))]
-            start = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in own]))) if b.num_rows else np.zeros(0, np.int64)
-            size = np.diff(np.append(start, b.num_rows))
-            rank, least, most = (np.repeat(np.array(x, np.int64), size) for x in zip(*(sums.value[tuple(int(x[i]) for x in own)] for i in start))) if len(start) else [np.zeros(0, np.int64)] * 3
-            done = pa.RecordBatch.from_arrays([b.column(c) for c in ("doc", *rest)] + [pa.array(rank), pa.array(least)], names=given)
-            yield done if unique else done.filter(pa.array(least < most))
-
-    settled = border.select("doc", *rest, *out[-len(keys) :]).mapInArrow(settle, ", ".join(f"{c} long" for c in given))
-    return table.filter("key0 is null").select(*given).unionByName(settled), table
+    found = border.groupBy(*out[-len(keys) :]).agg(F.min("rank"), F.min("least"), F.max("most"), F.collect_set("rank")).collect()
+    # a border group's place in the list: twice its task, and one more for the task's last group
+    sums = {2 * (r >> 32) + (r & 0xFFFFFFFF > 0): x[len(keys) : -1] for x in found for r in x[-1]}
+    lists = [",".join(str(sums.get(i, (0, 0, 0))[j]) for i in range(2 * parts)) for j in range(3)]
+    at = 2 * F.shiftright("rank", 32) + F.col("rank").bitwiseAND(F.lit(0xFFFFFFFF)).cast("boolean").cast("int")
+    whole = [F.when(F.col("key0").isNull(), F.col(c)).otherwise(F.get(F.split(F.lit(x), ",").cast("array<long>"), at.cast("int"))).alias(c) for c, x in zip(("rank", "least", "most"), lists)]
+    settled = table.select("doc", *rest, *whole)
+    return (settled if unique else settled.filter("least < most")).select("doc", *rest, "rank", "least"), table
 
 
 def _span(start, end):
