@@ -57,6 +57,34 @@ REPEATS = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, oct
   select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(runs, 0) as n_spans, sha256(unhex(case when gone is null then h else body || substr(h, 2 * tail + 1) end)) as kept_sha256
   from d left join c using (doc_id)"""
 
+#: Edits by a recursive step a turn: for each role that stayed last, the cheapest cost with the least audit, and its text.
+REPAIR = r"""with recursive
+  j as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+  h as (select conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295::bigint) % 20 as kind from j),
+  m as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+      unnest(case kind when 0 then [] when 3 then [0, 1] else [0] end) as copy from h),
+  o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i,
+      row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as said from m),
+  p as (select *, case when said = '' then 1 when again > 1 then 2 when right(said, 1) not in ('.', '!', '?') then 3 else 0 end as fault, substr(role, 1, 1) as c, lag(substr(role, 1, 1)) over (partition by conv_id order by i) as b from o),
+  q as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+      count(*) filter (b is not null and b || c not in ('su', 'ua', 'au')) as illegal, max(i) as n from p group by conv_id),
+  r as (select distinct conv_id, 0::bigint as i, [{'k': 0, 'd': '', 't': ''}, null, null, null] as s from conversations
+    union all
+    select r.conv_id, p.i, [
+      {'k': s[1].k + 4, 'd': s[1].d || 'D', 't': s[1].t},
+      list_sort(list_filter([{'k': s[2].k + 4, 'd': s[2].d || 'D', 't': s[2].t}, case when c = 's' and fault in (0, 3) then {'k': s[1].k + fault, 'd': s[1].d || 'K', 't': s[1].t || chr(10) || role || ':' || text} end], lambda x: x.k is not null))[1],
+      list_sort(list_filter([{'k': s[3].k + 4, 'd': s[3].d || 'D', 't': s[3].t}] || list_transform([{'f': s[1], 'w': 0}, {'f': s[2], 'w': 0}, {'f': s[3], 'w': 1}, {'f': s[4], 'w': 0}],
+        lambda x: case when fault in (0, 3) then {'k': x.f.k + 3 * x.w + fault + case when c = 'u' then 0 else 3 end, 'd': x.f.d || repeat('I', x.w) || case when c = 'u' then 'K' else 'R' end,
+          't': x.f.t || repeat(chr(10) || 'assistant:', x.w) || chr(10) || case when c = 'u' then role else 'user' end || ':' || text} end), lambda x: x.k is not null))[1],
+      list_sort(list_filter([{'k': s[4].k + 4, 'd': s[4].d || 'D', 't': s[4].t}] || list_transform([{'f': s[1], 'w': 1}, {'f': s[2], 'w': 1}, {'f': s[3], 'w': 0}, {'f': s[4], 'w': 1}],
+        lambda x: case when fault in (0, 3) then {'k': x.f.k + 3 * x.w + fault + case when c = 'a' then 0 else 3 end, 'd': x.f.d || repeat('I', x.w) || case when c = 'a' then 'K' else 'R' end,
+          't': x.f.t || repeat(chr(10) || 'user:', x.w) || chr(10) || case when c = 'a' then role else 'assistant' end || ':' || text} end), lambda x: x.k is not null))[1]]
+    from r join p on p.conv_id is not distinct from r.conv_id and p.i = r.i + 1),
+  e as (select conv_id, i, list_sort(list_filter([s[1], {'k': s[2].k + 6, 'd': s[2].d || 'II', 't': s[2].t || chr(10) || 'user:' || chr(10) || 'assistant:'}, {'k': s[3].k + 3, 'd': s[3].d || 'I', 't': s[3].t || chr(10) || 'assistant:'}, s[4]], lambda x: x.k is not null))[1] as z from r)
+  select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, z.k::bigint as cost, z.d as audit, sha256(substr(z.t, 2)) as repaired_sha256
+  from e left join q on q.conv_id is not distinct from e.conv_id where e.i = coalesce(q.n, 0)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_suffix_dedup": REPEATS, "op7_oddsketch_dedup": NEAR_DUPLICATES, "op10_trigram_secrets": secrets_sql()}
+    return {"op6_suffix_dedup": REPEATS, "op7_oddsketch_dedup": NEAR_DUPLICATES, "op10_trigram_secrets": secrets_sql(), "op12_turn_repair": REPAIR}
