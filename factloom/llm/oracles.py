@@ -86,5 +86,20 @@ REPAIR = r"""with recursive
   from e left join q on q.conv_id is not distinct from e.conv_id where e.i = coalesce(q.n, 0)"""
 
 
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry, round by round. Expects distinct vec_id and vectors of one length, as the tables have them."""
+    near = "select vec_id, p, arg_min(e, struct_pack(d := d, e := e)) as e, min(d) as d from (select q.vec_id, q.p, b.e, list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from q join b{i} b using (p)) group by vec_id, p"
+    steps = "".join(f""", n{i} as ({near.format(i=i)}),
+  s{i} as (select p, e, pos, floor(sum(v[pos]) / count(*))::bigint as x from n{i} join q using (vec_id, p), unnest(range(1, len(v) + 1)) as u(pos) group by all),
+  b{i + 1} as (select b.p, b.e, coalesce(m.v, b.v) as v from b{i} b left join (select p, e, list(x order by pos) as v from s{i} group by p, e) m using (p, e))""" for i in range(rounds))
+    return f"""with k as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  q as materialized (select vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] as v from k, unnest(range({parts})) as u(p)),
+  b0 as (select p, dense_rank() over (order by vec_id) - 1 as e, v from q where vec_id in (select distinct vec_id from k order by vec_id limit {entries})){steps},
+  f as ({near.format(i=rounds)}),
+  c as (select vec_id, string_agg(lower(printf('%02x', e)), '' order by p) as code, sum(d)::bigint as error from f group by vec_id)
+  select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) from b{rounds}) as codebooks_sha256 from c join k using (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_suffix_dedup": REPEATS, "op7_oddsketch_dedup": NEAR_DUPLICATES, "op10_trigram_secrets": secrets_sql(), "op12_turn_repair": REPAIR}
+    return {"op6_suffix_dedup": REPEATS, "op7_oddsketch_dedup": NEAR_DUPLICATES, "op10_trigram_secrets": secrets_sql(), "op12_turn_repair": REPAIR, "op13_filtering_lloyd": codes_sql()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, divergence, fst_count, html_lstm, langid, oddsketch, oracles, quality_ordinal, secret_scan, suffix_dedup, turn_repair
+from . import byte_bpe, decontam, divergence, fst_count, html_lstm, langid, oddsketch, oracles, quality_ordinal, secret_scan, suffix_dedup, turn_repair, vector_codes
 from .common import read
 
 
@@ -59,8 +59,12 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(read(spark, sf_dir, "conversations")))
 
 
+def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_ordinal, op2_divergence_rules, op3_pigeonhole_decontam, op4_ngram_langid, op5_html_lstm, op6_suffix_dedup, op7_oddsketch_dedup, op8_byte_bpe, op9_fst_token_counts, op10_trigram_secrets, op12_turn_repair)}
+    return {f.__name__: f for f in (op1_quality_ordinal, op2_divergence_rules, op3_pigeonhole_decontam, op4_ngram_langid, op5_html_lstm, op6_suffix_dedup, op7_oddsketch_dedup, op8_byte_bpe, op9_fst_token_counts, op10_trigram_secrets, op12_turn_repair, op13_filtering_lloyd)}
 
 
 def oracle_sql() -> dict[str, str]:
