@@ -46,6 +46,9 @@ NEAR_DUPLICATES = r"""with recursive w as (
   select d.doc_id, coalesce(n.k, 0) as n_shingles, m.c as component_id, d.doc_id = m.c as kept
   from documents d left join n using (doc_id) join (select a, min(b) as c from r group by a) m on m.a = d.doc_id"""
 
+#: The same with three-word shingles at 0.9, and no row kept or dropped.
+JACCARD = NEAR_DUPLICATES.replace("a[i:i+4]", "a[i:i+2]").replace("len(a) - 3", "len(a) - 1").replace(">= 75 *", ">= 90 *").replace(", d.doc_id = m.c as kept", "")
+
 
 REPEATS = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
   w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, n - 49)) as i from d where n >= 50)),
@@ -102,4 +105,4 @@ def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_suffix_dedup": REPEATS, "op7_oddsketch_dedup": NEAR_DUPLICATES, "op10_trigram_secrets": secrets_sql(), "op12_turn_repair": REPAIR, "op13_filtering_lloyd": codes_sql()}
+    return {"op6_suffix_dedup": REPEATS, "op7_oddsketch_dedup": NEAR_DUPLICATES, "op10_trigram_secrets": secrets_sql(), "op11_prefix_tree_join": JACCARD, "op12_turn_repair": REPAIR, "op13_filtering_lloyd": codes_sql()}

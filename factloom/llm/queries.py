@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, divergence, fst_count, html_lstm, langid, oddsketch, oracles, quality_ordinal, secret_scan, suffix_dedup, turn_repair, vector_codes
+from . import byte_bpe, decontam, divergence, fst_count, html_lstm, langid, oddsketch, oracles, prefix_tree, quality_ordinal, secret_scan, suffix_dedup, turn_repair, vector_codes
 from .common import read
 
 
@@ -55,6 +55,10 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.joined(read(spark, sf_dir, "documents"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(read(spark, sf_dir, "conversations")))
 
@@ -64,7 +68,7 @@ def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_ordinal, op2_divergence_rules, op3_pigeonhole_decontam, op4_ngram_langid, op5_html_lstm, op6_suffix_dedup, op7_oddsketch_dedup, op8_byte_bpe, op9_fst_token_counts, op10_trigram_secrets, op12_turn_repair, op13_filtering_lloyd)}
+    return {f.__name__: f for f in (op1_quality_ordinal, op2_divergence_rules, op3_pigeonhole_decontam, op4_ngram_langid, op5_html_lstm, op6_suffix_dedup, op7_oddsketch_dedup, op8_byte_bpe, op9_fst_token_counts, op10_trigram_secrets, op11_prefix_tree_join, op12_turn_repair, op13_filtering_lloyd)}
 
 
 def oracle_sql() -> dict[str, str]:
