@@ -114,3 +114,12 @@ def in_worker(name: str, key: Hashable, make: Callable):
         held.clear()
         found = held[name] = (key, make())
     return found[1]
+
+
+def once(name: str, make: Callable):
+    """make(), kept in this process for good: for small tables of fixed size. Functions that are sent to executors by value
+    can't hold them as cached functions, which pickle by reference to this package."""
+    held = sys.__dict__.setdefault("_text_tables", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]

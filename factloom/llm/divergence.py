@@ -20,14 +20,13 @@ from __future__ import annotations
 import sys
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, small
+from .common import bounded, once, small
 
 #: Base rules: least words, and most hundredths of words in repeated five-word windows.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
@@ -51,7 +50,6 @@ _CLASSES = 10
 _PIECE = 1 << 20
 
 
-@lru_cache(1)
 def _class_table() -> np.ndarray:
     def of(c: str) -> int:
         if c.isascii():
@@ -63,7 +61,7 @@ def _class_table() -> np.ndarray:
 
 def char_classes(text: str) -> np.ndarray:
     """Code points of each class."""
-    out, table = np.zeros(_CLASSES, np.int64), _class_table()
+    out, table = np.zeros(_CLASSES, np.int64), once("char_classes", _class_table)
     for i in range(0, len(text), _PIECE):
         out += np.bincount(table[np.frombuffer(text[i : i + _PIECE].encode("utf-32-le"), np.uint32)], minlength=_CLASSES)
     return out
