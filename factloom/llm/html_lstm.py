@@ -226,7 +226,6 @@ def blocks(page: str | None) -> tuple[Elements, list[Block]]:
     return found, out
 
 
-@lru_cache(200_000)
 def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % SLOTS
 
