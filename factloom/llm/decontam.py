@@ -7,7 +7,9 @@ case, punctuation and white space cost no edits.
 
 Defined results: null texts, null items and items without a letter or digit match nothing. Items too short for an error
 match whole words only. Every item id of repeated items
-is reported, and repeated documents are reported one by one. Ties go to the leftmost end, then the latest start. Extra input
+is reported, and repeated documents are reported one by one. An item is reported for each of its disjoint occurrences, from left
+to right: the first end within the budget opens one, of the ends up to 2k further the least distance counts (ties: the leftmost end,
+then the latest start), and the search goes on behind it. Extra input
 columns are ignored (carried through unchanged by clean_documents)."""
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, in_worker, small
+from .common import bounded, discard, in_worker, small, stage_table
 
 #: Error budget: edits a hundred characters, but never so many that pieces get shorter than PIECE characters.
 RATE, PIECE = 8, 16
 #: Characters of items held in memory at once; a larger benchmark is matched in blocks of about this size.
 BLOCK_CHARS = 16_000_000
+#: Characters of a text that are copied at a time.
+PIECE_OF_TEXT = 4096
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -88,14 +92,42 @@ class Pattern:
             minus = up & same
         return least, end
 
-    def find(self, text: str, lo: int, hi: int) -> tuple[int, int, int] | None:
-        """(distance, start, end) of the best match in text[lo:hi], if within the budget."""
-        least, end = self.best(text[lo:hi], self.ahead)
-        if least > self.k:
-            return None
-        reach = text[max(lo, lo + end - self.size - self.k) : lo + end]
-        _, length = self.best(reach[::-1], self.back)
-        return least, lo + end - length, lo + end
+    def first(self, text: str, lo: int, hi: int) -> tuple[int, int] | None:
+        """(distance, end) of the first occurrence that ends in text[lo:hi]: the least distance among the first end within the
+        budget and the ends up to 2k further."""
+        full, high, masks = self.full, self.high, self.ahead
+        plus, minus, score = full, 0, self.size
+        found, until = None, hi
+        for base in range(lo, hi, PIECE_OF_TEXT):
+            for j, c in enumerate(text[base : min(hi, base + PIECE_OF_TEXT)], base + 1):
+                same = masks.get(c, 0)
+                across = (((same & plus) + plus) ^ plus) | same
+                same |= minus
+                up = minus | (full & ~(across | plus))
+                down = plus & across
+                if up & high:
+                    score += 1
+                elif down & high:
+                    score -= 1
+                if j > until:
+                    return found
+                if score <= self.k and (found is None or score < found[0]):
+                    if found is None:
+                        until = min(hi, j + 2 * self.k)
+                    found = score, j
+                up = (up << 1) & full
+                plus = ((down << 1) & full) | (full & ~(same | up))
+                minus = up & same
+        return found
+
+    def each(self, text: str, lo: int, hi: int):
+        """(distance, start, end) of the disjoint occurrences in text[lo:hi], from left to right."""
+        while (found := self.first(text, lo, hi)) is not None:
+            least, end = found
+            reach = text[max(lo, end - self.size - self.k) : end]
+            yield least, end - self.best(reach[::-1], self.back)[1], end
+            # items without a budget share the border between two of them
+            lo = end - (self.k == 0)
 
 
 class Matcher:
@@ -134,10 +166,12 @@ class Matcher:
         """(item number, distance, start, end) in code points of the original text."""
         if not text or not self.patterns:
             return
-        flat, spans = f" {normal(text)} ", None
+        flat, spans, now, after = f" {normal(text)} ", None, None, 0
         for n, lo, hi in self.windows(flat):
-            hit = self.patterns[n].find(flat, lo, hi)
-            if hit:
+            # windows of one item come in order and may overlap by an occurrence
+            now, after = n, after if n == now else 0
+            for hit in self.patterns[n].each(flat, max(lo, after), hi):
+                after = hit[2] - (self.patterns[n].k == 0)
                 spans = spans or _places(text)
                 start, end = hit[1] + (flat[hit[1]] == " "), hit[2] - (flat[hit[2] - 1] == " ")
                 yield n, hit[0], _original(spans, start - 1, False), _original(spans, end - 1, True)
@@ -168,11 +202,13 @@ def _original(spans: list[tuple[int, int, int, int]], at: int, is_end: bool) ->
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
-    """The items as lists of (id, normalised text), each of about block_chars characters, so that what is sent to the
-    executors at once is bounded whatever the benchmark's size."""
+    """The number of blocks, then the items as lists of (id, normalised text), each of about block_chars characters. A block is
+    made when it is asked for; users write the rows of one block before they ask for the next, so that driver, plan and
+    executors hold one at a time, whatever the benchmark's size."""
     usable = benchmark.select("item_id", "text").filter("text is not null")
     total = usable.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-total // block_chars))
+    yield n
     for i in range(n):
         part = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else usable
         yield sorted(((r["item_id"], t) for r in part.collect() if (t := normal(r["text"]))), key=lambda x: (x[0] is None, x))
@@ -184,8 +220,9 @@ def _digest(items: list[tuple[int | None, str]]) -> str:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each occurrence: doc_id, item_id, distance (edits), start and end (code points of the text)."""
-    out = None
-    for items in item_blocks(benchmark, block_chars):
+    out, blocks = None, item_blocks(benchmark, block_chars)
+    several = next(blocks) > 1
+    for items in blocks:
 
         def run(batches, items=items, key=_digest(items)):
             matcher = in_worker("decontam", key, lambda: Matcher(items))
@@ -194,14 +231,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 5, names=["doc_id", "item_id", "distance", "start", "end"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
+        if several:
+            part = stage_table(part, "matches")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs without any benchmark item, with all their columns."""
-    at = docs.columns.index("text")
-    for items in item_blocks(benchmark, block_chars):
+    at, blocks = docs.columns.index("text"), item_blocks(benchmark, block_chars)
+    several = next(blocks) > 1
+    before = None
+    for items in blocks:
 
         def run(batches, items=items, key=_digest(items)):
             matcher = in_worker("decontam", key, lambda: Matcher(items))
@@ -209,4 +250,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, block_chars: int = BL
                 yield b.filter(pa.array([not matcher.any(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.transform(bounded).mapInArrow(run, docs.schema)
+        if several:
+            docs = stage_table(docs, "clean")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
