@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions import text as tx
+from . import intervals, webrules
 from .rules import Rule, violations
 
 
@@ -80,13 +81,6 @@ FILES = [
     _web("CSS_MaxCssSelectorComplexity", "warning", ".css", lambda: F.coalesce(F.array_max(F.transform(F.regexp_extract_all("text", F.lit(r"([^{};]+)\{"), F.lit(1)), lambda s: tx.selector_depth(F.trim(s)))), F.lit(0)), 3),
     _web("JS_MaxJsLineCount", "warning", ".js", lambda: tx.web_lines(F.col("text")), 150),
     _if("JS_EnforceJsModules", "warning", "web", lambda: _text(".js", ~F.col("text").rlike(r"(?m)^\s*(import|export)\b") | F.col("text").rlike(r"window\.\w+\s*=[^=]")), "not a module"),
-    _web("RAZOR_MaxLineCount", "warning", ".razor", lambda: tx.web_lines(F.col("text")), 300),
-    _web("RAZOR_MaxNestingDepth", "warning", ".razor", lambda: tx.nesting_depth(F.col("text")), 6),
-    _web("RAZOR_MaxControlFlow", "warning", ".razor", lambda: _count(r"@(if|for|foreach|while|switch)\b"), 8),
-    _web("RAZOR_MaxComponentParameters", "warning", ".razor", lambda: _count(r"\[Parameter\b"), 10),
-    _if("RAZOR_NoInlineLambdas", "warning", "web", lambda: _text(".razor", F.col("text").rlike(r'="@?\([^")]*\)\s*=>')), "inline lambda"),
-    _if("RAZOR_NoInlineTernary", "warning", "web", lambda: _text(".razor", F.col("text").rlike(r'="@\([^")]*\?[^")]*:')), "inline ternary"),
-    _if("BlazorRequireCodeBehind", "error", "web", lambda: _text(".razor", F.col("text").rlike(r"@code\s*\{")), "code block in markup"),
 ]
 #: Rules that are off until a limit or switch turns them on.
 OFF = frozenset({"MaxLinqChainLength", "EnforceResultPatternOverExceptions", "EnforceExplicitStateImmutability"})
@@ -98,6 +92,9 @@ def run(tables: dict[str, DataFrame], limits: dict[str, dict[str, int]] | None =
     for name, rules in (("members", MEMBERS), ("types", TYPES), ("files", FILES)):
         if name in tables:
             own = [Rule(r.rule_id, r.severity, r.intent, r.predicate, r.details, tuple((k, (limits or {}).get(r.rule_id, {}).get(k, v)) for k, v in r.limits)) for r in rules if r.rule_id not in OFF or r.rule_id in on]
+            if name == "files":
+                web = webrules.component_rules(tables[name], {r: n for r, own in (limits or {}).items() if r in webrules.LIMITS for n in own.values()})
+                out += [web, webrules.missing_companions(tables[name])]
             line = "start_line" if "start_line" in tables[name].columns else None
             out.append(violations(tables[name], own, line=line))
     return reduce(DataFrame.unionByName, out)
@@ -141,12 +138,11 @@ def playbook_totals(members: DataFrame) -> DataFrame:
     return members.agg(F.count_if(result).alias("result_methods"), F.coalesce(F.sum("throws"), F.lit(0)).alias("throws"), F.count(F.lit(1)).alias("methods"))
 
 
-def nested_loops(intervals: DataFrame) -> DataFrame:
-    """How deep the intervals of a file lie in each other (file_id, start, end): the most containers of one, itself counted."""
-    a = intervals.select("file_id", "start", "end")
-    b = intervals.select(F.col("file_id").alias("f2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    inside = a.join(b, (F.col("file_id") == F.col("f2")) & (F.col("s2") <= F.col("start")) & (F.col("e2") >= F.col("end")))
-    return inside.groupBy("file_id", "start", "end").agg(F.count(F.lit(1)).alias("depth")).groupBy("file_id").agg(F.max("depth").alias("depth"))
+def nested_loops(loops: DataFrame) -> DataFrame:
+    """How deep the loops of a file lie in each other (file_id, start, end; loops don't cross): the most that are open where one begins,
+    itself counted."""
+    found = intervals.open_depth(loops.select(F.col("file_id").alias("path"), F.col("start").alias("d_lo"), F.col("end").alias("d_hi")))
+    return found.groupBy(F.col("path").alias("file_id")).agg(F.max("depth").alias("depth"))
 
 
 def ignored_suppressions(marks: DataFrame, languages: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+from .layers import layers
 from .similarity import _kept
 
 MAX_DEPTH, MAX_NODES = 3, 200
@@ -65,24 +67,19 @@ def call_tree(references: DataFrame, root: DataFrame, depth: int = 2, direction:
     return out
 
 
-def interleaved(first: DataFrame, second: DataFrame, order: str) -> DataFrame:
-    """Rows of two ordered lists in turn."""
-    w = Window.orderBy(order)
-    one = first.withColumn("turn", F.row_number().over(w)).withColumn("side", F.lit(0))
-    two = second.withColumn("turn", F.row_number().over(w)).withColumn("side", F.lit(1))
-    return one.unionByName(two).orderBy("turn", "side")
-
-
 def dependencies(type_references: DataFrame) -> DataFrame:
     """File edges without self-edges: distinct type names in order, and number of uses."""
     rows = type_references.filter("from_file <> to_file")
     return rows.groupBy("from_file", "to_file").agg(F.array_join(F.array_sort(F.collect_set("type_name")), ",").alias("types"), F.count(F.lit(1)).alias("uses"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, node, level): everything reached from each source, itself at level 0, at its least level."""
+def closure(edges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(src, node, level): everything reached from each asked source (node; by default every node), itself at level 0, at its least
+    level. Each round joins the pairs found last with their edges, so that only the sources' own cones are ever looked at."""
     edges = _kept(edges.select("src", "dst").distinct())
     nodes = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).distinct()
+    if asked is not None:
+        nodes = nodes.join(asked.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     seen = front = _kept(nodes.select("src", F.col("src").alias("node"), F.lit(0).alias("level")))
     for level in itertools.count(1):
         step = front.join(edges.withColumnRenamed("src", "at"), F.col("node") == F.col("at")).select("src", F.col("dst").alias("node")).distinct()
@@ -93,33 +90,51 @@ def closure(edges: DataFrame) -> DataFrame:
     return seen
 
 
-def footprint(edges: DataFrame, sizes: DataFrame, cap: int = 10) -> DataFrame:
-    """Lines that a reader of each type has to know: its own in full, and those of every type it reaches, a declaration-only
-    type counted with at most `cap`; each file counts once, for the type of the least level and name in it.
+def footprint(edges: DataFrame, sizes: DataFrame, cap: int = 10, asked: DataFrame | None = None, blocks: int = 1) -> DataFrame:
+    """Lines that a reader of each asked type (by default every type) has to know: its own in full, and those of every type it reaches, a
+    declaration-only type counted with at most `cap`; each file counts once, for the type of the least level and name in it. The types
+    are taken in blocks by their hash, so that only a block's reach is ever held, and its sums, a row a type, are kept.
 
     edges: src, dst types; sizes: node, file, lines, declaration_only."""
-    rows = closure(edges).join(sizes, "node")
+    edges = _kept(edges.select("src", "dst").distinct())
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    every = ends if asked is None else asked.select("node").distinct()
     own = F.when((F.col("level") > 0) & F.col("declaration_only"), F.least("lines", F.lit(cap))).otherwise(F.col("lines"))
-    once = rows.withColumn("own", own).groupBy("src", "file").agg(F.min_by("own", F.struct("level", "node")).alias("own"))
-    return once.groupBy("src").agg(F.sum("own").alias("footprint"), F.count(F.lit(1)).alias("files"))
+    out = None
+    for i in range(blocks):
+        some = every if blocks == 1 else every.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i)
+        rows = closure(edges, some).join(sizes, "node").withColumn("own", own)
+        once = rows.groupBy("src", "file").agg(F.min_by("own", F.struct("level", "node")).alias("own"))
+        part = once.groupBy("src").agg(F.sum("own").alias("footprint"), F.count(F.lit(1)).alias("files"))
+        part = part if blocks == 1 else _kept(part)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def hierarchy(bases: DataFrame, types: DataFrame) -> DataFrame:
-    """(type, relative, side, level) of the given types: base chain and interfaces upward, subtypes downward."""
+    """(type, relative, side, level) of the given types: base chain and interfaces upward, subtypes downward. Only the types' own
+    relatives are looked at."""
     up = bases.select(F.col("type_id").alias("src"), F.col("base_id").alias("dst"))
     down = bases.select(F.col("base_id").alias("src"), F.col("type_id").alias("dst"))
-    asked = types.select(F.col("node").alias("src"))
     out = None
     for side, edges in (("base", up), ("derived", down)):
-        rows = closure(edges).join(asked, "src").filter("level > 0").select(F.col("src").alias("type"), F.col("node").alias("relative"), F.lit(side).alias("side"), "level")
+        rows = closure(edges, types).filter("level > 0").select(F.col("src").alias("type"), F.col("node").alias("relative"), F.lit(side).alias("side"), "level")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def inheritance_depth(bases: DataFrame) -> DataFrame:
-    """Longest base chain of each type, within the known types."""
-    up = bases.select(F.col("type_id").alias("src"), F.col("base_id").alias("dst"))
-    return closure(up).groupBy("src").agg(F.max("level").alias("depth")).withColumnRenamed("src", "type")
+    """type, depth: longest base chain of each type, within the known types. Types that derive from each other share the depth of
+    their cycle, which counts as one step."""
+    found = layers(bases.select(F.col("type_id").alias("src"), F.col("base_id").alias("dst")))
+    return found.select(F.col("node").alias("type"), F.col("layer").alias("depth"))
+
+
+def waves(project_references: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """project, wave, cyclic: the order in which projects can be taken on, those without a reference first; projects that refer to
+    each other are in one wave. project_references: src refers to dst."""
+    found = layers(project_references, projects)
+    return found.select(F.col("node").alias("project"), F.col("layer").alias("wave"), "cyclic")
 
 
 def dead_symbols(symbols: DataFrame, references: DataFrame, overrides: DataFrame | None = None, alive: list[str] | None = None) -> DataFrame:
@@ -149,12 +164,9 @@ def hunks(diff: DataFrame) -> DataFrame:
 
 def touched(changes: DataFrame, declarations: DataFrame) -> DataFrame:
     """Innermost declarations that a changed range overlaps. changes: path, start_line, end_line; declarations: symbol_id,
-    path, start_line, end_line. Within a path, ranges meet by overlap."""
+    path, start_line, end_line. Both steps are one pass over a path's sorted ends, whatever ranges it has."""
     d = declarations.select("symbol_id", "path", F.col("start_line").alias("d_lo"), F.col("end_line").alias("d_hi"))
-    hit = d.join(changes, "path").filter((F.col("d_hi") >= F.col("start_line")) & (F.col("d_lo") <= F.col("end_line"))).select("symbol_id", "path", "d_lo", "d_hi").distinct()
-    inner = hit.select("path", F.col("symbol_id").alias("in_id"), F.col("d_lo").alias("in_lo"), F.col("d_hi").alias("in_hi"))
-    holds = (hit["path"] == inner["path"]) & (F.col("in_lo") >= F.col("d_lo")) & (F.col("in_hi") <= F.col("d_hi")) & ((F.col("in_lo") > F.col("d_lo")) | (F.col("in_hi") < F.col("d_hi")))
-    return hit.join(inner, holds, "left_anti").select("symbol_id", hit["path"])
+    return intervals.without_outer(intervals.overlapping(d, changes.select("path", F.col("start_line").alias("c_lo"), F.col("end_line").alias("c_hi")))).select("symbol_id", "path")
 
 
 def impact(changed: DataFrame, references: DataFrame) -> DataFrame:

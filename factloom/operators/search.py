@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .ranked import ordered
 
 
 def source_lines(files: DataFrame, key: str = "file_id", path: str = "rel_path") -> DataFrame:
@@ -47,9 +48,8 @@ def with_context(files: DataFrame, hits: DataFrame, before: int, after: int) ->
 
 
 def capped(hits: DataFrame, max_files: int = 0, max_results: int = 50, max_bytes: int = 0) -> DataFrame:
-    """hits within the caps, applied in this order; 0 is no cap. The caps are this operator's purpose: a reply's size.
-
-    The file cap is counted on distinct files, so the window over all rows is only over what it has left."""
+    """hits within the caps, applied in this order; 0 is no cap. The caps are this operator's purpose: a reply's size. The byte cap is
+    on the reply's payload, a JSON array: rows go in as long as brackets, rows and the commas between them fit."""
     hits = hits.withColumn("path_key", F.upper("rel_path"))
     if max_files:
         first = hits.select("path_key").distinct().orderBy("path_key").limit(max_files)
@@ -57,8 +57,8 @@ def capped(hits: DataFrame, max_files: int = 0, max_results: int = 50, max_bytes
     if max_results:
         hits = hits.orderBy("path_key", "line_no").limit(max_results)
     if max_bytes:
-        size = F.octet_length(F.to_json(F.struct("rel_path", "line_no", "line")))
-        hits = hits.withColumn("used", F.sum(size).over(Window.orderBy("path_key", "line_no").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= max_bytes).drop("used")
+        row = F.octet_length(F.to_json(F.struct("rel_path", "line_no", "line")))
+        hits = ordered(hits, "path_key", "line_no", size=row + 1).filter(F.col("used") + 1 <= max_bytes).drop("used", "rank")
     return hits.drop("path_key")
 
 

@@ -1,4 +1,4 @@
-"""Clones of code units: shared token windows, clusters, drift from a helper, and structural likeness."""
+"""Clones of code units: shared token windows, clusters and drift from a helper."""
 
 from __future__ import annotations
 
@@ -112,18 +112,6 @@ def drift(prints: DataFrame, helper: int, callers: DataFrame, least: float = 0.8
     return hits.select("unit_id", ms.jaccard(F.col("both"), F.col("n"), F.col("helper_n")).alias("score")).filter(F.col("score") >= least)
 
 
-def structural_pairs(profiles: DataFrame, least: float, telling: str = "^(ret|form|cflowseq|target):") -> DataFrame:
-    """Pairs a < b by cosine of their weighted features, among those that share a telling feature. profiles: unit_id,
-    feature, weight. The dot product is a join on features, so no pair without a common one is looked at."""
-    rows = profiles.groupBy("unit_id", "feature").agg(F.sum("weight").alias("weight"))
-    norms = rows.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    left, right = rows.select(F.col("unit_id").alias("a"), "feature", F.col("weight").alias("wa")), rows.select(F.col("unit_id").alias("b"), "feature", F.col("weight").alias("wb"))
-    dots = left.join(right, "feature").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.max(F.col("feature").rlike(telling)).alias("telling")).filter("telling")
-    one, two = norms.select(F.col("unit_id").alias("a"), F.col("norm").alias("na")), norms.select(F.col("unit_id").alias("b"), F.col("norm").alias("nb"))
-    scored = dots.join(one, "a").join(two, "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("score"))
-    return scored.filter(F.col("score") >= least).withColumn("bucket", ms.similarity_bucket(F.col("score"), 0.90, 0.80))
-
-
 def like_query(vectors: DataFrame, query: DataFrame, least: float) -> DataFrame:
     """vectors (vec_id, embedding) near one of a stated set of query vectors; the queries are few and are broadcast."""
     asked = F.broadcast(query.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import measures as ms
 from ..functions import paths
 from ..functions import text as tx
-from ..operators import change, coverage, graph, literals, logs, rollup, rules, search, similarity, structure
+from ..operators import change, coverage, graph, literals, logs, profile_search, rollup, rules, search, similarity, structure
 
 
 @dataclass
@@ -216,7 +216,7 @@ def get_feature_context(f: Facts, identifier: str, max_callers: int = 10, max_te
 
 def find_duplicates(f: Facts, mode: str = "clone", threshold: float = 0.80, min_tokens: int = 5, helper: int | None = None, callers: DataFrame | None = None, max_results: int = 50) -> Answer:
     if mode == "structural":
-        return _answer(similarity.structural_pairs(f.profiles, threshold), max_results, F.desc("score"), "a", "b")
+        return _answer(profile_search.structural_sets(f.profiles, threshold), max_results, F.desc("weakest"), "root", "unit_id")
     prints = similarity.fingerprints(f.units.filter(F.size("tokens") >= min_tokens))
     if mode == "refactoring-drift":
         return _answer(similarity.drift(prints, helper, callers, threshold), max_results, F.desc("score"), "unit_id")

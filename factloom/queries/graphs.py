@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, intervals, layers
 from .registry import query, table
 
 #: A part calls the part that follows it in an order; a sparse, cyclic graph.
@@ -151,3 +151,43 @@ def diff_hunks(spark, sf_dir):
     e, text = F.col("event_id"), lambda c: c.cast("string")
     line = F.when(F.col("event_type") == "view", F.concat(F.lit("+++ b/"), text(e % 9), F.lit(".cs"))).when(F.col("event_type") == "click", F.concat(F.lit("@@ -1,2 +"), text(e % 90), F.when(e % 2 == 0, F.concat(F.lit(","), text(e % 7))).otherwise(""), F.lit(" @@"))).otherwise("+x")
     return graph.hunks(table(spark, sf_dir, "events").select(F.col("user_id").alias("diff_id"), e.alias("line_no"), line.alias("line")))
+
+
+#: Parts refer to the part of half their number, and those of size 50 are referred to by the part of a quarter of it.
+_LAYERED = """e as (select p_partkey as s, p_partkey // 2 as d from part where p_partkey > 0 union select p_partkey // 4, p_partkey from part where p_size = 50 and p_partkey > 3),
+v as (select p_partkey as n from part), r as (select n as s, n from v union select r.s, e.d from r join e on e.s = r.n),
+c as (select x.s as n, max(x.n) as comp, count(*) > 1 as cyclic from r x join r y on y.s = x.n and y.n = x.s group by x.s),
+k as (select distinct a.comp as s, b.comp as d from e join c a on a.n = e.s join c b on b.n = e.d where a.comp <> b.comp),
+l as (select distinct comp as n, 0 as layer from c union select k.s, l.layer + 1 from l join k on k.d = l.n)"""
+
+
+def _layered(spark, sf_dir):
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    down = p.filter("p_partkey > 0").select(key.alias("src"), F.floor(key / 2).cast("long").alias("dst"))
+    return down.unionByName(p.filter("p_size = 50 and p_partkey > 3").select(F.floor(key / 4).cast("long").alias("src"), key.alias("dst")))
+
+
+@query(f"with recursive {_LAYERED} select c.n as node, c.comp as component, max(l.layer) as layer, c.cyclic from c join l on l.n = c.comp group by all")
+def dependency_layers(spark, sf_dir):
+    """The order of layers, cycles flagged."""
+    return layers.layers(_layered(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))).select("node", "component", "layer", "cyclic")
+
+
+@query(f"with recursive {_LAYERED}, w as (select c.n, c.cyclic, max(l.layer) as wave from c join l on l.n = c.comp group by all) select wave, count(*) as projects, count(*) filter (cyclic) as cyclic from w group by wave")
+def migration_waves(spark, sf_dir):
+    """How many projects each wave has, and how many of them are in a cycle."""
+    found = graph.waves(_layered(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")))
+    return found.groupBy("wave").agg(F.count(F.lit(1)).alias("projects"), F.count_if("cyclic").alias("cyclic"))
+
+
+_OWNED = """d as (select event_id as symbol_id, user_id as path, event_id % 400 as lo, event_id % 400 + case when event_id % 4 = 0 then 40 else 5 end as hi from events),
+p as (select event_id as point_id, user_id as path, event_id % 397 as line from events where event_type = 'click')"""
+
+
+@query(f"with {_OWNED} select point_id, arg_min(symbol_id, struct_pack(a := -lo, b := hi, c := symbol_id)) as symbol_id, count(symbol_id) as depth from p left join d on d.path = p.path and line between lo and hi group by point_id")
+def line_owners(spark, sf_dir):
+    """The innermost declaration around each line, and how many are open there."""
+    e, path = F.col("event_id"), F.col("user_id").alias("path")
+    ev = table(spark, sf_dir, "events")
+    declared = ev.select(e.alias("symbol_id"), path, (e % 400).alias("d_lo"), (e % 400 + F.when(e % 4 == 0, 40).otherwise(5)).alias("d_hi"))
+    return intervals.innermost(ev.filter("event_type = 'click'").select(e.alias("point_id"), path, (e % 397).alias("line")), declared)

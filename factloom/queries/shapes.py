@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as ms
-from ..operators import coverage, similarity, structure
+from ..operators import coverage, profile_search, similarity, structure
 from .registry import query, table
 
 #: Tokens are words; the units are whole documents.
@@ -71,7 +71,8 @@ def structural_pairs(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     one = lambda f, w: p.select(F.col("p_partkey").alias("unit_id"), f.alias("feature"), F.lit(w).alias("weight"))
     profiles = one(F.concat(F.lit("ret:"), "p_brand"), 2.0).unionByName(one(F.concat(F.lit("form:"), F.col("p_size").cast("string")), 1.5)).unionByName(one(F.concat(F.lit("kind:"), F.element_at(F.split("p_type", " "), 1)), 1.0))
-    return similarity.structural_pairs(profiles, 0.85).withColumn("score", F.round("score", 9))
+    whole = profiles.groupBy("unit_id").agg(F.collect_list(F.struct("feature", "weight")).alias("features"))
+    return profile_search.structural_pairs(whole, 0.85).withColumn("score", F.round("score", 9))
 
 
 @query("select p_brand as type_name, cast(sum(p_size) as bigint) as lines, count(*) as parts from part group by p_brand having sum(p_size) > 1000")

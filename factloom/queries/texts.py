@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions import text as tx
-from ..operators import rollup, search
+from ..operators import ranked, rollup, search
 from .registry import query, table
 
 TERM, RARE = "the", "idiot"
@@ -159,3 +159,23 @@ def markup_tags(spark, sf_dir):
 def selector_depth(spark, sf_dir):
     s = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"<style>([^{<]+)\{"), F.lit(1))).alias("sel"))
     return s.select("page_id", tx.selector_depth(F.col("sel")).cast("long").alias("depth"))
+
+
+@query("select event_id, row_number() over (order by ts, event_id) as rank, cast(sum(octet_length(encode(props)) + 1) over (order by ts, event_id rows unbounded preceding) as bigint) as used from events")
+def payload_ranks(spark, sf_dir):
+    """O3: rank and running size of every row of a reply, in its order."""
+    return ranked.ordered(table(spark, sf_dir, "events"), "ts", "event_id", size=F.octet_length("props") + 1).select("event_id", "rank", "used")
+
+
+@query("with h as (select event_id, sum(octet_length(encode(props)) + 1) over (order by ts, event_id rows unbounded preceding) as used from events where event_type = 'error') select event_id from h where used + 1 <= 20000")
+def payload_within_bytes(spark, sf_dir):
+    """O3: the rows that fit a reply of 20,000 bytes."""
+    errors = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    return ranked.ordered(errors, "ts", "event_id", size=F.octet_length("props") + 1).filter("used + 1 <= 20000").select("event_id")
+
+
+@query("select event_id, row_number() over (partition by event_type order by ts, event_id) as turn, case event_type when 'error' then 0 else 1 end as side from events where event_type in ('error', 'click')")
+def interleaved_events(spark, sf_dir):
+    """Two ordered lists in turn."""
+    one, two = (table(spark, sf_dir, "events").filter(F.col("event_type") == k).select("event_id", "ts") for k in ("error", "click"))
+    return ranked.interleaved(one, two, "ts", "event_id").select("event_id", "turn", "side")

@@ -6,7 +6,7 @@ import json
 import subprocess
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -43,11 +43,20 @@ def looks_binary(content):
     return head.rlike("^(..)*00") & ~marked
 
 
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(log_file, line_no, value) of a JSON-lines file, folder or glob; feedback logs are left out."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select(F.col("_metadata.file_path").alias("log_file"), "value")
-    rows = files.filter(~F.endswith("log_file", F.lit(".feedback.jsonl"))).select("log_file", F.posexplode(tx.lines(F.col("value"))).alias("pos", "value"))
-    return rows.filter(F.trim("value") != "").select("log_file", (F.col("pos") + 1).cast("long").alias("line_no"), "value")
+def log_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(log_file, line_no, value) of JSON-lines files, folders or globs; feedback logs and blank lines are left out.
+
+    A large file is split by byte ranges at line ends, so that one log is read by many tasks. Within a range the reader's row ids are
+    consecutive; a row a range, with its first id and number of lines, gives each range the lines before it. A last line without an
+    end is a line like any other; what is torn in it is for the parser to tell."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    at = F.monotonically_increasing_id().alias("at")
+    lines = raw.select("value", F.col("_metadata.file_path").alias("log_file"), F.col("_metadata.file_block_start").alias("range_start"), at)
+    lines = lines.filter(~F.endswith("log_file", F.lit(".feedback.jsonl")))
+    ranges = lines.groupBy("log_file", "range_start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("log_file").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("log_file", "range_start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.filter(F.trim("value") != "").join(offsets, ["log_file", "range_start"]).select("log_file", (F.col("at") + F.col("shift") + 1).alias("line_no"), "value")
 
 
 def tool_calls(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
