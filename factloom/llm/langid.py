@@ -73,9 +73,12 @@ class Model:
         out = [("und", 0.0)] * len(texts)
         if not some:
             return out
-        counts = [np.bincount(buckets(flats[i]), minlength=BUCKETS) for i in some]
-        at = [np.flatnonzero(x) for x in counts]
-        n = [x[k].astype(float) for x, k in zip(counts, at)]
+        at, n = [], []
+        for i in some:
+            # all buckets of one text at a time; what is kept are those that it has
+            counts = np.bincount(buckets(flats[i]), minlength=BUCKETS)
+            at.append(np.flatnonzero(counts))
+            n.append(counts[at[-1]].astype(float))
         grams = np.array([x.sum() for x in n])
         # the n-grams of a text overlap: its evidence is tempered before it becomes a probability
         weight = np.minimum(grams, 40) / grams
