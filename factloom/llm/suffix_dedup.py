@@ -41,6 +41,8 @@ SPAN, MER = 50, 16
 #: Slices in which places are sorted, one after the other, and rows that a task sorts.
 SLICES, PART = 2, 1 << 19
 WIDE = SPAN - MER + 1
+#: Anchors whose windows are looked at together.
+ROWS = 1 << 14
 
 _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -80,8 +82,13 @@ def anchors(name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(WIDE - 1, np.uint64)
     padded = np.concatenate([none, least, none])
     at = np.flatnonzero(_slide(padded, WIDE, np.maximum) == name)
-    same = padded[at[:, None] + np.arange(WIDE)] == name[at][:, None]
-    return at, at - (WIDE - 1) + same.argmax(1), at - same[:, ::-1].argmax(1)
+    lo, hi = np.empty_like(at), np.empty_like(at)
+    # in a run of one byte every place is an anchor, so their windows are looked at in blocks
+    for i in range(0, len(at), ROWS):
+        a = at[i : i + ROWS]
+        same = padded[a[:, None] + np.arange(WIDE)] == name[a][:, None]
+        lo[i : i + ROWS], hi[i : i + ROWS] = a - (WIDE - 1) + same.argmax(1), a - same[:, ::-1].argmax(1)
+    return at, lo, hi
 
 
 def _powers(base: int, n: int) -> np.ndarray:
