@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import bounded, in_worker, small
 
 MEMO = 250_000
+#: Characters of a pre-token up to which it is remembered.
+LONGEST = 64
 #: Keys a bucket of the perfect hash, on average.
 LOAD = 4
 _MASK = (1 << 64) - 1
@@ -150,10 +152,12 @@ class Encoder:
         except KeyError:
             if len(memo) > MEMO:
                 memo.clear()
+            # long pre-tokens hardly come back, and would make the memo as large as the texts
+            own = {}
             for t in set(tokens):
                 if t not in memo:
-                    memo[t] = self.pre_token(t)
-            return b"".join([memo[t] for t in tokens])
+                    (memo if len(t) <= LONGEST else own)[t] = self.pre_token(t)
+            return b"".join([memo[t] if t in memo else own[t] for t in tokens])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
