@@ -212,7 +212,9 @@ def with_spans(docs: DataFrame, name: str, rules: tuple[Rule, ...] = RULES) -> D
     """docs and a column of all spans, by start and then rule order."""
     index = Index(rules)
     text = F.coalesce(F.col("text"), F.lit(""))
-    cand = index.candidates(stage_table(index.postings(docs), "postings"))
+    # a row without an id can't be met by one; all its kinds are asked instead
+    named = docs.filter("doc_id is not null")
+    cand = index.candidates(stage_table(index.postings(named), "postings"))
     cand = cand.select(F.col("doc_id").alias(f"{name}_id"), F.col("kinds").alias(f"{name}_kinds"))
     may = index.may_hold(text)
 
@@ -226,9 +228,10 @@ def with_spans(docs: DataFrame, name: str, rules: tuple[Rule, ...] = RULES) -> D
         return F.array_sort(F.concat(*every)) if every else F.array().cast(_SPAN)
 
     plain = docs.filter(~may).withColumn(name, spans(None))
-    met = docs.filter(may).join(cand, F.col("doc_id").eqNullSafe(F.col(f"{name}_id")), "left")
+    met = named.filter(may).join(cand, F.col("doc_id") == F.col(f"{name}_id"), "left")
     met = met.withColumn(name, spans(F.coalesce(F.col(f"{name}_kinds"), F.array().cast("array<string>")))).drop(f"{name}_id", f"{name}_kinds")
-    return plain.unionByName(met)
+    nameless = docs.filter(may & F.col("doc_id").isNull()).withColumn(name, spans(F.array(*(F.lit(r.kind) for r in rules))))
+    return plain.unionByName(met).unionByName(nameless)
 
 
 def _joined(spans: Column) -> Column:
