@@ -34,14 +34,15 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, most_depth: int = MAX_
 def _asked(references: DataFrame, symbols: DataFrame, depth: int) -> DataFrame:
     """(node, level): the symbols and their callers whose call sites a traversal of this depth gives."""
     depth = max(1, min(depth, MAX_DEPTH))
-    edges = references.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst")).distinct()
+    # only the front's own call sites are made distinct, by reach()
+    edges = references.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst"))
     return reach(edges, symbols, depth).filter(F.col("level") < depth)
 
 
 def callers(references: DataFrame, symbols: DataFrame, depth: int = 1, most_nodes: int | None = MAX_NODES) -> DataFrame:
     """Call sites of the symbols and of their callers, with level. Nodes beyond the cap, in order of level and name, are left
     out; whether there are any is in `truncated` of each row, and in node_limit. None is no cap."""
-    nodes = _asked(references, symbols, depth)
+    nodes = _kept(_asked(references, symbols, depth))
     cut = nodes.agg((F.count(F.lit(1)) > most_nodes if most_nodes is not None else F.lit(False)).alias("truncated"))
     ranked = nodes.orderBy("level", "node").limit(most_nodes) if most_nodes is not None else nodes
     sites = references.join(ranked, F.col("callee_id") == F.col("node"))
@@ -148,6 +149,36 @@ def dead_symbols(symbols: DataFrame, references: DataFrame, overrides: DataFrame
     return rows.join(containers, "container_id", "left_anti")
 
 
+# Fixed: attributes of symbols that something outside of the sources calls, and kinds of methods that are never called by name.
+CALLED_FROM_OUTSIDE = ["ModuleInitializerAttribute", "DllImportAttribute", "UnmanagedCallersOnlyAttribute", "FactAttribute", "TheoryAttribute", "TestAttribute", "TestMethodAttribute", "McpServerToolAttribute", "McpToolAttribute", "ExportAttribute", "ImportAttribute", "JSInvokableAttribute", "ParameterAttribute", "InjectAttribute", "JsonConstructorAttribute", "BenchmarkAttribute"]
+NEVER_BY_NAME = ["static_constructor", "destructor", "property_get", "property_set", "event_add", "event_remove", "event_raise", "operator", "conversion"]
+
+
+def whitelisted(symbols: DataFrame, entry_points: list[str] | None = None) -> DataFrame:
+    """symbol_id of symbols that count as alive without a reference: with an attribute that something outside asks for, with a name that a
+    compiler gives, of a kind that is never called by name, entry points and their types, and the private empty constructor of a class
+    that has only static members. symbols: symbol_id, container_id, name, kind, visibility, attributes (array of names as written), is_static,
+    parameters (count)."""
+    asked = [a.upper() for a in CALLED_FROM_OUTSIDE]
+    full = F.transform(F.coalesce("attributes", F.array().cast("array<string>")), lambda a: F.upper(F.element_at(F.split(a, r"\."), -1)))
+    marked = F.exists(full, lambda a: a.isin(asked) | F.concat(a, F.lit("ATTRIBUTE")).isin(asked))
+    made = F.startswith("name", F.lit("<")) | F.endswith("name", F.lit("$")) | (F.col("name") == "EqualityContract")
+    entry = F.col("symbol_id").isin(entry_points or [""])
+    by_rule = symbols.filter(marked | made | entry | F.col("kind").isin(NEVER_BY_NAME)).select("symbol_id")
+    holders = symbols.filter(entry).select(F.col("container_id").alias("symbol_id"))
+    # a class of static members alone needs its private constructor to keep others from making one
+    utility = symbols.filter("container_id is not null and kind <> 'constructor'").groupBy("container_id").agg(F.min(F.coalesce("is_static", F.lit(False))).alias("only_static")).filter("only_static").select("container_id")
+    constructors = symbols.filter((F.col("kind") == "constructor") & (F.col("visibility") == "private") & (F.col("parameters") == 0)).join(utility, "container_id", "left_semi").select("symbol_id")
+    return by_rule.unionByName(holders).unionByName(constructors).filter("symbol_id is not null").distinct()
+
+
+def dead_locals(locals_: DataFrame, uses: DataFrame) -> DataFrame:
+    """Locals that nothing reads: locals_ (symbol_id, container_id, name, ...) without a use (symbol_id) that isn't a write; names that begin
+    with an underscore alone stand for what isn't wanted."""
+    read = uses.filter(~F.coalesce("is_write", F.lit(False))).select("symbol_id") if "is_write" in uses.columns else uses.select("symbol_id")
+    return locals_.filter(~F.col("name").rlike("^_+$")).join(read.distinct(), "symbol_id", "left_anti")
+
+
 def dead_summary(dead: DataFrame) -> DataFrame:
     return dead.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("visibility") == "private").alias("certain"))
 

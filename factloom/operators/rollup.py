@@ -52,6 +52,22 @@ def namespaces(types: DataFrame, depth: int) -> DataFrame:
     return rows.filter("prefix <> ''").groupBy(F.translate("prefix", "/", ".").alias("namespace")).agg(F.count(F.lit(1)).alias("types"), F.countDistinct("project").alias("projects"))
 
 
+def collapsed_namespaces(tree: DataFrame) -> DataFrame:
+    """namespaces() without the links of a chain: a namespace whose types are all those of its only child goes, and the child's label
+    begins at the last one that stays. tree: namespace, types, ...; adds label, what is shown under the nearest one that stays."""
+    parts = F.split("namespace", r"\.")
+    parent = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "."))
+    rows = tree.withColumn("parent", parent)
+    below = rows.filter("parent is not null").groupBy(F.col("parent").alias("of")).agg(F.count(F.lit(1)).alias("children"), F.sum("types").alias("below"))
+    marked = rows.join(below, F.col("namespace") == F.col("of"), "left").withColumn("goes", F.coalesce((F.col("children") == 1) & (F.col("below") == F.col("types")), F.lit(False)))
+    stays = marked.filter("not goes")
+    # the nearest namespace above that stays, by an equi-join on each prefix
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    up = stays.filter(F.size(parts) > 1).select("namespace", F.explode(above).alias("up")).join(stays.select(F.col("namespace").alias("up")), "up").groupBy("namespace").agg(F.max_by("up", F.length("up")).alias("up"))
+    label = F.when(F.col("up").isNull(), F.col("namespace")).otherwise(F.substring(F.col("namespace"), F.length("up") + 2, F.length("namespace")))
+    return stays.join(up, "namespace", "left").select(*tree.columns, label.alias("label"))
+
+
 def project_overview(types: DataFrame) -> DataFrame:
     return types.groupBy("project").agg(F.countDistinct("namespace").alias("namespaces"), F.count(F.lit(1)).alias("types"))
 

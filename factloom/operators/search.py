@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -27,17 +28,29 @@ def regex_hits(files: DataFrame, pattern: str) -> DataFrame:
     return source_lines(files).withColumn("matches", F.regexp_count("line", F.lit(pattern)).cast("long")).filter("matches > 0")
 
 
-def match_ranges(hits: DataFrame, pattern: str) -> DataFrame:
-    """hits and their match ranges: array of struct(col from 1, len), leftmost and non-overlapping."""
-    import re
+def _ranges(line: Column, pattern: str) -> Column:
+    """Array of struct(col from 1, len) of the pattern's matches, leftmost and non-overlapping. Each match is found once by itself and once
+    with all that comes before it, so the difference of lengths is where it begins; after an empty match one character is passed."""
+    sizes = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
+    upto = F.transform(F.regexp_extract_all(line, F.lit(f"(?:(?s:.*?))(?:{pattern})"), F.lit(0)), lambda x: F.length(x))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<col:int,len:int>>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        whole, size = x["upto"], F.coalesce(x["size"], F.lit(0))
+        one = F.struct((acc["at"] + whole - size + 1).cast("int").alias("col"), size.cast("int").alias("len"))
+        return F.struct((acc["at"] + whole + F.when(whole == 0, 1).otherwise(0)).alias("at"), F.array_append(acc["found"], one).alias("found"))
 
-    found = re.compile(pattern)
+    return F.aggregate(F.arrays_zip(upto.alias("upto"), sizes.alias("size")), start, step, lambda acc: acc["found"])
+
+
+def match_ranges(hits: DataFrame, pattern: str) -> DataFrame:
+    """hits and their match ranges: array of struct(col from 1, len). A null line has none."""
+    return hits.withColumn("ranges", _ranges(F.coalesce("line", F.lit("")), pattern))
 
-    @F.pandas_udf("array<struct<col:int,len:int>>")
-    def ranges(line: pd.Series) -> pd.Series:
-        return line.map(lambda s: [{"col": m.start() + 1, "len": m.end() - m.start()} for m in found.finditer(s or "")])
 
-    return hits.withColumn("ranges", ranges("line"))
+def term_ranges(hits: DataFrame, term: str) -> DataFrame:
+    """hits and the ranges of a plain term, in either case."""
+    return match_ranges(hits, f"(?i)\\Q{term}\\E") if "\\E" not in term else match_ranges(hits, "(?i)" + re.sub(r"(\W)", r"\\\1", term))
 
 
 def with_context(files: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:

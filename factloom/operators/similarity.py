@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as ms
+from ..session import staged
+from .dealing import dealt_join
 
 #: Windows that two units must have in common.
 LEAST_SHARED = 3
@@ -35,12 +35,12 @@ def _linked(prints: DataFrame, least: float, shared: int) -> tuple[DataFrame, Da
     grams = heads.select("cls", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("cls").orderBy("df", "gram")
-    ranked = grams.join(counts, "gram").withColumn("rank", F.row_number().over(w))
+    ranked = dealt_join(grams, counts, "gram", "cls").withColumn("rank", F.row_number().over(w))
     prefix = _kept(ranked.filter((F.col("df") >= 2) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)).select("gram", "cls", "n", (F.col("n") - F.col("rank")).alias("rest")))
     one = prefix.select("gram", F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
     two = prefix.select("gram", F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
     enough = (1 + F.least("ra", "rb")) * (1 + least) + 1e-6 >= least * (F.col("na") + F.col("nb"))
-    pairs = one.join(two, (one["gram"] == two["gram"]) & (F.col("ca") < F.col("cb")) & enough).select("ca", "cb").distinct()
+    pairs = dealt_join(one, two, "gram", "ca").filter((F.col("ca") < F.col("cb")) & enough).select("ca", "cb").distinct()
     left, right = (heads.select(F.col("cls").alias(f"c{x}"), F.col("grams").alias(f"g{x}")) for x in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
     scored = pairs.join(left, "ca").join(right, "cb").filter(both >= shared).select("ca", "cb", ms.jaccard(both, F.size("ga"), F.size("gb")).alias("score"))
@@ -68,15 +68,7 @@ def clone_links(prints: DataFrame, least: float, shared: int = LEAST_SHARED) ->
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder of spark.checkpoint.dir. A machine's own folder is set only where there is none and
-    executors are threads of the driver; on a cluster a missing setting is an error."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint()
+    return staged(df)
 
 
 def linked_sets(pairs: DataFrame) -> DataFrame:
@@ -103,6 +95,15 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return members.join(weakest, "root").withColumn("bucket", ms.similarity_bucket(F.col("weakest")))
 
 
+def cluster_members(pairs: DataFrame) -> DataFrame:
+    """unit_id, root, size, weakest, bucket: clusters() with a row a unit, so that a set of any size is no single value."""
+    sets = _kept(linked_sets(pairs))
+    sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    weakest = pairs.join(sets, pairs["a"] == sets["node"]).groupBy("root").agg(F.min("score").alias("weakest"))
+    out = dealt_join(sets.select(F.col("node").alias("unit_id"), "root"), sizes.join(weakest, "root"), "root", "unit_id")
+    return out.withColumn("bucket", ms.similarity_bucket(F.col("weakest")))
+
+
 def drift(prints: DataFrame, helper: int, callers: DataFrame, least: float = 0.80) -> DataFrame:
     """Units that do what the helper does without calling it: like it, and neither it nor a caller."""
     wanted = prints.filter(F.col("unit_id") == helper).select(F.explode("grams").alias("gram"), F.size("grams").alias("helper_n"))

@@ -52,8 +52,12 @@ def member_counts(members: DataFrame) -> DataFrame:
     return members.groupBy("type_id").agg(F.count_if(F.col("visibility") == "public").alias("public_members"), F.coalesce(F.max(F.when(F.col("kind") == "constructor", F.size("param_types"))), F.lit(0)).alias("dependencies"), F.max(flags).alias("bool_params"))
 
 
-def cyclomatic(nodes: DataFrame) -> DataFrame:
-    """1 and a point for each branching node of a member; 1 for a member that only dispatches. nodes: member_id, kind."""
+def cyclomatic(nodes: DataFrame, initialisers: DataFrame | None = None) -> DataFrame:
+    """1 and a point for each branching node of a member; 1 for a member that only dispatches. nodes: member_id, kind. initialisers:
+    member_id of members that only fill an object with values or their defaults; their `??` and choices give no points."""
+    if initialisers is not None:
+        marked = nodes.join(initialisers.select("member_id").distinct().withColumn("fills", F.lit(True)), "member_id", "left")
+        nodes = marked.withColumn("kind", F.when(F.col("fills") & F.col("kind").isin("coalesce", "conditional"), "none").otherwise(F.col("kind")))
     branching = ["if", "while", "do", "for", "foreach", "catch", "conditional", "case", "arm", "and", "or", "coalesce"]
     return nodes.groupBy("member_id").agg((F.count_if(F.col("kind").isin(branching)) + 1).alias("points"), F.max(F.col("kind") == "dispatcher").alias("dispatcher")).select("member_id", F.when(F.col("dispatcher"), 1).otherwise(F.col("points")).alias("cyclomatic"))
 

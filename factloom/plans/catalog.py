@@ -33,6 +33,11 @@ class Facts:
     units: DataFrame | None = None
     profiles: DataFrame | None = None
     calls: DataFrame | None = None
+    #: What lies on a line: file_id, line_no, kind, symbol_id, project.
+    tokens: DataFrame | None = None
+    #: Locals of members, and their uses.
+    locals: DataFrame | None = None
+    local_uses: DataFrame | None = None
 
 
 Answer = tuple[DataFrame, DataFrame]
@@ -138,6 +143,9 @@ def search_pattern(f: Facts, pattern: str, is_regex: bool = False, max_results:
     hits = search.regex_hits(files, pattern) if is_regex else search.plain_hits(files, pattern)
     shown = search.capped(hits, max_files, max_results, max_response_bytes)
     done = search.completeness(hits, shown, max_files, max_results, max_response_bytes)
+    shown = search.match_ranges(shown, pattern) if is_regex else search.term_ranges(shown, pattern)
+    if f.tokens is not None:
+        shown = search.enriched(shown, f.tokens)
     return (search.with_context(files, shown, context_lines, context_lines) if context_lines else shown), done
 
 
@@ -191,7 +199,17 @@ def find_magic_values(f: Facts, scope: str | None = None, category: str = "all",
 
 
 def find_dead_code(f: Facts, accessibility: tuple[str, ...] = ("private", "internal"), kind: str = "all", scope: str | None = None, max_results: int = 50, overrides: DataFrame | None = None, alive: list[str] | None = None) -> Answer:
-    dead = graph.dead_symbols(f.symbols, f.references, overrides, alive).filter(F.col("visibility").isin(*accessibility))
+    """kind `locals` asks for locals that nothing reads. Symbols with attributes are judged by the whitelist, and those of generated files
+    are left out where the files say so."""
+    if kind == "locals":
+        dead = graph.dead_locals(f.locals, f.local_uses)
+        return dead.orderBy("container_id", "symbol_id").limit(max_results), dead.agg(F.count(F.lit(1)).alias("total"))
+    own = f.symbols
+    if "attributes" in own.columns:
+        own = own.join(graph.whitelisted(own), "symbol_id", "left_anti")
+    if f.files is not None and "is_generated" in f.files.columns:
+        own = own.join(f.files.filter("is_generated").select("file_id"), "file_id", "left_anti")
+    dead = graph.dead_symbols(own, f.references, overrides, alive).filter(F.col("visibility").isin(*accessibility))
     dead = _scoped(dead if kind == "all" else dead.filter(F.col("kind") == kind), f.files, scope)
     return dead.orderBy(F.upper("rel_path"), "start_line", "symbol_id").limit(max_results), graph.dead_summary(dead)
 
@@ -221,11 +239,12 @@ def find_duplicates(f: Facts, mode: str = "clone", threshold: float = 0.80, min_
     if mode == "refactoring-drift":
         return _answer(similarity.drift(prints, helper, callers, threshold), max_results, F.desc("score"), "unit_id")
     pairs = similarity._kept(similarity.clone_links(prints, threshold))
-    return _answer(similarity.clusters(pairs), max_results, F.desc("weakest"), "root")
+    return _answer(similarity.cluster_members(pairs), max_results, F.desc("weakest"), "root", "unit_id")
 
 
-def get_namespace_tree(f: Facts, types: DataFrame, depth: int = 3, prefix: str | None = None, max_results: int = 200) -> Answer:
+def get_namespace_tree(f: Facts, types: DataFrame, depth: int = 3, prefix: str | None = None, max_results: int = 200, collapse: bool = False) -> Answer:
     rows = rollup.namespaces(types, depth)
+    rows = rollup.collapsed_namespaces(rows) if collapse else rows
     rows = rows.filter(F.startswith("namespace", F.lit(prefix))) if prefix else rows
     return _answer(rows, max_results, "namespace")
 

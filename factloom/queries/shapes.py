@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as ms
-from ..operators import coverage, profile_search, similarity, structure
+from ..operators import coverage, declaration_rules, profile_search, similarity, structure
 from .registry import query, table
 
 #: Tokens are words; the units are whole documents.
@@ -42,6 +42,18 @@ def clone_clusters(spark, sf_dir):
     return similarity.clusters(pairs).withColumn("weakest", F.round("weakest", 9))
 
 
+@query(
+    f"""with recursive {_GRAMS}, e as (select a as u, b as v from p union select b, a from p), r as (select u, u as x from e union select r.u, e.v from r join e on e.u = r.x), s as (select u, min(x) as root from r group by u),
+  q as (select root, min(score) as score from p join s on s.u = p.a group by root), w2 as (select doc_id as u, source || '/' || lang || '/' || doc_id || '.txt' as path from documents)
+  select arg_min(u, upper(path)) as file_id, 1 as line, 'DuplicateCode' as rule, count(*) || ' members' as details from s join q using (root) join w2 using (u) where score >= 0.95 group by root"""
+)
+def duplicate_code(spark, sf_dir):
+    """The DuplicateCode rule: one row a set of exact clones."""
+    pairs = similarity._kept(similarity.clone_links(similarity.fingerprints(units(spark, sf_dir)), 0.65))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("doc_id").alias("file_id"), F.concat_ws("", "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.lit(1).alias("line"))
+    return declaration_rules.duplicate_code(similarity.cluster_members(pairs).join(files, "unit_id"))
+
+
 @query(
     f"""with {_GRAMS}, h as (select min(a) as u from p), x as (select g.u, count(*) as m from g join g t on t.s = g.s and t.u = (select u from h) where g.u <> (select u from h) and g.u % 7 <> 0 group by g.u)
   select x.u as unit_id, round(m / (n.k + t.k - m), 9) as score from x join n on n.u = x.u join n t on t.u = (select u from h) where m / (n.k + t.k - m) >= 0.8"""

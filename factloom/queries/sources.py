@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import declaration_rules as rules
-from ..operators import profile_search, webrules
+from ..operators import profile_search, structure, webrules
 from ..session import shared_folder
-from ..sources import declared, files, profiler, profiles
+from ..sources import declared, files, lexical, profiler, profiles
 from .registry import query, table
 
 _RETURNS = ("int", "string", "bool", "double")
@@ -193,3 +193,15 @@ def profiled_steps(spark, sf_dir):
             profile.watch(name, df).write.format("noop").mode("overwrite").save()
     profile.close()
     return profiler.slowest(profiler.steps(spark, profile.folder), 20).select("step", "calls", "rows", "errors")
+
+
+@query(
+    "select 'M:Shop.C' || p_partkey || '.Make(int?,int?)' as member_id, cast(case p_size % 3 when 0 then 2 else 3 end as bigint) as cyclomatic from part"
+)
+def object_initialisers(spark, sf_dir):
+    """P10: methods that only fill an object get no points for `??`."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    body = _pick(("if (b == null) { return null; } return (new Item { A = a ?? 1, B = b ?? 2, C = 3 });", "return new Item { A = a ?? 1, B = b ?? 2, C = F(3), D = 4, E = 5 };", "if (a == null) { b = 1; } var x = b ?? 3; return x;"), size % 3)
+    text = F.concat(F.lit("namespace Shop { class C"), key.cast("string"), F.lit(" { public object Make(int? a, int? b) { "), body, F.lit(" } } }"))
+    own = table(spark, sf_dir, "part").select(key.alias("file_id"), text.alias("text"))
+    return structure.cyclomatic(lexical.branching_nodes(own), profiles.object_initialisers(own)).withColumn("cyclomatic", F.col("cyclomatic").cast("long"))

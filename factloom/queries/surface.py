@@ -285,3 +285,83 @@ def catalogue_file_rules(spark, sf_dir):
     own = files(spark, sf_dir).withColumn("rel_path", F.concat(F.lit("a/b/c/d/e/"), F.col("file_id").cast("string"), ext))
     off = {"CSS_MaxCssSelectorComplexity": {"limit": 0}}
     return catalogue.run({"files": own}, off).select("file_id", "rule", "details")
+
+
+_LINES = f"""{FILES}, n as (select *, string_split(text, chr(10)) as l from files), m as (select file_id, rel_path, project, text, cast(len(l) as bigint) as lines, len(list_filter(l, lambda x: starts_with(trim(x), '//'))) as comments from n)"""
+
+
+@query(
+    f"""with {_LINES}, {VIOLATIONS.removeprefix(FILES + ', ')}, c as (select file_id, count(*) as violations from v group by file_id),
+  w as (select m.*, coalesce(c.violations, 0) as violations, greatest(file_id % 9, file_id % 4) as peak, file_id % 9 + file_id % 4 as complexity from m left join c using (file_id)),
+  p as (select unnest(['', split_part(rel_path, '/', 1), split_part(rel_path, '/', 1) || '/' || split_part(rel_path, '/', 2)]) as prefix, * from w)
+  select prefix, count(*) as items, cast(sum(lines) as bigint) as lines, cast(sum(comments) as bigint) as comments, cast(sum(violations) as bigint) as violations, cast(sum(complexity) as bigint) as complexity, max(lines) as max_lines, max(peak) as max_complexity, round(sum(complexity) / (2 * count(*)), 6) as mean_complexity, round(sum(violations) / sum(lines), 6) as violation_density from p group by prefix"""
+)
+def tool_metrics_tree(spark, sf_dir):
+    """A5 with mean and peak complexity: each file has two members."""
+    f = files(spark, sf_dir)
+    a, b = F.col("file_id") % 9, F.col("file_id") % 4
+    members = f.select("file_id", F.explode(F.array(a, b)).alias("cyclomatic"))
+    rows = catalog.metrics_tree(Facts(files=f, violations=found(spark, sf_dir), members=members), depth=2, top=ALL // 4)[0]
+    return rows.select("prefix", "items", F.col("lines").cast("long").alias("lines"), F.col("comments").cast("long").alias("comments"), "violations", "complexity", F.col("max_lines").cast("long").alias("max_lines"), F.greatest("max_complexity", F.lit(0)).alias("max_complexity"), F.round("mean_complexity", 6).alias("mean_complexity"), F.round("violation_density", 6).alias("violation_density"))
+
+
+@query(
+    f"""with {VIOLATIONS}, s as (select * from v where starts_with(rel_path, 'src1/')), p as (select coalesce(sum(case severity when 'error' then 2.0 when 'warning' then 1.0 else 0.25 end), 0) as penalty, count(*) as violations from s),
+  c as (select count(*) as classes, avg(file_id % 9 * 1.0) as complexity, avg(file_id * 1.0) as footprint, avg(case when file_id % 2 = 0 then 1.0 else 0.0 end) as sealed from files where starts_with(rel_path, 'src1/')),
+  r as (select violations, classes, 10 - penalty * 1.5 / greatest(classes, 1) - greatest(0.0, complexity - 5) * 0.5 - greatest(0.0, footprint - 1000) / 1000 + sealed * 0.5 as raw from p, c)
+  select violations, classes, round(greatest(0.0, least(10.0, raw)), 6) as score, greatest(0.0, least(10.0, raw)) >= 7.0 as passed from r"""
+)
+def tool_safeguard(spark, sf_dir):
+    """A14 to A16 within a scope that holds for violations and classes alike."""
+    f, n = files(spark, sf_dir), F.col("file_id")
+    classes = f.select("file_id", "rel_path", "project", (n % 9 * 1.0).alias("complexity"), (n * 1.0).alias("footprint"), (n % 2 == 0).alias("is_sealed"))
+    facts = Facts(files=f, violations=found(spark, sf_dir).drop("severity", "intent"), metadata=rules.metadata(RULES, spark), classes=classes)
+    return catalog.safeguard(facts, "src1/", 7.0)[0].withColumn("score", F.round("score", 6))
+
+
+@query(f"with {VIOLATIONS}, b as (select v.*, p.pattern from v join (values ('large', 'MaxLineCount'), ('noise', 'ShoutedText'), ('noise', 'EmptyFile')) p(pattern, rule) on p.rule = v.rule), r as (select *, row_number() over (partition by pattern order by file_id, line, rule) as rn from b) select pattern, count(*) as n, string_agg(cast(file_id as varchar), ',' order by rn) filter (rn <= 3) as first_files, count(*) - count(*) filter (rn <= 3) as more from r group by pattern")
+def tool_pattern_detect(spark, sf_dir):
+    patterns = spark.createDataFrame([("large", "MaxLineCount"), ("noise", "ShoutedText"), ("noise", "EmptyFile")], "pattern string, rule string")
+    return catalog.pattern_detect(Facts(files=files(spark, sf_dir), violations=found(spark, sf_dir)), patterns, None, 3)[0]
+
+
+@query(f"with {FILES}, n as (select file_id, rel_path as path, cast(case when text = '' then 0 else len(string_split(text, chr(10))) - case when ends_with(text, chr(10)) then 1 else 0 end end as bigint) as lines from files) select file_id, path, lines, round_even(100.0 * lines / 50, 1) as utilisation, case when round_even(100.0 * lines / 50, 1) >= 95 then 'critical' else 'warning' end as level from n where round_even(100.0 * lines / 50, 1) >= 80")
+def tool_hotspots(spark, sf_dir):
+    rows = catalog.get_hotspots(Facts(files=files(spark, sf_dir)), 50)[0]
+    return rows.select("file_id", "path", F.col("lines").cast("long").alias("lines"), "utilisation", "level")
+
+
+@query("select event_type as tool, count(*) as calls, count(*) filter (event_type = 'error') as errors, max(ts) as last_ts from events group by tool")
+def tool_server_health(spark, sf_dir):
+    from .logs import calls
+
+    return catalog.get_server_health(Facts(calls=calls(spark, sf_dir)))[0]
+
+
+@query(f"with {VIOLATIONS} select file_id, rule from v where file_id % 5 <> 2")
+def tool_audit(spark, sf_dir):
+    """Violations in files that differ from a stored baseline: of every five files one is as it was."""
+    f = files(spark, sf_dir)
+    now = f.select(F.col("rel_path").alias("path"), F.sha2("text", 256).alias("sha256"), "file_id")
+    was = now.select("path", F.when(F.col("file_id") % 5 == 2, F.col("sha256")).otherwise("before").alias("sha256"))
+    facts = Facts(files=f, violations=found(spark, sf_dir).drop("severity", "intent"), metadata=rules.metadata(RULES, spark))
+    return catalog.audit(facts, was, now.drop("file_id"))[0].select("file_id", "rule")
+
+
+@query(
+    """with t as (select 'App.' || c_mktsegment || '.Core.N' || c_nationkey as ns from customer), p as (select unnest(['App', array_to_string(string_split(ns, '.')[1:2], '.'), array_to_string(string_split(ns, '.')[1:3], '.'), ns]) as namespace from t), c as (select namespace, count(*) as types from p group by namespace)
+  select namespace, types, case when namespace = 'App' then 'App' when len(string_split(namespace, '.')) = 3 then namespace[5:] else string_split(namespace, '.')[4] end as label from c where len(string_split(namespace, '.')) <> 2"""
+)
+def tool_namespace_tree_collapsed(spark, sf_dir):
+    """Segments have one child each, so the link between them and the whole goes."""
+    space = F.concat(F.lit("App."), F.col("c_mktsegment"), F.lit(".Core.N"), F.col("c_nationkey").cast("string"))
+    types = table(spark, sf_dir, "customer").select(space.alias("namespace"), F.lit("p").alias("project"))
+    return catalog.get_namespace_tree(Facts(), types, 4, None, 0, True)[0].select("namespace", "types", "label")
+
+
+@query("with l as (select l_orderkey * 10 + l_linenumber as symbol_id, l_orderkey as container_id, case when l_linenumber = 7 then '_' else 'v' || l_linenumber end as name from lineitem) select distinct symbol_id, name from l where name <> '_' and symbol_id not in (select l_orderkey * 10 + l_linenumber from lineitem where l_returnflag <> 'R')")
+def tool_dead_locals(spark, sf_dir):
+    """`locals` of find_dead_code: a line is a local of its order, read unless it was returned."""
+    li, key = table(spark, sf_dir, "lineitem"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("symbol_id")
+    own = li.select(key, F.col("l_orderkey").alias("container_id"), F.when(F.col("l_linenumber") == 7, "_").otherwise(F.concat(F.lit("v"), F.col("l_linenumber").cast("string"))).alias("name")).distinct()
+    return catalog.find_dead_code(Facts(locals=own, local_uses=li.select(key, (F.col("l_returnflag") == "R").alias("is_write"))), kind="locals", max_results=ALL)[0].select("symbol_id", "name")

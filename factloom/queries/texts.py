@@ -32,7 +32,10 @@ def search_regex(spark, sf_dir):
     return search.regex_hits(files(spark, sf_dir), r"\d{3,}").select("file_id", "line_no", "matches")
 
 
-@query()
+@query(
+    rf"""with {LINES}, h as (select file_id, line_no, list_transform(string_split_regex(line, '\d{{3,}}'), lambda x: length(x)) as gap, list_transform(regexp_extract_all(line, '\d{{3,}}'), lambda x: length(x)) as size from lines where regexp_matches(line, '\d{{3,}}')),
+  u as (select *, unnest(range(1, len(size) + 1)) as i from h) select file_id, line_no, cast(list_sum(gap[:i]) + coalesce(list_sum(size[:i - 1]), 0) + 1 as integer) as col, cast(size[i] as integer) as len from u"""
+)
 def search_ranges(spark, sf_dir):
     hits = search.regex_hits(files(spark, sf_dir), r"\d{3,}")
     r = search.match_ranges(hits, r"\d{3,}").select("file_id", "line_no", F.explode("ranges").alias("r"))
@@ -139,7 +142,12 @@ def violation_snippets(spark, sf_dir):
     return hits.select("file_id", "line_no", tx.snippet(F.col("all_lines"), F.col("line_no"), 1).alias("snippet"))
 
 
-@query()
+#: The running depth as a fold: a struct of depth and the most so far.
+@query(
+    r"""with t as (select page_id, regexp_extract_all(coalesce(html, ''), '(</?[A-Za-z][^>]*>)', 1) as tags from pages),
+  m as (select page_id, list_transform(tags, lambda t: case when starts_with(t, '</') then -1 when regexp_matches(t, '(?i)^<(area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b') or ends_with(t, '/>') then 0 else 1 end) as moves from t)
+  select page_id, list_reduce(list_prepend({'d': 0, 'm': 0}, list_transform(moves, lambda x: {'d': x, 'm': 0})), lambda a, x: {'d': greatest(0, a.d + x.d), 'm': greatest(a.m, a.d + x.d)}).m as depth from m"""
+)
 def markup_nesting(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.nesting_depth(F.coalesce("html", F.lit(""))).alias("depth"))
 

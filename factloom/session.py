@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -30,3 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
+
+
+def staged(df: DataFrame, label: str = "staged") -> DataFrame:
+    """df written once as Parquet under the shared folder, and read from there: lineage ends as with checkpoint(), and readers take
+    the columns that they need."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -455,3 +455,71 @@ def structure_profiles(files: DataFrame, least_tokens: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.string()), pa.array(features, _FEATURES)], names=["file_id", "unit_id", "line", "tokens", "summary", "features"])
 
     return files.select(F.col("file_id").cast("long").alias("file_id"), "text").mapInArrow(run, "file_id long, unit_id string, line int, tokens int, summary string, features array<struct<feature:string,weight:double>>")
+
+
+def _statements(found: list[Token], pair: dict[int, int], lo: int, hi: int) -> list[tuple[int, int]]:
+    """Top-level statements of found[lo:hi], an `if` with what it governs."""
+    out, start, i = [], lo, lo
+    while i < hi:
+        if found[i].text == "if" and i == start:
+            i = pair.get(i + 1, i + 1) + 1
+            i = pair[i] + 1 if i < hi and found[i].text == "{" and i in pair else next((k + 1 for k in range(i, hi) if found[k].text == ";"), hi)
+            out.append((start, i))
+            start = i
+            continue
+        if found[i].text in _PAIRS and i in pair:
+            i = pair[i]
+        elif found[i].text == ";":
+            out.append((start, i + 1))
+            start = i + 1
+        i += 1
+    return [*out, (start, hi)] if start < hi else out
+
+
+def fills_an_object(found: list[Token], pair: dict[int, int], method: Method, most_plain: float) -> bool:
+    """Whether a method only gives a new object, or a changed copy, whose values are mostly a `??` or a choice: at most `most_plain` of
+    them are neither. What comes before may declare locals, or return early."""
+    lo, hi = method.start + 1, method.end
+    if found[method.start].text == "{":
+        steps = _statements(found, pair, lo, hi)
+        if not steps or found[steps[-1][0]].text != "return":
+            return False
+        for a, b in steps[:-1]:
+            words = [t.text for t in found[a:b]]
+            guard = words[0] == "if" and words.count("return") == 1 and words.count(";") == 1
+            local = words[0] not in _KEYWORDS | {"return", "while", "switch", "throw", "using"} and found[a].kind == "ident" and (d := _declared(words[: words.index("=")] if "=" in words else words[:-1])) and d
+            if not (guard or local):
+                return False
+        lo, hi = steps[-1][0] + 1, steps[-1][1] - 1
+    while hi - lo > 1 and found[lo].text == "(" and pair.get(lo) == hi - 1:
+        lo, hi = lo + 1, hi - 1
+    words = [t.text for t in found[lo:hi]]
+    if not words or not (words[0] == "new" or "with" in words):
+        return False
+    values = [i for i in range(lo, hi) if found[i].text == "=" and found[i - 1].kind == "ident"]
+    coalescing = 0
+    for i in values:
+        k, hit = i + 1, False
+        while k < hi and found[k].text not in (",", "}", ";"):
+            hit = hit or found[k].text in ("??", "?")
+            k = pair[k] + 1 if found[k].text in _PAIRS and k in pair else k + 1
+        coalescing += hit
+    return bool(values) and 1 - coalescing / len(values) <= most_plain
+
+
+def object_initialisers(files: DataFrame, most_plain: float = 0.5) -> DataFrame:
+    """file_id, member_id of methods that fill an object (`structure.cyclomatic`)."""
+
+    def run(batches):
+        for b in batches:
+            ids, names = [], []
+            for i, t in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist()):
+                found = merged(tokens(t or ""))
+                pair = paired(found)
+                for m in declarations(found, pair)[1]:
+                    if fills_an_object(found, pair, m, most_plain):
+                        outer = f"{m.owner.outer}.{m.owner.name}".strip(".")
+                        ids.append(i), names.append(f"M:{outer}.{m.name}({','.join(p for p, _ in m.params)})")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string())], names=["file_id", "member_id"])
+
+    return files.select(F.col("file_id").cast("long").alias("file_id"), "text").mapInArrow(run, "file_id long, member_id string")
