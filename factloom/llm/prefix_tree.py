@@ -1,18 +1,20 @@
 """N-gram Jaccard join over prefix trees.
 
-A document is the set of its distinct three-word shingles; two link when 100 * intersection >= 90 * union. Sets are brought into
-one global order, shingles that many documents have last: a shingle's place is given by how full its bucket of hashes is, then
-by its hash, and any such order gives right results. In this order two linked sets have their first common shingle among the
-first n - ceil(2 * 0.9 / 1.9 * n) + 1 of the smaller set and the first n - ceil(0.9 n) + 1 of the larger one. Sets that share such a
-shingle meet in a block, where they are stored in a tree: sets with the same beginning share its nodes, so an overlap is counted
-once for all sets below. Below a node no set is reached unless the overlap so far and the shorter of both remainders can still
-give a link with the smallest set there.
+A document is the set of its distinct three-word shingles; two link when 100 * intersection >= 90 * union.
+
+Which sets have to meet: sets of up to b shingles that link differ by at most D = 2b / 19. The global order is that of the shingles'
+hashes; cut into more than D stretches at fixed hashes, two linked sets have a stretch in common, shingle for shingle. Each set sends one
+hash a stretch (of small sets, one for each two stretches), for its own class of sizes and, near its end, for the next one. Sets with a
+stretch in common are candidates, and candidates that hang together are a family, whose sets are sent once to the block in which they are
+joined.
 
-Only links that connect are sought. A subtree whose sets all belong to the probing set's component is left out, so a block of n
-near copies costs about n probes and gives n - 1 links. Round 1 takes every set to one block, of its first shared shingle; a block
-that is too large is dealt in parts, and its best-connected sets go to each part. Round 2 takes the sets to all their blocks that
-still hold several components; large ones are dealt in cells of two parts, so that all pairs of components meet somewhere.
-No pair is a row unless it is a link.
+In a block the sets are stored in a prefix tree, in one order for all: sets with the same beginning share its nodes, so an overlap is counted
+once for all sets below. Below a node no set is reached unless the overlap so far and the shorter of both remainders can still
+give a link with the smallest set there. Only links that connect are sought: a subtree whose sets all belong to the probing set's
+component is left out, so a block of n near copies costs about n probes and gives n - 1 links. A family too large for a block is
+dealt in parts, and its best-connected sets go to each part. If it then still has several components, its largest one and the rest are
+dealt in cells of two parts, so that all sets of different components meet in one cell; a family whose rest fits a block is sent
+but once or twice. No pair is a row unless it is a link.
 
 Defined results: null texts and texts without a word have an empty set, n_shingles 0, and are alone in their component. With
 fewer than three words the whole sequence is the one shingle. Documents with the same set are one node, of which the smallest
@@ -25,16 +27,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, discard, salted, small, stage_table
 from .components import components
 
 WORDS, LEVEL = 3, 90
-#: Buckets of hashes whose fill gives the global order: the table of their ranks has one byte each, at any input size.
-BUCKET_BITS = 20
-#: Shingles that a block holds in all; more make it several parts. Sets that go to every part of a dealt block, at most.
+#: Size classes grow by this factor. Differences up to which keys are made of two stretches; stretches more than needed beyond
+#: them, of which a set may leave out empty ones.
+CLASS, PAIRED, SPARE = 1.35, 4, 2
+#: Shingles that a block holds in all; a family of more is dealt. Sets that go to every part of a dealt family, at most.
 BLOCK, LEADERS = 1 << 17, 16
 #: Bits of the bitmap that spares texts a shuffle: 1 MB.
 BITMAP_BITS = 1 << 23
@@ -58,8 +61,51 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _buckets(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _classes() -> np.ndarray:
+    """Least sizes of the classes. Smaller sets than the first differ from every other set by more than a tenth."""
+    out = [next(n for n in range(1, 1000) if 100 * n >= LEVEL * (n + 1))]
+    while out[-1] < 1 << 40:
+        out.append(int(np.ceil(CLASS * out[-1])))
+    return np.array(out)
+
+
+_CLASSES = _classes()
+_MANY = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _C1
+    x = (x ^ (x >> np.uint64(32))) * _C2
+    return x ^ (x >> np.uint64(31))
+
+
+def keys(found: np.ndarray) -> np.ndarray:
+    """Hashes of the set's stretches; two linked sets have one in common."""
+    n, mixed, out = len(found), _scattered(found * _STEP), []
+    own = int(np.searchsorted(_CLASSES, n, "right")) - 1
+    for c in (own, own + 1):
+        # the next class has links only with the largest of this one
+        if own < 0 or 100 * n < LEVEL * int(_CLASSES[c]):
+            continue
+        # two linked sets of at most so many shingles differ by at most so many
+        differ = 2 * (100 - LEVEL) * (int(_CLASSES[c + 1]) - 1) // (100 + LEVEL)
+        paired = differ <= PAIRED
+        k = differ + (2 if paired else 1 + SPARE)
+        at = ((found >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        sums = np.zeros(k, np.uint64)
+        sums[at[starts].astype(np.int64)] = np.add.reduceat(mixed, starts)
+        marks = _scattered(sums + (np.arange(k, dtype=np.uint64) + np.uint64(c << 32)) * _MANY)
+        if paired:
+            # at least two of the stretches are the same in both
+            one, two = np.triu_indices(k, 1)
+            out.append(_scattered(marks[one] + marks[two] * _STEP))
+        else:
+            full = np.zeros(k, bool)
+            full[at[starts].astype(np.int64)] = True
+            # SPARE + 1 stretches at least are the same in both; with more empty ones all of these could be empty
+            out.append(marks[full] if k - len(starts) <= SPARE else marks)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def needed(a: int, b: int) -> int:
@@ -126,34 +172,35 @@ class Tree:
     def probe(self, order: np.ndarray, has: np.ndarray, size: int, c: int) -> list[int]:
         """A member for each component that the set is linked with, other than its own; they become one. has: whether a
         shingle is in the set."""
-        out, stack, c = [], [(self.root, 0)], self.find(c)
+        out, c = [], self.find(c)
+        # nodes on the way down, each with its overlap and the kids that are left to look at
+        stack = [(self.root, 0, iter(self.root.kids.values()))]
         while stack:
-            node, overlap = stack.pop()
-            if node.component is not None and self.find(node.component) == c:
+            node, overlap, kids = stack[-1]
+            kid = None if node.component is not None and self.find(node.component) == c else next(kids, None)
+            if kid is None:
+                stack.pop()
                 continue
-            for member, n, other in node.ends:
+            self.seen += 1
+            if 100 * min(size, kid.most) < LEVEL * max(size, kid.least) or kid.component is not None and self.find(kid.component) == c:
+                continue
+            inside = overlap + int(np.count_nonzero(has[kid.stretch]))
+            left = len(order) - int(np.searchsorted(order, kid.stretch[-1], "right"))
+            if inside + min(left, kid.rest) < needed(size, kid.least):
+                continue
+            for member, n, other in kid.ends:
                 other = self.find(other)
-                if other != c and (100 + LEVEL) * overlap >= LEVEL * (n + size):
+                if other != c and (100 + LEVEL) * inside >= LEVEL * (n + size):
                     out.append(member)
                     self.parent[other] = c
-            ahead = []
-            for kid in node.kids.values():
-                self.seen += 1
-                if 100 * min(size, kid.most) < LEVEL * max(size, kid.least):
-                    continue
-                inside = overlap + int(np.count_nonzero(has[kid.stretch]))
-                left = len(order) - int(np.searchsorted(order, kid.stretch[-1], "right"))
-                if inside + min(left, kid.rest) >= needed(size, kid.least):
-                    ahead.append((inside + kid.rest, id(kid), kid, inside))
-            # the most promising one is looked at first: once it links, the rest of its component is left out
-            for _, _, kid, inside in sorted(ahead, key=lambda x: x[:2]):
-                stack.append((kid, inside))
+            # the kid that was there first leads to most sets; once one of them links, the rest of their component is left out
+            stack.append((kid, inside, iter(kid.kids.values())))
         return out
 
 
 def block_links(ids: list[int], parts: list[int], sides: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (id, id) that connect the components (parts) of a block's sets as far as links do. Sets of side 1 are compared with those
-    of side 0, sets of side 2 with each other and with those of side 0."""
+    """(part, root) of the parts (components so far) that links between a block's sets join with others; root is the least of those joined. Sets
+    of side 1 are compared with those of side 0, sets of side 2 with each other and with those of side 0."""
     size = np.array([len(s) for s in sets])
     every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     # a linked set has nine tenths of its shingles in common with one other set; others leave, and theirs with them
@@ -174,78 +221,45 @@ def block_links(ids: list[int], parts: list[int], sides: list[int], sets: list[n
     local, owner = by_count[place[shared]], owner[shared]
     local = local[np.lexsort((local, owner))]
     ends = np.cumsum(np.bincount(owner, minlength=len(sets)))
-    tree, has, out = Tree(), np.zeros(len(count), bool), []
+    tree, has = Tree(), np.zeros(len(count), bool)
     members = sorted(np.flatnonzero(stays).tolist(), key=lambda i: (sides[i] == 1, size[i], ids[i]))
     for i in members:
         order = local[ends[i] - common[i] : ends[i]]
         if sides[i]:
             has[order] = True
-            out += [(ids[i], ids[j]) for j in tree.probe(order, has, int(size[i]), parts[i])]
+            tree.probe(order, has, int(size[i]), parts[i])
             has[order] = False
         if sides[i] != 1:
             tree.insert(order, int(size[i]), i, parts[i])
-    return out
+    return stars(tree.parent, tree.find)
+
+
+def stars(parent: dict[int, int], find) -> list[tuple[int, int]]:
+    """(node, root) of the nodes of a forest that aren't alone, root the least of their tree."""
+    least: dict[int, int] = {}
+    for node in parent:
+        root = find(node)
+        least[root] = min(node, root, least.get(root, root))
+    return [(node, least[root]) for node in [*parent, *(r for r in least if r not in parent)] if (root := find(node)) in least]
 
 
 # --- the search
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One pass over whole texts: doc_id, n_shingles, sig (digest of the set, null if empty) of each row; and, apart, rows of bucket
-    and hits."""
+    """One pass over whole texts: doc_id, n_shingles, sig (digest of the set, null if empty), keys."""
 
     def run(batches):
-        fill = np.zeros(1 << BUCKET_BITS, np.int64)
-        names = ["doc_id", "n_shingles", "sig", "bucket", "hits"]
         for b in small(batches):
-            n, sig = [], []
+            n, sig, marks = [], [], []
             for text in b.column("text").to_pylist():
                 found = shingles(text)
                 n.append(len(found))
                 sig.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                np.add.at(fill, _buckets(found), 1)
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.int32()), none], names=names)
-        used = np.flatnonzero(fill)
-        for i in range(0, len(used), 1 << 16):
-            at = used[i : i + (1 << 16)]
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(fill[at])], names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, "doc_id long, n_shingles long, sig binary, bucket int, hits long")
-
-
-def _ranks(scanned: DataFrame) -> np.ndarray:
-    """One byte a bucket: half steps of the logarithm of its fill."""
-    got = scanned.filter("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toArrow()
-    rank = np.zeros(1 << BUCKET_BITS, np.uint8)
-    rank[got["bucket"].to_numpy()] = np.floor(2 * np.log2(got["hits"].to_numpy())).astype(np.uint8)
-    return rank
+                marks.append(keys(found).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sig", "keys"])
 
-
-def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """doc_id, sig, n, prefix: the first n - ceil(0.9 n) + 1 shingles of each set that can link with another one."""
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
-
-    def run(batches):
-        rank = held.value
-        for b in small(batches):
-            ids, sig, n, prefix = [], [], [], []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                found = shingles(text)
-                size = len(found)
-                # a smaller set differs from every other set by more than a tenth
-                if 100 * size < LEVEL * (size + 1):
-                    continue
-                ids.append(doc_id), n.append(size)
-                sig.append(xxhash.xxh3_128_digest(found.tobytes()))
-                first = np.argsort(rank[_buckets(found)], kind="stable")[: size + (-LEVEL * size // 100) + 1]
-                prefix.append(found[first].view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "sig", "n", "prefix"])
-
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    return asked.transform(bounded).mapInArrow(run, "doc_id long, sig binary, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(bounded).mapInArrow(run, "doc_id long, n_shingles long, sig binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -265,13 +279,16 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return asked.join(ids, "id", "left_semi").transform(bounded).mapInArrow(run, "id long, shingles array<long>")
 
 
-def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) within blocks. members: token and cell (the block), id, c, side."""
-    rows = members.join(sets, "id").repartition("token", "cell").sortWithinPartitions("token", "cell").select("token", "cell", "id", "c", "side", "shingles")
+def _joined_parts(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(family, c, root) of the parts c that links within blocks join. members: family and cell (the block), id, c, side."""
+    rows = members.join(sets, "id").repartition("family", "cell").sortWithinPartitions("family", "cell").select("family", "cell", "id", "c", "side", "shingles")
 
-    def found(block):
+    def found(at, block):
         ids, parts, sides, sets_ = (list(x) for x in zip(*block))
-        return block_links(ids, parts, sides, sets_) if len(ids) > 1 else []
+        return [(at[0], *x) for x in block_links(ids, parts, sides, sets_)] if len(ids) > 1 else []
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["family", "c", "root"])
 
     def run(batches):
         now, block = None, []
@@ -279,77 +296,135 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
             out = []
             arrays = b.column(b.schema.get_field_index("shingles"))
             flat, ends = arrays.flatten().to_numpy(zero_copy_only=False).view(np.uint64), arrays.offsets.to_numpy() - arrays.offsets[0].as_py()
-            for i, (token, cell, *row) in enumerate(zip(*(b.column(k).to_pylist() for k in range(5)))):
-                if (token, cell) != now:
+            for i, (family, cell, *row) in enumerate(zip(*(b.column(k).to_pylist() for k in range(5)))):
+                if (family, cell) != now:
                     if block:
-                        out += found(block)
-                    now, block = (token, cell), []
+                        out += found(now, block)
+                    now, block = (family, cell), []
                 block.append((*row, flat[ends[i] : ends[i + 1]].copy()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
-        if block and (out := found(block)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+                yield batch(out)
+        if block and (out := found(now, block)):
+            yield batch(out)
+
+    return bounded(rows).mapInArrow(run, "family long, c long, root long")
+
+
+def _part(parts: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+
+
+#: Nodes that a task joins before it tells what it has.
+HELD = 1 << 18
+
+
+def _forest(batches):
+    """Arrow batches of edges (u, v) as the stars of the trees that they make: v, root u (of itself, too), and how many edges v had."""
+    tree, times = Tree(), {}
+
+    def told():
+        rows = [(v, u, times.get(v, 0)) for v, u in stars(tree.parent, tree.find)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["v", "u", "n"])
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            times[u], times[v] = times.get(u, 0) + 1, times.get(v, 0) + 1
+            u, v = tree.find(u), tree.find(v)
+            if u != v:
+                tree.parent[max(u, v)] = min(u, v)
+        if len(times) > HELD:
+            if tree.parent:
+                yield told()
+            tree, times = Tree(), {}
+    if tree.parent:
+        yield told()
 
-    return bounded(rows).mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
+def _trees(edges: DataFrame) -> DataFrame:
+    """v, u, n of edges (u, v), joined within each task."""
+    return bounded(edges.select("u", "v")).mapInArrow(_forest, "v long, u long, n long")
 
-def _low() -> Column:
-    """Whether a place is in the prefix that the smaller of two linked sets has its first common shingle in."""
-    return F.col("place") <= F.col("n") - F.ceil(2 * LEVEL * F.col("n") / (100 + LEVEL)) + 1
 
+def _connected(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (u, v): what several tasks tell of a node is joined by nodes first, which leaves few rounds."""
+    return components(_trees(edges.filter("u <> v").select("u", "v").repartition("v")).select("u", "v"))
 
-def _blocks(places: DataFrame, also: Column) -> DataFrame:
-    """token, parts of the blocks in which links may be found: also, a condition on an aggregate."""
-    held = places.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.max(_low()).alias("low"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    return held.filter((F.col("rows") > 1) & F.col("low") & also).select("token", "parts")
 
+def _families(heads: DataFrame) -> DataFrame:
+    """id, family, n, central of sets with a stretch in common; central: in how many stretches it met another one."""
+    # the sets of a stretch hang on its smallest id: one shuffle, and no set of a stretch is held
+    least = F.first("id").over(Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hung = heads.select("id", F.explode("keys").alias("key")).withColumn("least", least).filter("least <> id").select(F.col("least").alias("u"), F.col("id").alias("v"))
 
-def _own_part() -> Column:
-    return F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    # a task tells the trees that its own stretches make, which are far fewer than the stretches
+    edges = stage_table(_trees(hung), "edges")
+    part = _connected(edges)
+    central = edges.groupBy(F.col("v").alias("id")).agg(F.sum("n").alias("central"))
+    families = stage_table(part.select(F.col("node").alias("id"), F.col("component").alias("family")).join(heads.select("id", "n"), "id").join(central, "id", "left"), "families")
+    discard(edges)
+    return families
 
 
 def search(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Links (a, b) of heads (id, n, prefix), enough of them to connect all that belong together."""
-    every = heads.select("id", "n", F.col("id").alias("c"), F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place") + 1)
-    n_rows = heads.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("n")).first()["n"]
-    places = stage_table(salted(every, _blocks(every, F.lit(True)), "token", "id", n_rows), "places")
-    n_rows = places.count()
-    ids = stage_table(places.groupBy("id").agg(F.min(F.struct("place", "token")).alias("first"), F.count(F.lit(1)).alias("central")), "open")
-    sets = stage_table(_sets(docs, ids.select("id")), "sets")
-
-    # round 1: the block of the first shared shingle
-    one = ids.select("id", F.col("first.token").alias("token"), "central").join(places.select("id", "token", "n", "place", "c"), ["id", "token"])
-    dealt = salted(one, one.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")).filter("rows > 1"), "token", "id", n_rows)
-    dealt = stage_table(dealt, "dealt")
-    leaders = dealt.filter("parts > 1").groupBy("token", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct(-F.col("central"), "id", "c", "parts")).alias("x"))
-    led = leaders.select("token", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("cell"), F.col("x.id").alias("id"), F.col("x.c").alias("c"))
-    members = dealt.select("token", _own_part().alias("cell"), "id", "c").unionByName(led).dropDuplicates(["token", "cell", "id"])
-    links = stage_table(_links(members.withColumn("side", F.lit(2)), sets), "links")
-    discard(dealt)
-
-    # round 2: every block that still has several components
-    part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = stage_table(places.drop("c", "parts").join(part, places["id"] == part["node"], "left").select("token", "id", "n", "place", F.coalesce("component", "id").alias("c")), "placed")
-    discard(places)
-    open_ = salted(placed, _blocks(placed, F.col("c0") < F.col("c1")), "token", "id", n_rows)
-    own = _own_part()
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = open_.withColumn("own", own).withColumn("other", other)
-    members = cells.select("token", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("cell"), "id", "c", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = stage_table(_links(members, sets), "links")
-    for done in (placed, ids, sets):
-        discard(done)
-    return links.unionByName(more)
+    """(node, component) of the heads (id, n, keys) that have a link."""
+    every = _families(heads)
+    sets = stage_table(_sets(docs, every.select("id").distinct()), "sets")
+    n_rows = every.count()
+    sizes = every.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    dealt = stage_table(salted(every, sizes, "family", "id", n_rows), "dealt")
+
+    # families in a block, or in parts that their leaders go to, too
+    large = dealt.filter("parts > 1")
+    best = F.min(F.struct(-F.coalesce("central", F.lit(0)), "id", "parts")).alias("x")
+    led = large.groupBy("family", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(LEADERS)).alias("slot")).agg(best)
+    led = led.select("family", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("cell"), F.col("x.id").alias("id"))
+    members = dealt.select("family", _part("parts").alias("cell"), "id").unionByName(led).dropDuplicates(["family", "cell", "id"])
+    found = stage_table(_joined_parts(members.select("family", "cell", "id", F.col("id").alias("c"), F.lit(2).alias("side")), sets), "found")
+    # what a family's only block has joined is final
+    final = [F.col("c").alias("node"), F.col("root").alias("component")]
+    if large.isEmpty():
+        return _done(found.select(*final), every, sets, dealt)
+    dealt_families = large.select("family").distinct()
+    whole = found.join(dealt_families, "family", "left_anti").select(*final)
+
+    # the largest component against the rest, the rest against itself
+    part = _connected(found.join(dealt_families, "family", "left_semi").select(F.col("root").alias("u"), F.col("c").alias("v")))
+    placed = stage_table(large.join(part, large["id"] == part["node"], "left").select("family", "id", "n", F.coalesce("component", "id").alias("c")), "placed")
+    by_c = placed.groupBy("family", "c").agg(F.sum("n").alias("n"))
+    of = by_c.groupBy("family").agg(F.max(F.struct("n", "c")).alias("x"), F.sum("n").alias("n")).filter("x.n < n")
+    of = of.select("family", F.col("x.c").alias("most"), F.ceil(F.col("x.n") / BLOCK).cast("int").alias("own"), F.ceil((F.col("n") - F.col("x.n")) / BLOCK).cast("int").alias("rest"))
+    open_ = salted(placed, of, "family", "id", n_rows)
+    at = F.when(F.col("c") == F.col("most"), F.col("rest") + _part("own")).otherwise(_part("rest"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("c") == F.col("most"), F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1))
+    cells = open_.withColumn("at", at).withColumn("other", other)
+    side = F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1)
+    members = cells.select("family", (F.least("at", "other").cast("long") * (F.col("rest") + F.col("own")) + F.greatest("at", "other")).alias("cell"), "id", "c", side.alias("side"))
+    more = stage_table(_joined_parts(members, sets), "found")
+    named = placed.select(F.col("id").alias("node"), "c")
+    if not more.isEmpty():
+        joined_ = _connected(more.select(F.col("root").alias("u"), F.col("c").alias("v")))
+        named = named.join(joined_.select(F.col("node").alias("c"), "component"), "c", "left").select("node", F.coalesce("component", "c").alias("c"))
+    out = stage_table(whole.unionByName(named.select("node", F.col("c").alias("component"))), "components")
+    return _done(out, every, sets, dealt, placed, found, more)
+
+
+def _done(part: DataFrame, *tables: DataFrame) -> DataFrame:
+    for table in tables:
+        discard(table)
+    return part
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs (doc_id, text)."""
-    scanned = stage_table(_scan(docs), "scanned")
-    every = scanned.filter("bucket is null").select("doc_id", "n_shingles", "sig")
+    every = stage_table(_scan(docs), "scanned")
     node = every.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
-    prefixes = _prefixes(docs, _ranks(scanned)).withColumnRenamed("sig", "own")
-    heads = stage_table(prefixes.join(node, (F.col("doc_id") == F.col("id")) & (F.col("own") == F.col("sig"))).select("id", "sig", "n", "prefix").dropDuplicates(["id", "sig"]), "heads")
-    part = components(search(docs, heads).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    marked = every.filter(F.size("keys") > 0).select("doc_id", F.col("sig").alias("own"), F.col("n_shingles").alias("n"), "keys")
+    heads = stage_table(marked.join(node, (F.col("doc_id") == F.col("id")) & (F.col("own") == F.col("sig"))).select("id", "n", "keys").dropDuplicates(["id", "keys"]), "heads")
+    part = search(docs, heads)
+    discard(heads)
     of_sig = node.join(part, node["id"] == part["node"], "left").select("sig", F.coalesce("component", "id").alias("component"))
-    out = every.join(of_sig, "sig", "left")
+    own = every.select("doc_id", "n_shingles", "sig")
+    # a set may have most of all rows: they are dealt; rows without a set or an id meet none
+    known = F.col("sig").isNotNull() & F.col("doc_id").isNotNull()
+    out = salted(own.filter(known), of_sig, "sig", "doc_id", every.count()).drop("sig").unionByName(own.filter(~known).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
