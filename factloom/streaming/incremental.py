@@ -35,7 +35,8 @@ def upsert(table: str) -> Callable[[DataFrame, int], None]:
         fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
         rows = batch.dropDuplicates(["path"])
         if not fs.exists(base):
-            for left in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{table}.next-*")) or []:
+            found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{table}.next-*")) or []
+            for left in sorted(found, key=lambda f: -int(f.getPath().getName().rpartition("-")[2])):
                 if fs.exists(jvm.org.apache.hadoop.fs.Path(left.getPath(), "_SUCCESS")):
                     fs.rename(left.getPath(), base)
                     break
@@ -69,7 +70,8 @@ def stream_bursts(calls: DataFrame, seconds: float = 5.0, late: str = "10 minute
                 done.append((key[0], tool, n))
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "line_no"])
+            # calls without a time belong to no run
+            rows = pd.concat(list(batches)).dropna(subset=["ts"]).sort_values(["ts", "line_no"])
             for r in rows.itertuples():
                 at = r.ts.timestamp()
                 if r.is_loading and n and r.tool == tool and 0 <= at - last <= seconds:

@@ -123,6 +123,13 @@ class FileTable:
         return gone
 
 
+def followed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """A stream of new and changed files of a folder tree, as changes: `.writeStream.foreachBatch(table.apply)` keeps a table up to date.
+    Files that go are found by sweep()."""
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return raw.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"), F.lit(False).alias("deleted"))
+
+
 def listing(spark: SparkSession, roots: list[str], pattern: str = "*") -> DataFrame:
     """path, mtime, bytes of the files below roots; contents are not read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(roots)

@@ -280,6 +280,20 @@ def test_sweep_follows_a_tree(spark, tmp_path):
     assert sorted(texts(t).values()) == ["four", "one more"]
 
 
+def test_a_stream_keeps_a_table(spark, tmp_path):
+    from factloom.streaming.refresh import followed
+
+    (tmp_path / "in").mkdir()
+    t = FileTable(spark, str(tmp_path / "t"), 8)
+    for name, text in (("a.cs", "one"), ("b.cs", "two"), ("a.cs", "three")):
+        (tmp_path / "in" / name).write_text(text)
+        # a stream sees a changed file again only if its time has moved on
+        q = followed(spark, str(tmp_path / "in"), "*.cs").writeStream.foreachBatch(t.apply).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = {p.rpartition("/")[2]: x for p, x in texts(t).items()}
+    assert got["b.cs"] == "two" and got["a.cs"] in ("one", "three")
+
+
 # logs
 def test_one_log_in_many_tasks(spark, tmp_path):
     n = 20000
