@@ -310,7 +310,7 @@ class Walk:
                 self.branch = True
         if text in _ASSIGN and self._of_instance(i - 1) or text in ("++", "--") and (self._of_instance(i - 1) or self._of_instance(i + 1) or after == "this" and self._of_instance(i + 3)):
             self.mutates = True
-        # other signs before a member count as the reference counts them: every prefix operator has an operand
+        # any prefix sign on a member counts as a change of it, as fixed by the rule
         if text in ("!", "-", "+", "~") and (before in _BEFORE_OPERAND or before in _ASSIGN or before in ("if", "(")) and (self._of_instance(i + 1) or after == "this" and self._of_instance(i + 3)):
             self.mutates = True
         if text in (".", "?.") and self.found[i + 1].kind == "ident" and self._text(i + 2) != "(":
