@@ -31,19 +31,25 @@ def regex_hits(files: DataFrame, pattern: str) -> DataFrame:
 def _ranges(line: Column, pattern: str) -> Column:
     """Array of struct(col from 1, len) of the pattern's matches, leftmost and non-overlapping. Each match is found once by itself and once
     with all that comes before it, so the difference of lengths is where it begins. After an empty match one character is passed; one
-    that had something before it is found there a second time, which is left out."""
+    that had something before it is found there a second time, which is left out.
+
+    What comes before begins where the last match ended, or one character on: without that, the rest of a line after its last match
+    would be searched from each of its characters. Both arrays are items of one array, so that they are made once a line, not once a match."""
     sizes = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    upto = F.transform(F.regexp_extract_all(line, F.lit(f"(?:(?s:.*?))(?:{pattern})"), F.lit(0)), lambda x: F.length(x))
+    upto = F.transform(F.regexp_extract_all(line, F.lit(rf"(?:\G|(?<=\G(?s:.)))(?:(?s:.*?))(?:{pattern})"), F.lit(0)), lambda x: F.length(x))
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(False).alias("again"), F.array().cast("array<struct<col:int,len:int>>").alias("found"))
 
-    def step(acc: Column, whole: Column) -> Column:
-        size = F.coalesce(F.get(sizes, acc["i"]), F.lit(0))
-        one = F.struct((acc["at"] + whole - size + 1).cast("int").alias("col"), size.cast("int").alias("len"))
-        again = ~acc["again"] & (size == 0) & (whole > 0)
-        found = F.when(acc["again"], acc["found"]).otherwise(F.array_append(acc["found"], one))
-        return F.struct((acc["at"] + whole + F.when(whole == 0, 1).otherwise(0)).alias("at"), (acc["i"] + F.when(acc["again"], 0).otherwise(1)).alias("i"), again.alias("again"), found.alias("found"))
+    def folded(both: Column) -> Column:
+        def step(acc: Column, whole: Column) -> Column:
+            size = F.coalesce(F.get(both["sizes"], acc["i"]), F.lit(0))
+            one = F.struct((acc["at"] + whole - size + 1).cast("int").alias("col"), size.cast("int").alias("len"))
+            again = ~acc["again"] & (size == 0) & (whole > 0)
+            found = F.when(acc["again"], acc["found"]).otherwise(F.array_append(acc["found"], one))
+            return F.struct((acc["at"] + whole + F.when(whole == 0, 1).otherwise(0)).alias("at"), (acc["i"] + F.when(acc["again"], 0).otherwise(1)).alias("i"), again.alias("again"), found.alias("found"))
+
+        return F.aggregate(both["upto"], start, step, lambda acc: acc["found"])
 
-    return F.aggregate(upto, start, step, lambda acc: acc["found"])
+    return F.transform(F.array(F.struct(sizes.alias("sizes"), upto.alias("upto"))), folded)[0]
 
 
 def match_ranges(hits: DataFrame, pattern: str) -> DataFrame:

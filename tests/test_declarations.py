@@ -1,6 +1,7 @@
 """Extracted declarations and the rules on them, dead-code whitelist, match ranges, namespace chains."""
 
 import re
+import time
 
 import pytest
 
@@ -83,6 +84,17 @@ def test_ranges_equal_the_matcher(spark, pattern):
     assert got == {i: [(m.start() + 1, m.end() - m.start()) for m in re.finditer(pattern, t)] for i, t in enumerate(lines)}
 
 
+@pytest.mark.parametrize("pattern", [r"\d{3,}", r"\d{3,}|(?=zz)|$"])
+def test_ranges_of_long_lines_take_time_in_proportion(spark, pattern):
+    """The rest of a line after its last match is not searched from each of its characters, nor are matches found anew for each match."""
+    lines = {1: "1234 " + "word " * 100_000, 2: "no 999 " * 3000 + "zz" + "x" * 100_000}
+    hits = spark.createDataFrame(list(lines.items()), "n int, line string")
+    began = time.perf_counter()
+    got = {r["n"]: [(x["col"], x["len"]) for x in r["ranges"]] for r in search.match_ranges(hits, pattern).collect()}
+    assert time.perf_counter() - began < 30
+    assert got == {n: [(m.start() + 1, m.end() - m.start()) for m in re.finditer(pattern, t)] for n, t in lines.items()}
+
+
 def test_plain_ranges_and_what_they_lie_on(spark):
     hits = spark.createDataFrame([(1, "a.B A.b aXb")], "file_id long, line string")
     assert [(x["col"], x["len"]) for x in search.term_ranges(hits, "a.b").first()["ranges"]] == [(1, 3), (5, 3)]
