@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 # Names without a meaning, names that tools give, calls that find types at run time, bases of window classes.
 EMPTY_NAMES = ["data", "temp", "obj", "val", "tmp", "item", "param"]
 TOOL_NAMES = r"(?i)^(s_|m_|_)?(MyRegex|NewMethod|Class1|Interface1|Struct1|Record1|MyClass|MyInterface|MyStruct|MyRecord)[0-9]*$"
@@ -74,7 +76,8 @@ def window_code(facts: DataFrame, bases: list[str] | None = None, exempt: list[s
 
 
 def declaration_rules(facts: DataFrame, namespaces: DataFrame, test_files: DataFrame | None = None) -> DataFrame:
-    """All of them; files of test_files (file_id) are left out, but for value objects."""
+    """All of them; files of test_files (file_id) are left out, but for value objects. facts are written once, as each rule reads them."""
+    facts = staged(facts, "facts")
     own = facts if test_files is None else facts.join(test_files.select("file_id"), "file_id", "left_anti")
     return reduce(DataFrame.unionByName, [semantic_naming(own), endpoint_parameters(own), value_objects(facts), phantom_dependencies(own, namespaces), window_code(own)])
 

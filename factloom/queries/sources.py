@@ -34,13 +34,19 @@ def _pick(values, at):
     return out
 
 
+def dealt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of parts, dealt over four tasks a core: its rows take little room, so that one task may read them all, but each becomes
+    a text that takes long to read."""
+    return table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, text: a class for each part."""
     size, key = F.col("p_size"), F.col("p_partkey")
     box = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")
     params = F.concat(_pick(_PARAMS, key % 3), F.lit(" a0, "), box, F.when(key % 2 == 0, F.lit(" a1, bool last = true")).otherwise(F.lit(" a1")))
     lines = ["using System;\nnamespace Shop;\n\n/// <summary>{ not a brace }</summary>\npublic class C", key.cast("string"), "\n{\n  private int _total = 1;\n  private readonly List<int> _items = new();\n\n  public ", _pick(_RETURNS, F.floor(size / 5) % 4), " Run(", params, ")\n  {\n    ", _pick([b for b, _ in _BODIES], size % 5), "\n  }\n}\n"]
-    return table(spark, sf_dir, "part").select(key.cast("long").alias("file_id"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines)).alias("text"))
+    return dealt_parts(spark, sf_dir).select(key.cast("long").alias("file_id"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines)).alias("text"))
 
 
 def _features_sql() -> str:
@@ -105,7 +111,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
         '@code {\n  string s = "}"; // }\n  /* } */\n', times("  int x;\n", size % 25), "}\n",
     ]
     text = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
-    return table(spark, sf_dir, "part").select(key.cast("long").alias("file_id"), F.concat(F.lit("Shop/C"), key.cast("string"), F.lit(".razor")).alias("rel_path"), text.alias("text"))
+    return dealt_parts(spark, sf_dir).select(key.cast("long").alias("file_id"), F.concat(F.lit("Shop/C"), key.cast("string"), F.lit(".razor")).alias("rel_path"), text.alias("text"))
 
 
 _WEB_RULES = f"""{_WEB}, v as (
@@ -147,7 +153,7 @@ def declaring_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "(int data) { InitializeComponent(); }\n    public int Run(int ", _pick(("data", "amount", "tmp"), key % 3), ", string name = \"x\")\n    {\n", when(size % 7 == 0, "      var t = Type.GetType(\"a.b\");\n"), "      return 1;\n    }\n    void Wire(object item) { app.MapGet(\"/x\", (int a, Foo b, [AsParameters] Bar c, string d", when(key % 2 == 0, ", Baz e"),
         ") => 1); }\n  }\n  public ", when(key % 2 == 0, "record", "class"), " P", key.cast("string"), "ValueObject { public int V { get; ", when(size % 3 == 0, "set", "init"), "; } = 1; }\n", when(key % 11 == 0, F.concat(F.lit("  class MyClass"), size.cast("string"), F.lit(" { }\n"))), "}\n",
     ]
-    return table(spark, sf_dir, "part").select(key.cast("long").alias("file_id"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("text"))
+    return dealt_parts(spark, sf_dir).select(key.cast("long").alias("file_id"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("text"))
 
 
 @query(
@@ -203,5 +209,5 @@ def object_initialisers(spark, sf_dir):
     key, size = F.col("p_partkey"), F.col("p_size")
     body = _pick(("if (b == null) { return null; } return (new Item { A = a ?? 1, B = b ?? 2, C = 3 });", "return new Item { A = a ?? 1, B = b ?? 2, C = F(3), D = 4, E = 5 };", "if (a == null) { b = 1; } var x = b ?? 3; return x;"), size % 3)
     text = F.concat(F.lit("namespace Shop { class C"), key.cast("string"), F.lit(" { public object Make(int? a, int? b) { "), body, F.lit(" } } }"))
-    own = table(spark, sf_dir, "part").select(key.alias("file_id"), text.alias("text"))
+    own = dealt_parts(spark, sf_dir).select(key.alias("file_id"), text.alias("text"))
     return structure.cyclomatic(lexical.branching_nodes(own), profiles.object_initialisers(own)).withColumn("cyclomatic", F.col("cyclomatic").cast("long"))

@@ -8,6 +8,7 @@ import pytest
 from factloom.operators import declaration_rules as rules
 from factloom.operators import graph, rollup, search, structure
 from factloom.plans import catalog
+from factloom.queries import sources
 from factloom.sources import declared, lexical, profiles
 
 SOURCE = """global using Z.Y; using System; using static A.B; using X = C.D; using Shop.Core.Sub;
@@ -125,3 +126,23 @@ def test_object_initialisers(spark):
     without = {r["member_id"]: r["cyclomatic"] for r in structure.cyclomatic(lexical.branching_nodes(f), filled).collect()}
     assert with_points["M:N.C.Fill(int?,int?)"] == 5 and without["M:N.C.Fill(int?,int?)"] == 2
     assert without["M:N.C.Late(int?)"] == with_points["M:N.C.Late(int?)"] == 3
+
+
+def test_rules_read_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    own = files(spark, SOURCE, "namespace A { class data { } }")
+    facts = declared.declared_facts(own.mapInArrow(count, own.schema))
+    assert rules.declaration_rules(facts, spark.createDataFrame([("System",)], "name string")).count() > 0
+    assert read.value == 2
+
+
+@pytest.mark.parametrize("texts", ["part_sources", "components", "declaring_sources"])
+def test_texts_of_a_small_table_are_dealt(spark, texts):
+    """A table of few bytes is one split, and its texts would all be read by one task."""
+    assert getattr(sources, texts)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
