@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for removing a query's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     return (
@@ -35,7 +38,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, label: str = "staged") -> DataFrame:
     """df written once as Parquet under the shared folder, and read from there: lineage ends as with checkpoint(), and readers take
-    the columns that they need."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    the columns that they need. The shuffle files behind it go when it is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of staged() tables that are read no more."""
+    for df in tables:
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

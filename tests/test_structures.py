@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, intervals, layers, profile_search, ranked, search, webrules
+from factloom.operators import graph, intervals, layers, profile_search, ranked, search, similarity, webrules
 from factloom.sources import files as src
 from factloom.sources import profiler, profiles, webscan
 from factloom.streaming.refresh import FileTable, sweep
@@ -362,3 +362,13 @@ def test_profiled_steps(spark, tmp_path):
     assert got == {"count": (100, None), "bad": (0, "ValueError")}
     assert json.loads(p.lines[0])["metrics"]["rows"]["most"] == 99
     assert profiler.slowest(profiler.steps(spark, str(tmp_path)), 1).count() == 1
+
+
+def test_clone_links_keep_each_window_once(spark, tmp_path, monkeypatch):
+    """What stays on disk is one table with the windows, and what is shared; tables that are read no more are removed."""
+    monkeypatch.setattr("factloom.session.shared_folder", lambda _: str(tmp_path))
+    units = [(i, [f"{i}w{k}" for k in range(2000)]) for i in range(40)] + [(100 + i, [f"{i}w{k}" for k in range(2000 - i)]) for i in range(2)]
+    prints = similarity.fingerprints(spark.createDataFrame(units, "unit_id long, tokens array<string>"))
+    assert sorted(tuple(r)[:2] for r in similarity.clone_links(prints, 0.65).collect()) == [(0, 100), (1, 101)]
+    held = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert held < 12 * 42 * 1996
