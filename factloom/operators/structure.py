@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dealing import dealt_join
+
 
 def partial_totals(parts: DataFrame, most_lines: int) -> DataFrame:
     """Partial types whose parts add up to more lines than allowed. parts: type_name, path, lines."""
@@ -33,11 +35,13 @@ def overloads(members: DataFrame, most: int) -> DataFrame:
 
 
 def confusable_overloads(members: DataFrame, primitives: list[str]) -> DataFrame:
-    """Pairs of overloads that differ in primitive parameter types only. members: member_id, type_id, name, param_types."""
-    one = members.select("type_id", "name", F.col("member_id").alias("a"), F.col("param_types").alias("pa"))
-    two = members.select("type_id", "name", F.col("member_id").alias("b"), F.col("param_types").alias("pb"))
-    near = F.forall(F.zip_with("pa", "pb", lambda x, y: (x == y) | (x.isin(primitives) & y.isin(primitives))), lambda ok: ok)
-    return one.join(two, ["type_id", "name"]).filter((F.col("a") < F.col("b")) & (F.size("pa") == F.size("pb")) & near).select("type_id", "name", "a", "b")
+    """Pairs of overloads that differ in primitive parameter types only: those that are alike when all of these count as one. So only
+    pairs that are rows of the result meet. members: member_id, type_id, name, param_types."""
+    shape = F.transform("param_types", lambda t: F.when(t.isin(primitives), primitives[0] if primitives else None).otherwise(t))
+    rows = members.select(F.struct("type_id", "name", shape.alias("shape")).alias("at"), "member_id")
+    rows = rows.filter(F.col("at.type_id").isNotNull() & F.col("at.name").isNotNull() & F.forall("at.shape", lambda t: t.isNotNull()))
+    one, two = (rows.select("at", F.col("member_id").alias(c)) for c in "ab")
+    return dealt_join(one, two, "at", "a").filter("a < b").select("at.type_id", "at.name", "a", "b")
 
 
 def middle_men(members: DataFrame, share: float = 0.60, least: int = 5) -> DataFrame:
