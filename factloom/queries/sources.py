@@ -174,13 +174,18 @@ def _written(spark: SparkSession, df: DataFrame, label: str) -> str:
     return path
 
 
+#: Lines of a log, about: a larger table has more logs, so that the places of a log's lines are one task's work at any size.
+LOG_ROWS = 100_000
+
+
 @query(
     """with c as (select event_type as tool, count(*) as calls, count(*) filter (event_type = 'error') as errors, cast(sum(floor(value)) as bigint) as duration_ms from events group by tool) select *, 0::bigint as misplaced from c"""
 )
 def log_files(spark, sf_dir):
     """Events written as logs and read back, with the lines that aren't where they were written."""
-    error = F.col("event_type") == "error"
-    rows = table(spark, sf_dir, "events").repartition(4, "user_id").sortWithinPartitions("event_id").select(F.lit("tool_call").alias("recordType"), F.col("event_type").alias("toolName"), F.col("event_id").alias("processId"), F.floor("value").alias("durationMs"), error.alias("isErrorResult"))
+    error, events = F.col("event_type") == "error", table(spark, sf_dir, "events")
+    logs = max(4, -(-events.count() // LOG_ROWS))
+    rows = events.repartition(logs, "event_id").sortWithinPartitions("event_id").select(F.lit("tool_call").alias("recordType"), F.col("event_type").alias("toolName"), F.col("event_id").alias("processId"), F.floor("value").alias("durationMs"), error.alias("isErrorResult"))
     calls, _ = files.tool_calls(files.log_lines(spark, _written(spark, rows, "logs"), "*.json"))
     placed = calls.withColumn("place", F.row_number().over(Window.partitionBy("log_file").orderBy("pid")))
     return placed.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if("is_error").alias("errors"), F.sum("duration_ms").alias("duration_ms"), F.count_if(F.col("place") != F.col("line_no")).alias("misplaced"))
