@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import dealt_join
+
+
+def _tested() -> Column:
+    """The name that a test class is named after."""
+    return F.regexp_replace("class_name", r"(Tests?|Specs?)$", "")
+
 
 def covering_tests(symbols: DataFrame, tests: DataFrame) -> DataFrame:
     """(symbol, file, reason): test files that speak of a symbol, each with its strongest reason: a covers mark, a typeof, the
@@ -13,16 +20,19 @@ def covering_tests(symbols: DataFrame, tests: DataFrame) -> DataFrame:
     s = symbols.select(F.col("name").alias("symbol")).distinct()
     covers = tests.select("file", F.explode("covers").alias("symbol"), F.lit(1).alias("rank"))
     types = tests.select("file", F.explode("typeofs").alias("symbol"), F.lit(2).alias("rank"))
-    named = tests.select("file", F.regexp_replace("class_name", r"(Tests?|Specs?)$", "").alias("symbol"), F.lit(3).alias("rank"))
+    named = tests.select("file", _tested().alias("symbol"), F.lit(3).alias("rank"))
     words = tests.select("file", F.explode(F.array_distinct("text_words")).alias("symbol"), F.lit(4).alias("rank"))
-    best = covers.unionByName(types).unionByName(named).unionByName(words).join(s, "symbol").groupBy("symbol", "file").agg(F.min("rank").alias("rank"))
+    hits = covers.unionByName(types).unionByName(named).unionByName(words)
+    best = dealt_join(hits, s, "symbol", "file").groupBy("symbol", "file").agg(F.min("rank").alias("rank"))
     reasons = F.create_map(*(x for k, v in ((1, "covers"), (2, "typeof"), (3, "name"), (4, "mention")) for x in (F.lit(k), F.lit(v))))
     return best.select("symbol", "file", reasons[F.col("rank")].alias("reason"))
 
 
 def uncovered(symbols: DataFrame, tests: DataFrame, least_cognitive: int = 3) -> DataFrame:
-    """Symbols more complex than allowed that no test names, marks or takes the type of."""
-    found = covering_tests(symbols, tests).filter("reason <> 'mention'").select(F.col("symbol").alias("name")).distinct()
+    """Symbols more complex than allowed that no test names, marks or takes the type of. Only the names are asked for, not the tests
+    that have them: a name that many tests have is one row from each task."""
+    marked = [tests.select(F.explode(c).alias("name")) for c in ("covers", "typeofs")]
+    found = marked[0].unionByName(marked[1]).unionByName(tests.select(_tested().alias("name"))).distinct()
     return symbols.filter(F.col("cognitive") > least_cognitive).join(found, "name", "left_anti")
 
 
