@@ -7,6 +7,8 @@ components then form a graph without cycles, whose layers are counted by the edg
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,9 @@ def peeled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while _some(front):
         layer += 1
         less = edges.join(front.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("gone"))
-        step = _kept(less.join(left, "node").select("node", (F.col("out") - F.col("gone")).alias("out")))
-        front = step.filter("out = 0").select("node", F.lit(layer).alias("layer"))
-        # only counts that have changed are written anew
-        left = _kept(left.join(step.select("node"), "node", "left_anti").unionByName(step.filter("out > 0")))
+        # one table a round: the counts that are left, and those that are used up
+        new = _kept(left.join(less, "node", "left").select("node", (F.col("out") - F.coalesce("gone", F.lit(0))).alias("out")))
+        front, left = new.filter("out = 0").select("node", F.lit(layer).alias("layer")), new.filter("out > 0")
         done = done.unionByName(front)
         if layer % 16 == 0:
             done = _kept(done)
@@ -46,9 +47,9 @@ def _coloured(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     front = held
     while _some(front):
         told = edges.join(front, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("new"))
-        step = _kept(held.join(told, held["node"] == told["dst"]).filter("new > colour").select("node", F.col("new").alias("colour")))
-        held = _kept(held.join(step.select("node"), "node", "left_anti").unionByName(step))
-        front = step
+        larger = F.coalesce(F.col("new") > F.col("colour"), F.lit(False))
+        new = _kept(held.join(told, held["node"] == told["dst"], "left").select("node", F.when(larger, F.col("new")).otherwise(F.col("colour")).alias("colour"), larger.alias("fresh")))
+        front, held = new.filter("fresh").select("node", "colour"), new.select("node", "colour")
     return held
 
 
@@ -67,10 +68,12 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         # back from each colour's name, within the colour
         same = _kept(inner.join(colours, F.col("src") == F.col("node")).select("src", "dst", F.col("colour").alias("c")).join(colours, F.col("dst") == F.col("node")).filter("c = colour").select("src", "dst"))
         seen = front = _kept(colours.filter("node = colour"))
-        while _some(front):
+        for i in itertools.count(1):
             step = same.join(front, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "colour").distinct()
             front = _kept(step.join(seen, "node", "left_anti"))
-            seen = _kept(seen.unionByName(front))
+            if not _some(front):
+                break
+            seen = seen.unionByName(front) if i % 8 else _kept(seen.unionByName(front))
         found = seen if found is None else found.unionByName(seen)
         core = _kept(core.join(seen, "node", "left_anti"))
     named = nodes.withColumn("component", F.col("node")) if found is None else nodes.join(found, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
