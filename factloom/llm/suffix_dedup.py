@@ -41,8 +41,8 @@ SPAN, MER = 50, 16
 #: Slices in which places are sorted, one after the other, and rows that a task sorts.
 SLICES, PART = 2, 1 << 19
 WIDE = SPAN - MER + 1
-#: Anchors whose windows are looked at together.
-ROWS = 1 << 14
+#: Bytes of texts that are looked at together, so that short texts share a pass and its arrays stay in the processor's cache.
+TEXTS = 1 << 16
 
 _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -76,19 +76,22 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def anchors(name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places whose name is least in some window of WIDE places, and the first and last start of such a window."""
+def anchors(name: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose name is least in some window of WIDE places, the first and last start of such a window, and their text. name:
+    of joined texts, each of SPAN bytes at least; edge: where they start, and the end."""
     least = _slide(name, WIDE, np.minimum)
+    least[(edge[1:-1, None] - np.arange(1, SPAN)).ravel()] = 0  # windows over two texts
     none = np.zeros(WIDE - 1, np.uint64)
-    padded = np.concatenate([none, least, none])
-    at = np.flatnonzero(_slide(padded, WIDE, np.maximum) == name)
-    lo, hi = np.empty_like(at), np.empty_like(at)
-    # in a run of one byte every place is an anchor, so their windows are looked at in blocks
-    for i in range(0, len(at), ROWS):
-        a = at[i : i + ROWS]
-        same = padded[a[:, None] + np.arange(WIDE)] == name[a][:, None]
-        lo[i : i + ROWS], hi[i : i + ROWS] = a - (WIDE - 1) + same.argmax(1), a - same[:, ::-1].argmax(1)
-    return at, lo, hi
+    at = np.flatnonzero(_slide(np.concatenate([none, least, none]), WIDE, np.maximum) == name)
+    text = np.searchsorted(edge, at, "right") - 1
+    # the windows of an anchor lie in one run of windows with its name, and runs are in the order of their anchors: a run's anchors
+    # (several where names are tied) are alike in name, and the next run of the text has another
+    first = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
+    last = np.append(first[1:], len(least)) - 1
+    runs = np.flatnonzero(least[first])
+    own = name[at]
+    run = runs[np.cumsum(np.append(False, (own[1:] != own[:-1]) | (text[1:] != text[:-1])))]
+    return at, np.maximum(first[run], at - (WIDE - 1)), np.minimum(last[run], at), text
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -99,7 +102,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Namer:
-    """Names of stretches of one text at a time; the powers grow with the longest text seen."""
+    """Names of stretches of texts; the powers grow with the longest text seen."""
 
     def __init__(self) -> None:
         self.up, self.down = _powers(_BASE, 4096), _powers(_BACK, 4096)
@@ -111,13 +114,13 @@ class Namer:
         return _mix((sums[end] - sums[lo]) * self.down[lo] ^ _mix(salt.astype(np.uint64) + (end - lo).astype(np.uint64) * np.uint64(4099)))
 
 
-def _sides(name: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """33-byte names that end and that start with the anchor; 0 where the text doesn't reach so far."""
+def _sides(name: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """33-byte names that end and that start with the anchor; 0 where its text, from start to end, doesn't reach so far."""
     far = MER + 1
     i = np.maximum(at, far)
-    left = np.where(at >= far, _mix(name[i - far] * _LEVEL[6] + name[i - MER] * _LEVEL[5] + name[i] * _LEVEL[4]) | np.uint64(1), 0)
+    left = np.where(at - far >= start, _mix(name[i - far] * _LEVEL[6] + name[i - MER] * _LEVEL[5] + name[i] * _LEVEL[4]) | np.uint64(1), 0)
     j = np.minimum(at, len(name) - 1 - far)
-    right = np.where(at + far < len(name), _mix(name[j] * _LEVEL[6] + name[j + MER] * _LEVEL[5] + name[j + far] * _LEVEL[4]) | np.uint64(1), 0)
+    right = np.where(at + far + MER <= end, _mix(name[j] * _LEVEL[6] + name[j + MER] * _LEVEL[5] + name[j + far] * _LEVEL[4]) | np.uint64(1), 0)
     return left, right
 
 
@@ -129,16 +132,35 @@ def _columns(names: list[str], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64) if c else np.zeros(0, np.int64)) for c in parts], names=names)
 
 
+def joined(column: pa.Array):
+    """For stretches of texts of about TEXTS bytes, or one longer text: the first and last + 1 row, the bytes of the texts, and where
+    each starts, and the end."""
+    column = column.cast(pa.large_string())
+    edge = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw, i = np.frombuffer(column.buffers()[2], np.uint8), 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + TEXTS, "right")) - 1)
+        yield i, j, raw[edge[i] : edge[j]], edge[i : j + 1] - edge[i]
+        i = j
+
+
+def _asked(column: pa.ListArray, i: int, j: int, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n fields of the structs that rows i to j list, and the row of each, counted from i."""
+    at = column.offsets.to_numpy()[i : j + 1]
+    return [column.values.field(k).to_numpy()[at[0] : at[-1]] for k in range(n)], np.repeat(np.arange(j - i), np.diff(at))
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
     """mer, doc, place (first and last window start and anchor, packed)."""
 
     def run(batches):
         for b in small(batches):
             parts: list[list[np.ndarray]] = [[], [], []]
-            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
-                name = mer_ranks(np.frombuffer(text.encode(), np.uint8))
-                at, lo, hi = anchors(name)
-                for part, x in zip(parts, (name[at], np.full(len(at), doc, np.int64), lo * 4096 + (hi - lo) * 64 + (at - lo))):
+            ids = b.column("doc").to_numpy()
+            for i, j, raw, edge in joined(b.column("text")):
+                name = mer_ranks(raw)
+                at, lo, hi, text = anchors(name, edge)
+                for part, x in zip(parts, (name[at], ids[i:j][text], (lo - edge[text]) * 4096 + (hi - lo) * 64 + (at - lo))):
                     part.append(x.view(np.int64))
             yield _columns(["mer", "doc", "place"], parts)
 
@@ -153,14 +175,14 @@ def _context_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
         namer = Namer()
         for b in small(batches):
             parts: list[list[np.ndarray]] = [[] for _ in names]
-            for doc, text, places in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("places")):
-                place, rank = (places.values.field(i).to_numpy() for i in (0, 1))
-                raw = np.frombuffer(text.encode(), np.uint8)
-                lo = place >> 12
+            ids = b.column("doc").to_numpy()
+            for i, j, raw, edge in joined(b.column("text")):
+                (place, rank), text = _asked(b.column("places"), i, j, 2)
+                fits = (place >> 12) + ((place >> 6) & 63) + SPAN <= edge[text + 1] - edge[text]  # all but for rows that repeat an id
+                place, rank, text = place[fits], rank[fits], text[fits]
+                lo = edge[text] + (place >> 12)
                 at, end = lo + (place & 63), lo + ((place >> 6) & 63) + SPAN
-                fits = end <= len(raw)  # all but for rows that repeat an id
-                place, rank, lo, at, end = place[fits], rank[fits], lo[fits], at[fits], end[fits]
-                row = [np.full(len(at), doc, np.int64), place, rank, namer.stretches(raw, lo, end, at - lo), *_sides(mer_ranks(raw), at)]
+                row = [ids[i:j][text], place, rank, namer.stretches(raw, lo, end, at - lo), *_sides(mer_ranks(raw), at, edge[text], edge[text + 1])]
                 for part, x in zip(parts, row):
                     part.append(x.view(np.int64))
             yield _columns(names, parts)
@@ -168,23 +190,23 @@ def _context_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return _usable(docs).join(asked.hint("shuffle_hash"), "doc").transform(bounded).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def window_starts(place: np.ndarray, side: np.ndarray, rank: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows of anchors and their rank: with side 1 those that hold 17 bytes more before the anchor, with side 2
-    the others, which hold 17 bytes more behind it. Each window is there once a rank."""
+def window_starts(place: np.ndarray, side: np.ndarray, rank: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows of anchors, their rank and text (size: bytes of each): with side 1 those that hold 17 bytes more before the
+    anchor, with side 2 the others, which hold 17 bytes more behind it. Each window of a text is there once a rank."""
     lo, middle = place >> 12, (place >> 12) + (place & 63) - MER
     hi = lo + ((place >> 6) & 63)
     first, last = np.where(side == 1, lo, np.maximum(lo, middle)), np.where(side == 1, np.minimum(hi, middle - 1), hi)
-    fits = (last >= first) & (last + SPAN <= size)  # all but empty stretches and rows that repeat an id
-    order = np.lexsort((first[fits], rank[fits]))
-    first, last, rank = first[fits][order], last[fits][order], rank[fits][order]
+    fits = np.flatnonzero((last >= first) & (last + SPAN <= size[text]))  # all but empty stretches and rows that repeat an id
+    order = fits[np.lexsort((first[fits], rank[fits], text[fits]))]
+    first, last, rank, text = first[order], last[order], rank[order], text[order]
     if not len(first):
-        return first, rank
+        return first, rank, text
     # stretches of one rank overlap where names are tied
-    base = np.cumsum(np.append(False, rank[1:] != rank[:-1])) * (size + 1)
+    base = np.cumsum(np.append(False, (rank[1:] != rank[:-1]) | (text[1:] != text[:-1]))) * (size.max() + 1)
     before = np.append(-1, np.maximum.accumulate(last + base)[:-1]) - base
     first = np.maximum(first, before + 1)
     n = np.maximum(last - first + 1, 0)
-    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(rank, n)
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(rank, n), np.repeat(text, n)
 
 
 def _window_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -193,25 +215,28 @@ def _window_rows(docs: DataFrame, asked: DataFrame) -> DataFrame:
     def run(batches):
         for b in small(batches):
             parts: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, text, places in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("places")):
-                name = mer_ranks(np.frombuffer(text.encode(), np.uint8))
-                at, rank = window_starts(*(places.values.field(i).to_numpy() for i in (0, 1, 2)), len(name) + MER - 1)
+            ids = b.column("doc").to_numpy()
+            for i, j, raw, edge in joined(b.column("text")):
+                (place, side, rank), text = _asked(b.column("places"), i, j, 3)
+                start, rank, text = window_starts(place, side, rank, text, np.diff(edge))
+                name, at = mer_ranks(raw), start + edge[text]
                 head, tail = name[at] * _LEVEL[4] + name[at + MER], name[at + SPAN - 2 * MER] * _LEVEL[4] + name[at + SPAN - MER]
-                for part, x in zip(parts, (rank, _mix(_mix(head) * _LEVEL[5] + tail), np.full(len(at), doc, np.int64), at)):
+                for part, x in zip(parts, (rank, _mix(_mix(head) * _LEVEL[5] + tail), ids[i:j][text], start)):
                     part.append(x.view(np.int64))
             yield _columns(["rank", "window", "doc", "start"], parts)
 
     return _usable(docs).join(asked.hint("shuffle_hash"), "doc").transform(bounded).mapInArrow(run, "rank long, window long, doc long, start long")
 
 
-def ranked(rows: DataFrame, keys: list[str], unique: bool = False) -> tuple[DataFrame, DataFrame]:
+def ranked(rows: DataFrame, keys: list[str], unique: bool = False, least: bool = True, once: tuple[str, ...] = (), n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """rows (doc, keys and other columns, all long), sorted by Spark and ranked anew, and the written table behind them.
 
-    rank: where the group of equal keys starts in the order; least: its smallest document. Groups of one document are left out
-    unless unique. A task sees a range of the order; its first and last group may go on in others, so their rows are given
+    rank: where the group of equal keys starts in the order; least: its smallest document, if asked for. Groups of one document are
+    left out unless unique. once: columns that only rows of a group's smallest document need; they may be null in others. n:
+    about how many rows there are, where that is known. A task sees a range of the order; its first and last group may go on in others, so their rows are given
     with their keys, and what these groups come to over all tasks, two rows a task, is looked up by task when they are read."""
-    spark, n = rows.sparkSession, rows.count()
-    parts = max(n // PART + 1, 2 * spark.sparkContext.defaultParallelism)
+    spark = rows.sparkSession
+    parts = max((rows.count() if n is None else n) // PART + 1, 2 * spark.sparkContext.defaultParallelism)
     rest = [c for c in rows.columns if c not in (*keys, "doc", "rank")]
     out = ["doc", *rest, "rank", "least", "most", *(f"key{i}" for i in range(len(keys)))]
 
@@ -220,21 +245,24 @@ def ranked(rows: DataFrame, keys: list[str], unique: bool = False) -> tuple[Data
         if not held:
             return
         table = pa.Table.from_batches(held)
-        doc, own = table["doc"].to_numpy(), [table[k].to_numpy() for k in keys]
+        doc, own, others = table["doc"].to_numpy(), [table[k].to_numpy() for k in keys], [table[c].to_numpy() for c in rest]
         new = np.ones(len(doc), bool)
         new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in own])
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(doc)))
-        least, most, border = doc[start], doc[start + size - 1], np.zeros(len(start), bool)
+        low, most, border = doc[start], doc[start + size - 1], np.zeros(len(start), bool)
         border[[0, -1]] = True
         group = np.repeat(np.arange(len(start)), size)
-        kept = np.flatnonzero((np.full(len(start), unique) | border | (least < most))[group])
+        kept = np.flatnonzero((np.full(len(start), unique) | border | (low < most))[group])
         first = TaskContext.get().partitionId() << 32
         for i in range(0, len(kept), 1 << 16):
             at = kept[i : i + (1 << 16)]
             g = group[at]
             inner = ~border[g]
-            columns = [pa.array(x) for x in (doc[at], *(table[c].to_numpy()[at] for c in rest), first + start[g], least[g], most[g])]
+            # what no one reads is null, and takes no room
+            later = inner & (doc[at] > low[g]) if once else None
+            columns = [pa.array(doc[at]), *(pa.array(x[at], mask=later if c in once else None) for c, x in zip(rest, others)), pa.array(first + start[g])]
+            columns += [pa.array(low[g], mask=None if least else inner), pa.array(most[g], mask=inner)]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x[at], mask=inner) for x in own)], names=out)
 
     ordered = rows.repartitionByRange(parts, *keys, "doc").sortWithinPartitions(*keys, "doc")
@@ -247,8 +275,8 @@ def ranked(rows: DataFrame, keys: list[str], unique: bool = False) -> tuple[Data
     lists = [",".join(str(sums.get(i, (0, 0, 0))[j]) for i in range(2 * parts)) for j in range(3)]
     at = 2 * F.shiftright("rank", 32) + F.col("rank").bitwiseAND(F.lit(0xFFFFFFFF)).cast("boolean").cast("int")
     whole = [F.when(F.col("key0").isNull(), F.col(c)).otherwise(F.get(F.split(F.lit(x), ",").cast("array<long>"), at.cast("int"))).alias(c) for c, x in zip(("rank", "least", "most"), lists)]
-    settled = table.select("doc", *rest, *whole)
-    return (settled if unique else settled.filter("least < most")).select("doc", *rest, "rank", "least"), table
+    settled = table.select("doc", *rest, *whole, F.col("key0").isNull().alias("inner"))
+    return (settled if unique else settled.filter("inner or least < most")).select("doc", *rest, "rank", *["least"] * least), table
 
 
 def _span(start, end):
@@ -256,49 +284,46 @@ def _span(start, end):
     return (F.shiftleft(start.cast("long"), 32) + end).alias("span")
 
 
-def _in_slices(rows: DataFrame, keys: list[str], unique: bool, keep) -> list[DataFrame]:
-    """keep(ranked rows) of each slice of the last key, written. Ranks of different slices differ."""
-    out = []
-    for k in range(SLICES):
-        part, table = ranked(rows.filter(F.pmod(F.col(keys[-1]), F.lit(SLICES)) == k), keys, unique)
-        out.append(stage_table(keep(part.withColumn("rank", F.col("rank") * SLICES + k)), "slice"))
-        discard(table)
-    return out
+def _in_slices(rows: DataFrame, keys: list[str], unique: bool = False, least: bool = True, once: tuple[str, ...] = ()) -> tuple[DataFrame, list[DataFrame]]:
+    """The ranked rows of each slice of the last key, and the tables behind them. Ranks of different slices differ."""
+    n = rows.count() // SLICES  # told by the files' footers
+    parts = [ranked(rows.filter(F.pmod(F.col(keys[-1]), F.lit(SLICES)) == k), keys, unique, least, once, n) for k in range(SLICES)]
+    out = [part.withColumn("rank", F.col("rank") * SLICES + k) for k, (part, _) in enumerate(parts)]
+    return reduce(DataFrame.unionByName, out), [table for _, table in parts]
 
 
-def _by_doc(parts: list[DataFrame], *columns: str) -> DataFrame:
-    """doc, places (array of structs), written; the parts go."""
-    out = stage_table(reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("places")), "places")
-    for part in parts:
-        discard(part)
-    return out
+def _places(rows: DataFrame, *columns: str) -> DataFrame:
+    """doc, places (array of structs)."""
+    return rows.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("places"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, spans (array of packed start and end): stretches of bytes to remove, overlapping and in no order."""
     # places are sorted in slices, so that little of them is in flight at once
     rows = stage_table(_anchor_rows(docs), "anchors")
-    met = _by_doc(_in_slices(rows, ["mer"], False, lambda x: x.select("doc", "place", "rank")), "place", "rank")
+    met, tables = _in_slices(rows, ["mer"], least=False)
     discard(rows)
-    rows = stage_table(_context_rows(docs, met), "contexts")
-    discard(met)
-    again = F.col("doc") > F.col("least")
-    placed = _in_slices(rows.withColumn("of", F.col("rank")), ["rank", "context"], True, lambda x: x.select("doc", "place", *(F.when(~again, F.col(c)).alias(c) for c in ("of", "lname", "rname")), again.alias("again")))
+    rows = stage_table(_context_rows(docs, _places(met, "place", "rank")), "contexts")
+    for done in tables:
+        discard(done)
+    every, placed = _in_slices(rows.withColumn("of", F.col("rank")), ["rank", "context"], unique=True, once=("of", "lname", "rname"))
     discard(rows)
-    every = reduce(DataFrame.unionByName, placed)
+    again = F.col("doc") > F.col("least")
     lo, more = F.shiftright("place", 12), F.shiftright("place", 6).bitwiseAND(F.lit(63))
-    whole = every.filter("again").select("doc", _span(lo, lo + more + SPAN))
-    sides = []
+    whole = every.filter(again).select("doc", _span(lo, lo + more + SPAN))
+    sides, tables = [], []
     for column, side in (("lname", 1), ("rname", 2)):
-        found, table = ranked(every.filter(f"not again and {column} <> 0").select("doc", "place", F.col("of").alias("rank"), F.col(column).alias("name")), ["rank", "name"])
-        sides.append(stage_table(found.select("doc", "place", F.lit(side).cast("long").alias("side"), (F.col("rank") * 2 + side - 1).alias("rank")), "side"))
-        discard(table)
-    asked = _by_doc(sides, "place", "side", "rank")
-    windows = stage_table(_window_rows(docs, asked), "windows")
-    single = _in_slices(windows, ["rank", "window"], False, lambda x: x.filter("doc > least").select("doc", _span(F.col("start"), F.col("start") + SPAN)))
+        found, table = ranked(every.filter(~again & (F.col(column) != 0)).select("doc", "place", F.col("of").alias("rank"), F.col(column).alias("name")), ["rank", "name"], least=False)
+        sides.append(found.select("doc", "place", F.lit(side).cast("long").alias("side"), (F.col("rank") * 2 + side - 1).alias("rank")))
+        tables.append(table)
+    windows = stage_table(_window_rows(docs, _places(reduce(DataFrame.unionByName, sides), "place", "side", "rank")), "windows")
+    for done in tables:
+        discard(done)
+    single, tables = _in_slices(windows, ["rank", "window"])
     discard(windows)
-    spans = stage_table(reduce(DataFrame.unionByName, [whole, *single]).groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")
-    for done in (*placed, asked, *single):
+    single = single.filter("doc > least").select("doc", _span(F.col("start"), F.col("start") + SPAN))
+    spans = stage_table(whole.unionByName(single).groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")
+    for done in (*placed, *tables):
         discard(done)
     return spans
 

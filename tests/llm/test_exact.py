@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -499,6 +500,39 @@ def test_ranks_over_borders_of_tasks(spark, monkeypatch):
     assert sorted(first) == sorted(first, key=first.get) and len(set(first.values())) == len(first)
 
 
+def test_anchors_of_joined_texts(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TEXTS", 1000)
+    rng = random.Random(6)
+    texts = ["a" * 120, "xyz" * 30, "xyz" * 30, "b" * 50] + ["".join(rng.choice("abé ") for _ in range(rng.randint(50, 400))) for _ in range(40)]
+    got, rows = [], 0
+    for i, j, raw, edge in suffix_dedup.joined(pa.array(["cut off", *texts])[1:]):
+        assert i == rows and raw.tobytes() == "".join(texts[i:j]).encode()
+        rows = j
+        at, lo, hi, text = suffix_dedup.anchors(suffix_dedup.mer_ranks(raw), edge)
+        got += zip((text + i).tolist(), *((x - edge[text]).tolist() for x in (at, lo, hi)))
+    want = []
+    for t, text in enumerate(texts):
+        name = suffix_dedup.mer_ranks(np.frombuffer(text.encode(), np.uint8)).tolist()
+        starts = [[] for _ in name]
+        for w in range(len(name) - suffix_dedup.WIDE + 1):
+            least = min(name[w : w + suffix_dedup.WIDE])
+            for p in range(w, w + suffix_dedup.WIDE):
+                if name[p] == least:
+                    starts[p].append(w)
+        want += [(t, p, s[0], s[-1]) for p, s in enumerate(starts) if s]
+    assert rows == len(texts) and got == want
+
+
+def test_repeats_write_what_a_sort_gives_once(spark, monkeypatch):
+    labels, stage = [], suffix_dedup.stage_table
+    monkeypatch.setattr(suffix_dedup, "stage_table", lambda df, label: labels.append(label) or stage(df, label))
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdef ") for _ in range(300))
+    spans = suffix_dedup.repeats(frame(spark, {1: text, 2: "x" + text[40:], 3: "a" * 60})).collect()
+    assert [r["doc"] for r in spans] == [2]
+    assert sorted(labels) == ["anchors", "contexts", *["ranked"] * 8, "spans", "windows"]
+
+
 def test_repeats_where_ids_repeat(spark):
     rng = random.Random(1)
     a, b, c = ("".join(rng.choice("abcdef ") for _ in range(200)) for _ in range(3))
