@@ -89,11 +89,12 @@ def generated_files(files: DataFrame) -> DataFrame:
 
 def duplicate_code(members: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """One row for each set of clones of the Exact bucket, at its first member by path and line: how many it has. members: a row a unit with
-    root, bucket, file_id, rel_path, line. marks: file_id of files that turn the rule off; one of them turns off the whole set."""
+    root, bucket, file_id, rel_path, line. Members without a path count and are never the first; a set of none but them names no file. marks:
+    file_id of files that turn the rule off; one of them turns off the whole set."""
     exact = members.filter("bucket = 'Exact'")
     if marks is not None:
         off = exact.join(marks.select("file_id").distinct(), "file_id", "left_semi").select("root").distinct()
         exact = exact.join(off, "root", "left_anti")
-    first = F.min_by(F.struct("file_id", "line"), F.struct(F.upper("rel_path"), "line")).alias("x")
-    rows = exact.groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.select("x.file_id", F.col("x.line").cast("int").alias("line"), F.lit("DuplicateCode").alias("rule"), F.concat(F.col("n").cast("string"), F.lit(" members")).alias("details"))
+    first = F.min_by(F.struct("file_id", "line"), F.when(F.col("rel_path").isNotNull(), F.struct(F.upper("rel_path"), "line"))).alias("x")
+    rows = exact.groupBy("root").agg(first, F.min("line").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.select("x.file_id", F.coalesce("x.line", "least").cast("int").alias("line"), F.lit("DuplicateCode").alias("rule"), F.concat(F.col("n").cast("string"), F.lit(" members")).alias("details"))

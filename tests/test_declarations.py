@@ -60,6 +60,13 @@ def test_duplicate_code(spark):
     assert rules.duplicate_code(members).count() == 2
 
 
+def test_clones_without_a_path_are_never_first(spark):
+    rows = [(1, "Exact", 1, None, 3), (1, "Exact", 2, "b.cs", 7), (1, "Exact", 3, "C.cs", 1), (5, "Exact", 4, None, 4), (5, "Exact", 5, None, 2)]
+    members = spark.createDataFrame(rows, "root long, bucket string, file_id long, rel_path string, line int")
+    got = {tuple(r) for r in rules.duplicate_code(members).collect()}
+    assert got == {(2, 7, "DuplicateCode", "3 members"), (None, 2, "DuplicateCode", "2 members")}
+
+
 def test_whitelist(spark):
     rows = [
         ("a", "T", "Run", "method", "private", ["Fact"], False, 0), ("b", "T", "Load", "method", "private", ["Xunit.TheoryAttribute"], False, 0), ("c", "T", "<Clone>$", "method", "private", None, False, 0), ("d", "T", "op_Add", "operator", "public", [], True, 2),

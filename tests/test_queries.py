@@ -33,3 +33,21 @@ def test_query_equals_sql(spark, base, name):
 def test_runs_are_alike(spark, name):
     runs = [sorted(map(str, QUERIES[name](spark, SF).collect())) for _ in range(2)]
     assert runs[0] and runs[0] == runs[1]
+
+
+def documents(folder, rows):
+    """A connection with a table of documents (doc_id, text, lang, source) that is written to the folder."""
+    c = duckdb.connect()
+    c.sql("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+    c.executemany("insert into documents values (?, ?, ?, ?)", rows)
+    c.sql(f"copy documents to '{folder}/documents.parquet'")
+    return c
+
+
+def test_duplicate_code_of_documents_without_language_or_source(spark, tmp_path):
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(12))
+    rows = [(1, text(1), None, "a"), (2, text(1), "en", "b"), (3, text(1), "de", "b"), (4, text(2), "en", None), (5, text(2), None, "a"), (6, text(3), "en", "c"), (7, text(3), "EN", "C"), (8, None, None, None)]
+    base = documents(tmp_path, rows)
+    got, want = QUERIES["duplicate_code"](spark, str(tmp_path)), base.sql(SQL["duplicate_code"])
+    found = canonical(got.columns, [tuple(r) for r in got.collect()])
+    assert found == canonical(want.columns, want.fetchall()) and len(found) == 3
