@@ -51,3 +51,17 @@ def test_duplicate_code_of_documents_without_language_or_source(spark, tmp_path)
     got, want = QUERIES["duplicate_code"](spark, str(tmp_path)), base.sql(SQL["duplicate_code"])
     found = canonical(got.columns, [tuple(r) for r in got.collect()])
     assert found == canonical(want.columns, want.fetchall()) and len(found) == 3
+
+
+@pytest.mark.parametrize("name", ["clone_pairs", "clone_clusters", "duplicate_code"])
+def test_clones_share_windows_however_common(spark, tmp_path, name):
+    """The SQL leaves out windows of over 60 units, the queries don't: that limit is all that they differ by."""
+    words = lambda k, n: [f"{k}x{i}" for i in range(n)]
+    rows = [(i, words("copy", 9)) for i in range(61)] + [(100 + i, words("near", 20) + [f"end{i}"]) for i in range(62)] + [(200 + i, words("few", 9)) for i in range(60)] + [(300 + i, words("near", 9) + words(i, 3)) for i in range(3)]
+    base = documents(tmp_path, [(i, " ".join(w), "en", "a") for i, w in rows])
+    limit = "between 2 and 60"
+    assert SQL[name].count(limit) == 1
+    got = QUERIES[name](spark, str(tmp_path))
+    found = canonical(got.columns, [tuple(r) for r in got.collect()])
+    whole, limited = (canonical(x.columns, x.fetchall()) for x in (base.sql(SQL[name].replace(limit, ">= 2")), base.sql(SQL[name])))
+    assert found == whole and set(limited) < set(found)
