@@ -83,10 +83,10 @@ def code_lines(tokens: DataFrame) -> DataFrame:
 
 
 def class_structure(members: DataFrame, order: str = "lines", most: int = 50) -> DataFrame:
-    """Members by place, kind or name; at most 200 are listed. Members alike in these are in the order of the others, so that the same
-    ones are listed however the rows are dealt."""
+    """Members by place, kind or name, those without one last; at most 200 are listed. Members alike in these are in the order of the others,
+    so that the same ones are listed however the rows are dealt."""
     keys = {"lines": ["file_id", "start_line", "kind", "name"], "kind": ["kind", "name", "file_id", "start_line"], "name": ["name", "start_line", "file_id", "kind"]}[order]
-    return members.orderBy(*(k for k in keys if k in members.columns)).limit(min(most, 200))
+    return members.orderBy(*(F.asc_nulls_last(k) for k in keys if k in members.columns)).limit(min(most, 200))
 
 
 def skeleton(members: DataFrame, public_only: bool) -> DataFrame:
