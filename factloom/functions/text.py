@@ -99,3 +99,13 @@ def completeness(text: Column, truncated: Column) -> Column:
 
 def byte_size(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
+
+
+#: Capitals of one letter whose small letters have two in upper().
+_CAPITALS = [c for c in map(chr, range(0xDF, 0x2000)) if len(c.lower()) == 1 and len(c.lower().upper()) > 1 and c != c.lower()]
+
+
+def letterwise_upper(text: Column) -> Column:
+    """Upper case with a letter for a letter, as in SQL: what has no capital of one letter stays."""
+    known = F.translate(text, "".join(c.lower() for c in _CAPITALS), "".join(_CAPITALS))
+    return F.array_join(F.transform(F.split(known, ""), lambda c: F.when(F.char_length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")

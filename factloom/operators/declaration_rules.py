@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..session import staged
 
 # Names without a meaning, names that tools give, calls that find types at run time, bases of window classes.
@@ -95,6 +96,6 @@ def duplicate_code(members: DataFrame, marks: DataFrame | None = None) -> DataFr
     if marks is not None:
         off = exact.join(marks.select("file_id").distinct(), "file_id", "left_semi").select("root").distinct()
         exact = exact.join(off, "root", "left_anti")
-    first = F.min_by(F.struct("file_id", "line"), F.when(F.col("rel_path").isNotNull(), F.struct(F.upper("rel_path"), "line"))).alias("x")
+    first = F.min_by(F.struct("file_id", "line"), F.when(F.col("rel_path").isNotNull(), F.struct(tx.letterwise_upper(F.col("rel_path")), "line"))).alias("x")
     rows = exact.groupBy("root").agg(first, F.min("line").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return rows.select("x.file_id", F.coalesce("x.line", "least").cast("int").alias("line"), F.lit("DuplicateCode").alias("rule"), F.concat(F.col("n").cast("string"), F.lit(" members")).alias("details"))
