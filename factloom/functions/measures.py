@@ -22,8 +22,9 @@ def hotspot_level(utilisation: Column) -> Column:
 def grams(tokens: Column, size: int = 5) -> Column:
     """Distinct hashes of the windows of consecutive tokens; empty with too few tokens."""
     n = F.size(tokens) - size + 1
-    # items are taken one by one: a slice would copy the whole array for each window
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(F.concat_ws("\u0001", *(F.get(tokens, i + k) for k in range(size)))))
+    # items are taken one by one: a slice would copy the whole array for each window; each is hashed by itself, as a joining character
+    # could be part of one
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*(F.get(tokens, i + k) for k in range(size))))
     return F.when(n >= 1, F.array_distinct(windows)).otherwise(F.array().cast("array<bigint>"))
 
 
